@@ -1,0 +1,243 @@
+"""Records that hold template residue, filler, error pages or script notices instead of content."""
+
+from __future__ import annotations
+
+import html
+import re
+import sys
+import unicodedata
+from collections import defaultdict
+from collections.abc import Collection, Iterable, Iterator
+from re import _parser as parser
+
+import ahocorasick
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from claimloom.lineage import cut
+
+#: A line is a host's boilerplate from this share of its records, and this many of them, on.
+BOILERPLATE_SHARE, BOILERPLATE_RECORDS = 0.2, 20
+
+# The wordings that give residue away, by kind. They are matched against text in NFKC and lower case, with entities
+# resolved, invisible characters removed and white space collapsed. A notice speaks to its reader or stands as a bare statement;
+# patterns are chosen so that sentences that report on such things do not match.
+EVIDENCE = {
+    "placeholder": [
+        r"\{\{[^{}]{0,120}\}\}", r"\{%[^%{}]{1,120}%\}", r"<%[^%<>]{1,120}%>", r"\$\{[^{}]{1,80}\}", r"<<\s?[a-z][\w .-]{0,60}>>", r"\[\[\s?[a-z][\w .-]{0,60}\]\]",
+        r"@@[a-z][\w.-]{0,60}(?: [\w.-]{1,60})?@@", r"(?<!\w)__[a-z][\w.-]{0,60}?(?: [\w.-]{1,60}?)?__(?!\w)", r"(?<![\w#])#[a-z][a-z_.-]{0,60}(?: [a-z_.-]{1,60})?#(?![\w#])", r"(?<![\w%])%[a-z][a-z_.-]{1,60}(?: [a-z_.-]{1,60})?%(?![\w%])", r"%\([a-z_]+\)s",
+        r"(?<![\w^\\}$])\{[a-z][\w.-]{0,60}(?: [a-z_.-]{1,60})?\}", r"\*\|[a-z_:]+\|\*",
+        r"\[(?:tb[acd]|todo|insert|enter|fill in|type|placeholder|your|please (?:add|enter|insert))\b[^\[\]]{0,80}\]",
+        r"\[[^\[\]]{1,80}\b(?:goes|belongs|to be inserted|to be added|to be completed|hier|ici|aquí|here)\s?(?:here|hin)?\]",
+        r"\[[^\[\]]{0,80}\b(?:einfügen|eintragen|einsetzen|ergänzen|ausfüllen)\]", r"\[(?:insertar|introducir|añadir|completar|escribir|rellenar)\b[^\[\]]{0,80}\]", r"\[(?:insérer|saisir|ajouter|compléter|indiquer)\b[^\[\]]{0,80}\]",
+        r"\[(?:start|end|visit|birth|study|site|patient|author|journal|drug|dose|cohort)?[ _-]?(?:date|name|title|author|journal|drug|dose|cohort|address|value|number|city|institution)\]",
+        r"\b(?:todo|fixme|tbd)\s?: ?(?:add|insert|fill|write|check|update|complete|replace|describe|confirm)\b", r"\bxx+\.x+\s?%?", r"\bxx+ (?:patients|participants|subjects|cases|women|men|months|years|weeks)\b(?= \(xx)",
+    ],
+    "filler": [
+        r"(?:\b(?:ad|adipisci(?:ng)?|aliquip|amet|anim|asperiores|aute|cillum|commodo|consectetur|consequat|culpa|cupidatat|deserunt|do|dolore?|doloremque|duis|ea|eiusmod|elit|enim|esse|est|et|eu|ex|excepteur|exercitation|facere|facilis|fugiat|id|in|incididunt|ipsum|irure|labore|laboris|laborum|lorem|magna|maxime|minim|mollit|nisi|nostrud|nulla|occaecat|officia|omnis|pariatur|perspiciatis|placeat|proident|quia|quis|quo|rerum|reprehenderit|sed|sint|sit|sunt|tempora?|totam|ullamco|ut|unde|vel|velit|veniam|veritatis|voluptas|voluptate|voluptatem)\b[ ,.;]*){5,}",
+        r"\(replace me\)", r"\b(?:put|insert|your|some|example|add|enter|type|sample)(?: the| your| an?)? (?:abstract|background|body|caption|conclusions?|content|copy|description|discussion|heading|headline|introduction|keywords|methods|name|paragraph|results|section|summary|text|title)(?: goes| comes| belongs)? here\b",
+        r"\b(?:some|put|insert|your|example|add)(?: the| your)?(?: [a-zà-ÿ]+){1,3} goes here\b", r"\b(?:insert|example|your|put the|add the) [a-z]+ [a-z]+ here\s?(?:[.:!(]|$)", r"\blorem ipsum dolor\b", r"\bconsectetur adipisc", r"\bsed do eiusmod\b", r"\but labore et dolore\b", r"\bquis nostrud\b", r"\bullamco laboris\b", r"\bduis aute irure\b", r"\bexcepteur sint\b", r"\bcupidatat non proident\b", r"\bsunt in culpa\b", r"\but enim ad minim\b", r"\bmollit anim id est\b",
+        r"\b(?:body copy|your text|text|content|abstract|description|headline|caption|summary|copy) goes here\b", r"\b(?:sample|dummy|placeholder|filler) (?:text|content|copy)\s?[.:!]", r"\bthis is (?:a |some )?(?:dummy|sample|placeholder|filler|blind) (?:text|content|copy)\b",
+        r"\breplace this (?:paragraph|text|sentence|section|line|content)\b", r"\bthe final (?:wording|text) will follow\b", r"\b(?:asdf|qwerty?|foo bar|blah|bla)(?:[ ,;.-]+(?:asdf|qwerty?|foo bar|blah|bla)\b)+", r"\b(?:test[ ,.]+){2,}test\b", r"\bx{3,}(?: x{2,}){2,}\b",
+        r"\b(?:type|enter|write|paste|insert|add|put) (?:your|the) (?:abstract|text|summary|title|content|description|manuscript|name) here\b", r"\bclick (?:here )?to (?:add|edit|enter|insert)\b", r"\bclick here to\b",
+        r"\bdies ist ein (?:blind|platzhalter|muster|beispiel|füll)-?text\b", r"\bhier steht (?:später|demnächst|bald)\b", r"\bhier (?:ihren|den) (?:text|titel|abstract) (?:eingeben|einfügen)\b", r"\b(?:ihr|der) text (?:steht|folgt) hier\b", r"\b(?:platzhaltertext|mustertext)\s?[.:!]",
+        r"\bceci est un (?:faux[ -])?texte(?: (?:fictif|factice|de remplissage|provisoire|d'exemple))", r"\b(?:saisissez|écrivez|insérez|tapez|entrez) (?:votre|le|ici) [^.]{0,40}\bici\b", r"\b(?:texte|contenu) (?:à venir|à compléter)\s?[.:!]",
+        r"\beste es un texto de (?:relleno|ejemplo|prueba|muestra)\b", r"\b(?:escriba|introduzca|inserte|pegue|añada) aquí (?:su|el|la)\b", r"\btexto (?:de relleno|provisional|de muestra)\s?[.:!]",
+    ],
+    "error": [
+        r"\b(?:the|this|our|your|that) (?:[a-z]+ ){1,5}?(?:timed out|failed to load|returned an invalid response|could not be (?:found|loaded|displayed|opened|reached)|cannot be (?:displayed|loaded|opened|reached)(?: right now| at the moment)?|is temporarily unavailable|is currently unavailable|has been taken offline(?: for maintenance)?)(?: \((?:code|error|reference) ?#?\d+\))?\s?(?:[.:!]|$)",
+        r"\bcontact the (?:site )?administrator\b", r"\bif the problem persists\b",
+        r"\b(?:die|das|der|diese|dieses|dieser) [a-zäöüß]+ (?:konnte nicht (?:geladen|gefunden|angezeigt|geöffnet) werden|existiert nicht(?: mehr)?|ist (?:wegen wartungsarbeiten|vorübergehend|derzeit|zurzeit|momentan) nicht (?:erreichbar|verfügbar)|ist nicht (?:mehr )?(?:erreichbar|verfügbar))(?: \(code \d+\))?\s?(?:[.:!]|$)",
+        r"\b(?:l[ae'] ?|cette|cet|ce|votre|notre) ?[a-zà-ÿ]+ (?:n'a pas pu être (?:chargé|affiché|trouvé|ouvert)e?|n'existe (?:plus|pas)|est (?:momentanément|temporairement|actuellement) indisponible|est introuvable|n'est (?:plus|pas) disponible|est en maintenance|est indisponible[^.]{0,40})(?: \(code \d+\))?\s?(?:[.:!]|$)",
+        r"\b(?:la|el|esta|este|su|nuestr[oa]) [a-zà-ÿ]+ (?:no se (?:pudo|puede) (?:cargar|mostrar|encontrar|abrir)|ya no existe|no existe|no está disponible[^.]{0,40}|está en mantenimiento[^.]{0,40}|no se ha (?:podido cargar|encontrado))(?: \(código \d+\))?\s?(?:[.:!]|$)",
+        r"\binternal server error\b", r"\bbad gateway\b", r"\bgateway time-?\s?out\b", r"\bservice (?:is )?(?:temporarily )?unavailable\b(?= ?[.:!-]| please|$)", r"\b(?:40[0-9]|410|429|50[0-9]) (?:-|:|–)?\s?(?:not found|forbidden|unauthori[sz]ed|bad request|gone|too many requests|method not allowed|page not found|error)\b", r"\b(?:http|status|error)(?: code)? ?#?\(?(?:40[0-9]|410|429|50[0-9])\)? ?[:.!–-]",
+        r"\berror (?:establishing|connecting to|loading|rendering|retrieving|fetching) (?:a|an|the|this)\b", r"\bsomething went wrong\b", r"\bgo back to the previous page\b", r"\byour session (?:has )?(?:expired|timed out|ended)\b", r"\b(?:please|you must|you need to) (?:sign|log) ?in (?:again )?(?:to|before)\b", r"\byou do not have (?:the )?(?:permission|access|rights)\b", r"\b(?:access|permission) (?:is |was )?(?:denied|forbidden)\s?[.!:](?! in\b)",
+        r"\b(?:requested|this|the) (?:article|page|file|url|resource|document|record|content|item|abstract|chapter|section)(?: you (?:requested|asked for|are looking for))? (?:could not be|cannot be|can't be|was not|has not been) (?:found|located|displayed|loaded|retrieved|shown|opened|rendered) ?(?:on this (?:server|site)|right now|at (?:this|the) (?:time|moment)|any ?more|[.!]|$)",
+        r"\bwe (?:can't|cannot|can not|could ?n[o']t|could not|couldn't) (?:find|load|display|open|locate|process|show) (?:the|this|your|that)\b", r"\bsorry,? (?:this|the|we|but|your|an?)\b", r"\boops\b", r"\b(?:is|are) (?:no longer|not(?: currently)?|temporarily un|currently un) ?available\s?(?:[.:!]|right now)(?= ?(?:it may|please|try|sorry|\S*$))", r"\bit may have been (?:moved|deleted|removed)\b", r"\btoo many requests\b", r"\b(?:please )?(?:try|reload|refresh) (?:again|the page|this page)(?: in \d+ (?:minutes|seconds)| later|\.)",
+        r"\btraceback \(most recent call last\)", r"\b(?:key|type|value|name|index|attribute|runtime|nullpointer|syntax)(?:error|exception): ", r"\bexception in thread\b", r"\bstack trace:", r"\b(?:uncaught|unhandled) (?:exception|error|typeerror)\b", r"\bupstream (?:did not answer|timed out|connect error)", r"\b(?:null|undefined) is not an? (?:object|function)\b", r"\[object object\]", r"\bfatal error: ", r"\b(?:undefined|unexpected) (?:index|variable|token|offset): ", r"\bquery (?:failed|error): ", r"\bsqlstate\b",
+        r"\bzugriff verweigert\s?[.!:]", r"\bihre sitzung ist abgelaufen\b", r"\bder dienst ist (?:vorübergehend|derzeit|zurzeit|momentan) nicht (?:verfügbar|erreichbar)\b", r"\bbitte (?:versuchen|melden|laden|kehren) sie\b", r"\bfehler \d{3} ?[:–-]", r"\b(?:die )?(?:angeforderte|gesuchte|gewünschte) (?:seite|datei|ressource)\b", r"\bseite (?:wurde )?nicht gefunden\b", r"\binterner serverfehler\b", r"\bes ist ein (?:interner |unerwarteter )?fehler aufgetreten\b",
+        r"\bune erreur (?:interne|inattendue|est survenue|s'est produite)\b[^.]{0,40}(?:survenue|produite|$|\.)", r"\bveuillez (?:recharger|réessayer|vous reconnecter|patienter)", r"\berreur \d{3} ?[:–-]", r"\baccès (?:refusé|interdit)\s?[.!:]", r"\bvotre session (?:a expiré|est expirée)\b", r"\bla page (?:demandée|recherchée) (?:est introuvable|n'existe)", r"\b(?:le )?service est (?:temporairement |momentanément )?indisponible\b", r"\bpage introuvable\b",
+        r"\bacceso denegado\s?[.!:]", r"\bsu sesión ha (?:caducado|expirado)\b", r"\bel servicio no está disponible\b", r"\b(?:inténtelo|vuelva a intentarlo|pruebe) (?:de nuevo|más tarde)\b", r"\berror \d{3} ?[:–-]", r"\bla página (?:solicitada|que busca) no (?:existe|se ha encontrado|se encuentra)", r"\bpágina no encontrada\b", r"\bse ha producido un error\b", r"\bha ocurrido un error\b",
+    ],
+    "script": [
+        r"<noscript\b", r"\b(?:please |must |to |and |you need to )?(?:enable|activate|allow|turn on|switch on) (?:java ?scripts?|js|scripts?|scripting|active scripting|client-side scripts?)\b(?! (?:the|diary|questionnaire))", r"\b(?:java ?script|scripting|active scripting|scripts) (?:is|are|has been|appears to be|seems to be) (?:currently )?(?:disabled|turned off|switched off|blocked|deactivated|off|required|not (?:enabled|supported|available))\b", r"\b(?:this|the|our) (?:page|site|app|application|viewer|reader|article|website|content|document)(?: viewer| reader)? (?:requires?|needs?) (?:java ?script|scripts?|scripting)\b", r"\bdoes not support (?:java ?)?scripts?\b", r"\bscripts? must be (?:allowed|enabled)\b", r"\bchecking your browser\b", r"\bwithout (?:java ?script|js|scripts?|client-side scripts|active scripting|it),? (?:the|this) (?:page|reader|viewer|article|view|site) (?:stays|remains|is|cannot|will)\b",
+        r"\bbitte (?:aktivieren|erlauben|schalten) sie\b", r"\b(?:müssen|muss) (?:java ?script|skripte)\b", r"\bohne (?:java ?script|skripte?) (?:bleibt|kann|ist|wird|lässt|funktioniert) (?:diese|die|der|das|dieser|dieses)\b", r"\b(?:java ?script|skripte?) (?:ist|sind) (?:in ihrem browser )?(?:deaktiviert|ausgeschaltet|abgeschaltet|blockiert)\b", r"\bdiese (?:seite|ansicht|anwendung) (?:benötigt|braucht|erfordert) (?:java ?script|skripte)\b",
+        r"\bveuillez (?:activer|autoriser)\b", r"\bl'affichage de (?:cette|la) page nécessite\b", r"\b(?:cette|la) (?:page|vue) (?:nécessite|requiert|exige) (?:l'exécution de |l'activation de )?(?:java ?script|scripts?)\b", r"\bsans (?:java ?script|scripts?),? (?:cette|la|le) (?:page|vue|lecteur|contenu)\b", r"\b(?:java ?script|les scripts) (?:est|sont) désactivés?\b",
+        r"\b(?:active|habilite|permita) (?:java ?script|los scripts)\b", r"\b(?:esta|la) (?:página|vista) (?:necesita|requiere)(?: que)? (?:java ?script|los scripts|scripts)\b", r"\bsin (?:java ?script|js|scripts),? (?:(?:esta|la|el) (?:vista|página|lector|contenido)|no se (?:puede|pueden|podrá) (?:mostrar|ver|cargar))\b", r"\b(?:java ?script|los scripts) (?:está|están) (?:desactivad|deshabilitad)",
+    ],
+}
+# Names in angle brackets that are mark-up.
+MARKUP = set(
+    "a abbr abstract article aside b bdi bdo big blockquote body bold br button caption center cite code col dd del details dfn div dl dt em fig figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins italic kbd label li link list main "
+    "mark math meta nav noscript ol option p para pre q ref s samp sc script sec section select small source span strike strong style sub summary sup svg table tbody td tfoot th thead title tr tt u ul underline var video xml xref".split()
+)
+
+_tag = re.compile(r"<(/?)([a-z][\w.-]{0,60})(?:\s[^<>]{0,300}=[^<>]{0,300})?\s?/?>")
+_angle = re.compile(r"(?<!<)<([a-z][\w.-]{1,60}(?: [\w.-]{1,60})?|[a-z] [\w.-]{1,60})>(?!>)")
+_spaces = re.compile(r"\s+")
+_digits = re.compile(r"\d+")
+
+
+def _needed(parts: Iterable) -> set[str] | None:
+    """Literals of which one occurs in every match of a parsed pattern; None if there are none."""
+    found: list[set[str]] = []
+    run = ""
+    for op, value in [*parts, (None, None)]:
+        if op == parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append({run})
+            run = ""
+        inner: set[str] | None = None
+        if op == parser.SUBPATTERN:
+            inner = _needed(value[3])
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
+            inner = _needed(value[2])
+        elif op == parser.BRANCH:
+            sides = [_needed(side) for side in value[1]]
+            inner = None if None in sides else set().union(*sides)
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+class Evidence:
+    """The patterns of EVIDENCE, each tried only on texts that hold a literal without which it cannot match."""
+
+    def __init__(self) -> None:
+        self.patterns = [(kind, re.compile(p)) for kind, patterns in EVIDENCE.items() for p in patterns]
+        self.always, by_literal = [], defaultdict(list)
+        for i, (_, p) in enumerate(self.patterns):
+            literals = _needed(parser.parse(p.pattern)) or set()
+            if not literals or min(map(len, literals)) < 2:
+                self.always.append(i)
+                continue
+            for x in literals:
+                by_literal[x].append(i)
+        self.literals = ahocorasick.Automaton()
+        for x, ids in by_literal.items():
+            self.literals.add_word(x, ids)
+        self.literals.make_automaton()
+
+    def kind(self, text: str) -> str | None:
+        """The kind of the first pattern that occurs in a plain text."""
+        tried = set(self.always)
+        for _, ids in self.literals.iter(text):
+            tried.update(ids)
+        return next((self.patterns[i][0] for i in sorted(tried) if self.patterns[i][1].search(text)), None)
+
+
+def evidence() -> Evidence:
+    """The compiled evidence, kept for the life of the Python worker."""
+    kept = sys.__dict__
+    if "_claimloom_evidence" not in kept:
+        kept["_claimloom_evidence"] = Evidence()
+    return kept["_claimloom_evidence"]
+
+
+def plain(text: str) -> str:
+    """Text in which evidence is looked for: NFKC, lower case, entities resolved, invisible characters removed; lines stay."""
+    for _ in range(2):
+        if "&" not in text:
+            break
+        text = html.unescape(text)
+    text = unicodedata.normalize("NFKC", text).replace("’", "'").replace("‘", "'").lower()
+    if not text.isascii():
+        text = "".join(c for c in text if c == "\n" or unicodedata.category(c) not in ("Cf", "Mn"))
+        text = unicodedata.normalize("NFC", text)
+    return text
+
+
+def unmarked(text: str) -> str:
+    """Plain text without mark-up tags (noscript stays, it is evidence); runs of white space are one space."""
+    return _spaces.sub(" ", _tag.sub(lambda m: " " if m[2] in MARKUP and m[2] != "noscript" else m[0], text)).strip()
+
+
+def line_keys(text: str | None) -> list[str]:
+    """The distinct normalised lines of a text that are not blank, digits made #."""
+    if not text:
+        return []
+    return list(dict.fromkeys(k for line in plain(text).split("\n") if (k := _digits.sub("#", unmarked(line)))))
+
+
+def residue_kind(text: str | None, boilerplate: Collection[int] = ()) -> str | None:
+    """The first kind of evidence in what is left of a text without its host's boilerplate lines; null if none.
+
+    A record of nothing but boilerplate keeps its lines: nothing else stands in them.
+    """
+    if not text:
+        return None
+    lines = [x for line in plain(text).split("\n") if (x := unmarked(line))]
+    if boilerplate:
+        lines = [x for x in lines if line_hash(_digits.sub("#", x)) not in boilerplate] or lines
+    rest = " ".join(lines)
+    if kind := evidence().kind(rest):
+        return kind
+    for name in _angle.findall(rest):
+        if name not in MARKUP and f"</{name}" not in rest:
+            return "placeholder"
+    return None
+
+
+def host_key(host: str) -> Column:
+    """A source however it is written; '' for null and blank."""
+    return F.coalesce(F.regexp_replace(F.trim(F.lower(F.regexp_replace(host, r"(?U)[\s_-]+", " "))), " ", "_"), F.lit(""))
+
+
+def line_hash(key: str) -> int:
+    """A signed 64-bit hash of a normalised line."""
+    h = xxhash.xxh3_64_intdigest(key)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def boilerplate_lines(texts: DataFrame, host: str = "source", text: str = "text", share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_RECORDS) -> DataFrame:
+    """``host``, ``line`` (hash): the normalised lines that recur on a host, in ``share`` of its records and at least ``least``.
+
+    All lines of all records are counted by host, with partial counts before the shuffle; only hashes are shuffled. A host keeps at
+    most (lines of an average record / share) of them, however many records there are.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: [line_hash(k) for k in line_keys(t)])
+
+    rows = texts.select(host_key(host).alias("host"), hashes(F.col(text)).alias("_lines"))
+    totals = texts.groupBy(host_key(host).alias("host")).agg(F.count("*").alias("_all"))
+    counts = rows.select("host", F.explode("_lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return counts.join(totals, "host").where(F.col("_n") >= F.col("_all") * share).select("host", "line")
+
+
+def residue(texts: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_RECORDS, most_lines: int = 100_000) -> DataFrame:
+    """``texts`` with ``residue``: the kind of evidence found (placeholder, filler, error, script), null for content.
+
+    Lines are counted by host, recurrent boilerplate is subtracted, and the rest of each record is searched, whole. Null and empty
+    texts have no evidence. The boilerplate goes to all executors if its number, which is checked, is at most ``most_lines``;
+    beyond that it is joined by host. Records keep all their columns; a column named residue is replaced.
+    """
+    lines = cut(boilerplate_lines(texts, host, text, share, least))
+    few = lines.limit(most_lines + 1).collect()
+    if len(few) <= most_lines:
+        known: dict[str, set[int]] = {}
+        for h, line in few:
+            known.setdefault(h, set()).add(line)
+
+        @F.pandas_udf(T.StringType())
+        def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for bodies, hosts in batches:
+                yield pd.Series([residue_kind(t, known.get(h, ())) for t, h in zip(bodies, hosts)], dtype=object)
+
+        return texts.withColumn("residue", search(F.col(text), host_key(host)))
+
+    @F.pandas_udf(T.StringType())
+    def search_joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bodies, own in batches:
+            yield pd.Series([residue_kind(t, () if x is None else set(x)) for t, x in zip(bodies, own)], dtype=object)
+
+    by_host = lines.groupBy("host").agg(F.collect_list("line").alias("_own")).withColumnRenamed("host", "_host")
+    joined = texts.withColumn("_host", host_key(host)).join(by_host, "_host", "left")
+    return joined.withColumn("residue", search_joined(F.col(text), F.col("_own"))).drop("_host", "_own")
