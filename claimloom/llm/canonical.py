@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.lineage import cut
-from claimloom.llm.names import grams, is_generic, match_keys, same_but_for_typing
+from claimloom.llm.names import common_words, grams, is_generic, match_keys, same_but_for_typing
 from claimloom.llm.setjoin import jaccard_join
 from claimloom.sources.tables import current_rows
 
-#: Least Jaccard similarity of the 3-gram sets of a name and a reference form.
-SIMILARITY = "0.4"
+#: Least Jaccard similarity of the token sets of a name and a reference form. Two letters exchanged in a seven-letter name leave 0.38.
+SIMILARITY = "0.3"
 
 
 def reference_forms(terms: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -50,8 +50,11 @@ def closest_terms(keys: DataFrame, forms: DataFrame, similarity: str = SIMILARIT
     Candidates come from the prefix-filtered similarity join; they count if they differ from the form by typing only. The least number of
     edits, then the highest similarity wins; entries that share the best form, or tie, all stay.
     """
-    side = lambda df: df.select("form_key").distinct().withColumn("_grams", grams(F.col("form_key")))
-    pairs = jaccard_join(side(keys), side(forms), "form_key", "_grams", similarity)
+    forms = cut(forms)
+    left, right = keys.select("form_key").distinct(), forms.select("form_key").distinct()
+    common = common_words(left.unionByName(right))
+    side = lambda df: df.withColumn("_grams", grams(F.col("form_key"), common))
+    pairs = jaccard_join(side(left), side(right), "form_key", "_grams", similarity)
     good = pairs.where(same_but_for_typing(F.col("left_key"), F.col("right_key"))).withColumn("edits", F.levenshtein("left_key", "right_key"))
     rank = F.rank().over(Window.partitionBy("left_key").orderBy(F.least("edits", F.lit(3)), F.desc("jaccard")))
     best = good.withColumn("_rank", rank).where("_rank = 1").select(F.col("left_key").alias("form_key"), F.col("right_key").alias("_form"), "jaccard", "edits")

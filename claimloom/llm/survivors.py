@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.lineage import cut
 from claimloom.llm.canonical import SIMILARITY, map_to_terms, name_evidence
-from claimloom.llm.names import grams, is_generic, match_keys, same_but_for_typing
+from claimloom.llm.names import common_words, grams, is_generic, match_keys, same_but_for_typing
 from claimloom.llm.setjoin import jaccard_join
 
 # Wordings for "not known", "not given", "to come".
@@ -47,7 +47,8 @@ def entity_keys(records: DataFrame, terms: DataFrame, index: DataFrame | None =
     known = mapped.where("status = 'matched'").select("record_id", F.concat(F.lit("term:"), "term_id").alias("entity_key"), (F.col("jaccard") == 1).alias("exact"))
     rank = F.when(F.col("source") == "name", 0).when(F.col("source") == "surface", 1).otherwise(2)
     other = evidence.join(mapped.where("status = 'unmatched'"), "record_id", "left_semi").groupBy("record_id").agg(F.min_by("form_key", F.struct(rank, "form_key")).alias("form_key"))
-    counts = cut(other.groupBy("form_key").agg(F.count("*").alias("_n")).withColumn("_grams", grams(F.col("form_key"))))
+    counts = cut(other.groupBy("form_key").agg(F.count("*").alias("_n")))
+    counts = counts.withColumn("_grams", grams(F.col("form_key"), common_words(counts)))
     pairs = jaccard_join(counts, None, "form_key", "_grams", similarity).where(same_but_for_typing(F.col("left_key"), F.col("right_key")))
     both = pairs.select(F.col("left_key").alias("form_key"), F.col("right_key").alias("_to")).unionByName(pairs.select(F.col("right_key").alias("form_key"), F.col("left_key").alias("_to")))
     n = counts.select(F.col("form_key").alias("_to"), F.col("_n").alias("_m"))
