@@ -117,7 +117,7 @@ def chunk_header(text: Column) -> Column:
 
 def chunk_body(text: Column) -> Column:
     """The text after the rule of equal signs; the whole text without one."""
-    return F.trim(F.regexp_replace(text, r"(?s)^.*?={10,}\s*", ""))
+    return stripped(F.regexp_replace(text, r"(?s)^.*?={10,}\s*", ""))
 
 
 def without_thoughts(text: Column) -> Column:
