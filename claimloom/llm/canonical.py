@@ -10,8 +10,8 @@ from claimloom.llm.names import common_words, grams, is_generic, match_keys, sam
 from claimloom.llm.setjoin import jaccard_join
 from claimloom.sources.tables import current_rows
 
-#: Least Jaccard similarity of the token sets of a name and a reference form. Two letters exchanged in a seven-letter name leave 0.38.
-SIMILARITY = "0.3"
+#: Least Jaccard similarity of the token sets of a name and a reference form. A five-letter name keeps 0.22 when the long word beside it is misspelt.
+SIMILARITY = "0.2"
 
 
 def reference_forms(terms: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -54,8 +54,7 @@ def closest_terms(keys: DataFrame, forms: DataFrame, similarity: str = SIMILARIT
     left, right = keys.select("form_key").distinct(), forms.select("form_key").distinct()
     common = common_words(left.unionByName(right))
     side = lambda df: df.withColumn("_grams", grams(F.col("form_key"), common))
-    pairs = jaccard_join(side(left), side(right), "form_key", "_grams", similarity)
-    good = pairs.where(same_but_for_typing(F.col("left_key"), F.col("right_key"))).withColumn("edits", F.levenshtein("left_key", "right_key"))
+    good = jaccard_join(side(left), side(right), "form_key", "_grams", similarity, same_but_for_typing).withColumn("edits", F.levenshtein("left_key", "right_key"))
     rank = F.rank().over(Window.partitionBy("left_key").orderBy(F.least("edits", F.lit(3)), F.desc("jaccard")))
     best = good.withColumn("_rank", rank).where("_rank = 1").select(F.col("left_key").alias("form_key"), F.col("right_key").alias("_form"), "jaccard", "edits")
     return best.join(forms.withColumnRenamed("form_key", "_form"), "_form").groupBy("form_key", "term_id").agg(F.first("term_type").alias("term_type"), F.max("jaccard").alias("jaccard"), F.min("edits").alias("edits"))

@@ -107,6 +107,7 @@ def same_variant(a: Column, b: Column) -> Column:
 
 def same_but_for_typing(a: Column, b: Column, edits: int = 2, least: int = 8) -> Column:
     """Whether two keys differ by at most ``edits`` edits or a cut-off end. Keys under ``least`` characters must be equal."""
-    shorter = F.least(F.length(a), F.length(b))
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     cut = F.startswith(b, a) | F.startswith(a, b)
-    return (a == b) | ((shorter >= least) & same_variant(a, b) & ((F.levenshtein(a, b, edits) >= 0) | cut))
+    close = ((longer - shorter <= edits) & (F.levenshtein(a, b, edits) >= 0)) | cut
+    return (a == b) | ((shorter >= least) & close & same_variant(a, b))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.lineage import cut
+
 
 def _ordered(sets: DataFrame, key: str, tokens: str, frequency: DataFrame) -> DataFrame:
     """``key``, ``_set`` (tokens, globally rarest first) and ``_size`` of every non-empty set."""
@@ -15,12 +18,14 @@ def _ordered(sets: DataFrame, key: str, tokens: str, frequency: DataFrame) -> Da
     return placed.select(key, F.col("_at._token").alias("_set"), F.size("_at").alias("_size"))
 
 
-def jaccard_join(left: DataFrame, right: DataFrame | None, key: str, tokens: str, threshold: Fraction | str | float) -> DataFrame:
+def jaccard_join(left: DataFrame, right: DataFrame | None, key: str, tokens: str, threshold: Fraction | str | float, also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """All pairs of sets with Jaccard similarity of at least ``threshold`` (above 0): ``left_key``, ``right_key``, ``jaccard``.
 
     Tokens are ordered by global rarity; only the rare prefix of each set, which a similar set must meet, is joined.
-    Candidates pass length and positional filters and are verified exactly. A pair is produced at its first common prefix
+    Candidates pass length and positional filters and are verified exactly. A pair is verified at its first common prefix
     token only, so no distinct is needed. ``right=None`` joins ``left`` with itself, each pair once, left_key < right_key.
+    ``also`` is a further condition on the two keys, tested on candidates that carry no sets; what is left is made distinct and meets its sets again. So a
+    cheap and selective one saves most of the work.
     Keys must be unique; null keys, null and empty sets have no partner.
     """
     t = Fraction(str(threshold))
@@ -35,20 +40,29 @@ def jaccard_join(left: DataFrame, right: DataFrame | None, key: str, tokens: str
     n, d = t.numerator, t.denominator
     ceiling = lambda x, a, b: F.ceil((x * a) / F.lit(float(b)) - 1e-9).cast("int")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def placed(df: DataFrame) -> DataFrame:
         prefix = F.col("_size") - ceiling(F.col("_size"), n, d) + 1
-        whole = _ordered(df, key, tokens, frequency).withColumn("_prefix", F.slice("_set", 1, prefix))
-        part = whole.select("*", F.posexplode("_prefix").alias("_pos", "_token"))
-        return part.select("_token", *(F.col(c).alias(f"{name}{c}") for c in (key, "_set", "_size", "_prefix", "_pos")))
+        return _ordered(df, key, tokens, frequency).withColumn("_prefix", F.slice("_set", 1, prefix))
+
+    def named(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.select(*(c for c in df.columns if c == "_token"), *(F.col(c).alias(f"{name}{c}") for c in (key, *columns)))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        scored = pairs.withColumn("_common", F.size(F.array_intersect("l__set", "r__set"))).withColumn("_union", F.col("l__size") + F.col("r__size") - F.col("_common"))
+        return scored.where(F.col("_common") * d >= F.col("_union") * n).select(F.col(f"l_{key}").alias("left_key"), F.col(f"r_{key}").alias("right_key"), (F.col("_common") / F.col("_union")).alias("jaccard"))
 
-    a, b = side(left, "l_"), side(right, "r_")
+    wide = also is None
+    whole_a = placed(left) if wide else cut(placed(left))
+    whole_b = whole_a if own else placed(right) if wide else cut(placed(right))
+    carried = ("_set", "_size", "_prefix", "_pos") if wide else ("_size", "_pos")
+    a, b = (named(x.select("*", F.posexplode("_prefix").alias("_pos", "_token")), side, *carried) for x, side in ((whole_a, "l_"), (whole_b, "r_")))
     small, large = F.least("l__size", "r__size"), F.greatest("l__size", "r__size")
     needed = ceiling(F.col("l__size") + F.col("r__size"), n, n + d)
     reachable = F.least(F.col("l__size") - F.col("l__pos"), F.col("r__size") - F.col("r__pos"))
     pairs = a.join(b, "_token").where((small * d >= large * n) & (reachable >= needed))
     if own:
         pairs = pairs.where(F.col(f"l_{key}") < F.col(f"r_{key}"))
-    pairs = pairs.where(F.element_at(F.array_intersect("l__prefix", "r__prefix"), 1) == F.col("_token"))
-    common: Column = F.size(F.array_intersect("l__set", "r__set"))
-    scored = pairs.withColumn("_common", common).withColumn("_union", F.col("l__size") + F.col("r__size") - F.col("_common"))
-    return scored.where(F.col("_common") * d >= F.col("_union") * n).select(F.col(f"l_{key}").alias("left_key"), F.col(f"r_{key}").alias("right_key"), (F.col("_common") / F.col("_union")).alias("jaccard"))
+    if wide:
+        return similar(pairs.where(F.element_at(F.array_intersect("l__prefix", "r__prefix"), 1) == F.col("_token")))
+    few = pairs.where(also(F.col(f"l_{key}"), F.col(f"r_{key}"))).select(f"l_{key}", f"r_{key}").distinct()
+    return similar(few.join(named(whole_a, "l_", "_set", "_size"), f"l_{key}").join(named(whole_b, "r_", "_set", "_size"), f"r_{key}"))

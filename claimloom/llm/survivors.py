@@ -49,7 +49,7 @@ def entity_keys(records: DataFrame, terms: DataFrame, index: DataFrame | None =
     other = evidence.join(mapped.where("status = 'unmatched'"), "record_id", "left_semi").groupBy("record_id").agg(F.min_by("form_key", F.struct(rank, "form_key")).alias("form_key"))
     counts = cut(other.groupBy("form_key").agg(F.count("*").alias("_n")))
     counts = counts.withColumn("_grams", grams(F.col("form_key"), common_words(counts)))
-    pairs = jaccard_join(counts, None, "form_key", "_grams", similarity).where(same_but_for_typing(F.col("left_key"), F.col("right_key")))
+    pairs = jaccard_join(counts, None, "form_key", "_grams", similarity, same_but_for_typing)
     both = pairs.select(F.col("left_key").alias("form_key"), F.col("right_key").alias("_to")).unionByName(pairs.select(F.col("right_key").alias("form_key"), F.col("left_key").alias("_to")))
     n = counts.select(F.col("form_key").alias("_to"), F.col("_n").alias("_m"))
     above = both.join(n, "_to").join(counts.select("form_key", "_n"), "form_key").where("_m > _n OR (_m = _n AND _to < form_key)")
@@ -126,7 +126,7 @@ def best_records(records: DataFrame, keys: DataFrame, group: tuple[str, ...] = (
     Columns: the group, ``survivor_id``, ``n_records``, ``canonical_name``, ``entity_type``, ``key_properties`` (filled ones only),
     ``paper_ids`` (all, ascending, without nulls and repeats), ``layers``. The survivor is the lexicographic best by completeness,
     recency, trust and lowest record_id, hence never dominated. Every field takes the value of the lowest dominance layer
-    that fills it, in a layer by the same policy. A group without any name or type has null there.
+    that fills it, in a layer by the same policy; name and type come from the most trusted record first. A group without any name or type has null there.
     """
     group = list(group)
     rows = cut(rated(records, keys).select(*group, "record_id", "canonical_name", "entity_type", "_filled", "paper_ids", "completeness", "recency", "trust", "_named"))
@@ -140,7 +140,7 @@ def best_records(records: DataFrame, keys: DataFrame, group: tuple[str, ...] = (
     ranked = offers.join(layers, [*group, "record_id"]).withColumn("_order", F.struct("layer", -F.col("completeness"), -F.unix_micros(F.col("recency").cast("timestamp")), -F.col("trust"), "record_id"))
     values = ranked.select(*group, "_order", F.explode("_filled").alias("_k", "_v")).groupBy(*group, "_k").agg(F.min_by("_v", "_order").alias("_v"))
     properties = values.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("key_properties"))
-    one = lambda c, when: F.min_by(F.when(when, F.col(c)), F.when(when, F.col("_order")))
+    one = lambda c, when: F.min_by(F.when(when, F.col(c)), F.when(when, F.struct(-F.col("trust"), "_order")))
     heads = ranked.groupBy(*group).agg(one("canonical_name", F.col("_named")).alias("canonical_name"), one("entity_type", F.trim("entity_type") != "").alias("entity_type"), F.max("layer").alias("layers"))
     out = survivors.join(heads, group).join(properties, group, "left").join(papers, group, "left")
     return out.select(*group, "survivor_id", "n_records", "canonical_name", "entity_type", F.coalesce("key_properties", F.create_map().cast("map<string,string>")).alias("key_properties"), F.coalesce("paper_ids", F.array().cast("array<int>")).alias("paper_ids"), "layers")
