@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom import config
-from claimloom.functions.text import is_content_section
+from claimloom.functions.text import is_content_section, stripped
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
@@ -39,3 +39,20 @@ def batches(rows: DataFrame, *order: str, size: int = config.BATCH, within: str
     """``rows`` with ``batch``, numbered from 1 in groups of ``size``. Give ``within`` for large tables: an order over all rows is one task's work."""
     window = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(*order)
     return rows.withColumn("batch", F.ceil(F.row_number().over(window) / F.lit(size)).cast("int"))
+
+
+def full_text_fallback(documents: DataFrame, headers: DataFrame) -> DataFrame:
+    """Sections (paper_id, section_no, header, next_header), and one section "Full Text" of each document (paper_id) that has no content section."""
+    ends = section_ends(headers).select("paper_id", "section_no", "header", "next_header")
+    bare = documents.select("paper_id").distinct().join(ends.select("paper_id"), "paper_id", "left_anti")
+    return ends.unionByName(bare.select("paper_id", F.lit(1).alias("section_no"), F.lit("Full Text").alias("header"), F.lit(None).cast("string").alias("next_header")))
+
+
+def section_bodies(documents: DataFrame, sections: DataFrame) -> DataFrame:
+    """``paper_id``, ``section_no``, ``header``, ``body``: the text (column text) from a header's line to the next one's; all of it for a header that does not occur and for "Full Text"."""
+    rows = sections.join(documents.select("paper_id", "text"), "paper_id")
+    at = "instr(concat('\\n', text), concat('\\n', header))"
+    rest = F.when(F.expr(at) > 0, F.expr(f"substring(text, {at} + length(header))")).otherwise(F.col("text"))
+    end = F.expr("coalesce(instr(_rest, concat('\\n', next_header)), 0)")
+    body = F.when(end > 0, F.expr("substring(_rest, 1, instr(_rest, concat('\\n', next_header)) - 1)")).otherwise(F.col("_rest"))
+    return rows.withColumn("_rest", rest).select("paper_id", "section_no", "header", stripped(body).alias("body"))
