@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from claimloom.lineage import cut
 
 #: Vectors per partition, most vectors the partitioning is learned from, aimed-at recall of routing, most index rows and queries of a task.
-PART_ROWS, FIT_ROWS, RECALL, BLOCK_ROWS, QUERY_ROWS = 8_192, 20_000, 0.95, 32_768, 131_072
+PART_ROWS, FIT_ROWS, RECALL, BLOCK_ROWS, QUERY_ROWS = 8_192, 20_000, 0.98, 32_768, 131_072
 
 
 def usable(vector: str, dimensions: int) -> Column:
@@ -30,15 +30,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _top(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and single-precision products of the k best rows for each query, in blocks, unordered."""
-    k = min(k, len(rows))
+    """Positions and single-precision products of the k best rows for each query, in blocks, unordered.
+
+    The k-th best of every fourth product is a floor that the k-th best of all cannot lie under; only the products above it are compared further.
+    """
+    n = len(rows)
+    k = min(k, n)
     where, value = np.empty((len(queries), k), dtype=np.int64), np.empty((len(queries), k), dtype=np.float32)
     flat = np.ascontiguousarray(rows.T, dtype=np.float32)
-    step = max(1, 8_000_000 // len(rows))
-    for i in range(0, len(queries), step):
+    step, stride = max(1, 2_000_000 // max(1, n)), 4 if n >= 32 * k else 1
+    for i in range(0, len(queries), step) if k else ():
         products = queries[i : i + step].astype(np.float32) @ flat
-        best = np.argpartition(products, -k, axis=1)[:, -k:]
-        where[i : i + step], value[i : i + step] = best, np.take_along_axis(products, best, axis=1)
+        some = np.ascontiguousarray(products[:, ::stride])
+        floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k]
+        flat_at = np.flatnonzero((products >= floor[:, None]).ravel())
+        at = flat_at // n
+        counts = np.bincount(at, minlength=len(products))
+        slot = np.arange(len(at)) - (counts.cumsum() - counts)[at]
+        kept, column = np.full((len(products), counts.max()), -np.inf, dtype=np.float32), np.zeros((len(products), counts.max()), dtype=np.int64)
+        kept[at, slot], column[at, slot] = products.ravel()[flat_at], flat_at - at * n
+        best = np.argpartition(kept, kept.shape[1] - k, axis=1)[:, kept.shape[1] - k :]
+        where[i : i + step], value[i : i + step] = np.take_along_axis(column, best, axis=1), np.take_along_axis(kept, best, axis=1)
     return where, value
 
 
