@@ -90,7 +90,6 @@ MARKUP = set(
 _tag = re.compile(r"<(/?)([a-z][\w.-]{0,60})(?:\s[^<>]{0,300}=[^<>]{0,300})?\s?/?>")
 _angle = re.compile(r"(?<!<)<([a-z][\w.-]{1,60}(?: [\w.-]{1,60})?|[a-z] [\w.-]{1,60})>(?!>)")
 _invisible = re.compile("[\u00ad\u0300-\u036f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
-_spaces = re.compile(r"\s+")
 _digits = re.compile(r"\d+")
 
 
@@ -166,7 +165,9 @@ def plain(text: str) -> str:
 
 def unmarked(text: str) -> str:
     """Plain text without mark-up tags (noscript stays, it is evidence); runs of white space are one space."""
-    return _spaces.sub(" ", _tag.sub(lambda m: " " if m[2] in MARKUP and m[2] != "noscript" else m[0], text)).strip()
+    if "<" in text:
+        text = _tag.sub(lambda m: " " if m[2] in MARKUP and m[2] != "noscript" else m[0], text)
+    return " ".join(text.split())
 
 
 def line_keys(text: str | None) -> list[str]:
@@ -183,10 +184,11 @@ def residue_kind(text: str | None, boilerplate: Collection[int] = ()) -> str | N
     """
     if not text:
         return None
-    lines = [x for line in plain(text).split("\n") if (x := unmarked(line))]
     if boilerplate:
-        lines = [x for x in lines if line_hash(_digits.sub("#", x)) not in boilerplate] or lines
-    rest = " ".join(lines)
+        lines = [x for line in plain(text).split("\n") if (x := unmarked(line))]
+        rest = " ".join([x for x in lines if line_hash(_digits.sub("#", x)) not in boilerplate] or lines)
+    else:
+        rest = unmarked(plain(text))
     if kind := evidence().kind(rest):
         return kind
     for name in _angle.findall(rest):
