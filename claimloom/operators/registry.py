@@ -33,17 +33,22 @@ def claim_registry(mentions: DataFrame) -> DataFrame:
     polarity counts nowhere; types come from the first mention, of equal certainties too; blank evidence is no evidence.
     """
     good = mentions.where(is_well_formed("source_name", "relation_type", "target_name"))
+    spoken = stripped(F.coalesce("evidence", F.lit(""))) != ""
     rows = good.select(
-        stripped("source_name").alias("source_name"), "source_type", stripped("relation_type").alias("relation_type"), stripped("target_name").alias("target_name"), "target_type",
-        F.coalesce("polarity", F.lit("positive")).alias("polarity"), F.coalesce("certainty", F.lit("moderate")).alias("certainty"), "paper_id", "evidence", "section_type", "seq",
+        stripped("source_name").alias("source_name"), stripped("relation_type").alias("relation_type"), stripped("target_name").alias("target_name"), "source_type", "target_type",
+        F.coalesce("polarity", F.lit("positive")).alias("polarity"), F.coalesce("certainty", F.lit("moderate")).alias("certainty"), "paper_id", spoken.cast("long").alias("_spoken"), "seq",
     )
+    # Strings as aggregates would need a sort of all mentions; as keys of counts and least positions they are hashed.
+    key, kind = ["source_name", "relation_type", "target_name"], ["source_type", "target_type", "polarity", "certainty"]
+    kinds = rows.groupBy(*key, *kind).agg(F.count("*").alias("_n"), F.sum("_spoken").alias("_spoken"), F.min("seq").alias("seq"))
+    papers = rows.where("paper_id IS NOT NULL").select(*key, "paper_id").distinct().groupBy(*key).agg(F.count("*").alias("paper_count"))
     rank = weight(F.col("certainty"), config.CERTAINTY_RANKS, -1)
-    counts = [F.count_if(F.col("polarity") == p).alias(f"n_{p}") for p in config.POLARITIES]
-    spoken = stripped(F.coalesce("evidence", F.lit(""))) != ""
-    return rows.groupBy("source_name", "relation_type", "target_name").agg(
-        *counts, F.max_by("certainty", F.struct(rank, -F.col("seq"))).alias("certainty_max"), F.countDistinct("paper_id").alias("paper_count"), F.count("*").alias("mentions"),
-        F.count_if(spoken).alias("evidence_count"), F.min_by("source_type", "seq").alias("source_type"), F.min_by("target_type", "seq").alias("target_type"),
-    ).withColumn("claim_signature", F.concat_ws("|", "source_name", "relation_type", "target_name"))
+    counts = [F.sum(F.when(F.col("polarity") == p, F.col("_n")).otherwise(0)).alias(f"n_{p}") for p in config.POLARITIES]
+    claims = kinds.groupBy(*key).agg(
+        *counts, F.max_by("certainty", F.struct(rank, -F.col("seq"))).alias("certainty_max"), F.sum("_n").alias("mentions"), F.sum("_spoken").alias("evidence_count"),
+        F.min_by("source_type", "seq").alias("source_type"), F.min_by("target_type", "seq").alias("target_type"),
+    )
+    return claims.join(papers, key, "left").withColumn("paper_count", F.coalesce("paper_count", F.lit(0).cast("long"))).withColumn("claim_signature", F.concat_ws("|", *key))
 
 
 def evidence_rows(mentions: DataFrame) -> DataFrame:
@@ -105,9 +110,15 @@ def fuzzy_pairs(names: DataFrame, score: float = config.MERGE_SCORE, protected:
     longest = F.length("_w") * (200 / score)
     edits = F.floor(longest * (100 - score) / 100)
     ordered = exploded.join(counts, "_t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_o"))
-    prefix = rows.join(ordered, "name").withColumn("_p", F.explode(F.slice(F.col("_o._t"), 1, (2 * edits + 1).cast("int")))).select("name", "seq", "_w", "_p")
-    a, b = prefix.select(*(F.col(c).alias(f"a_{c}") for c in ("name", "seq", "_w")), "_p"), prefix.select(*(F.col(c).alias(f"b_{c}") for c in ("name", "seq", "_w")), "_p")
-    pairs = a.join(b, "_p").where("a_seq < b_seq").where(may_reach(F.col("a__w"), F.col("b__w"), score)).select("a_name", "b_name").distinct()
+    # Presence of bigrams in 128 bits: an insertion or deletion changes at most three bigrams, hence three bits.
+    place = lambda g: F.pmod(F.xxhash64(g), F.lit(128))
+    bits = lambda low: F.aggregate("_g", F.lit(0).cast("long"), lambda b, g: F.when((place(g) < 64) == F.lit(low), b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(g), F.lit(64)).cast("int")))).otherwise(b))
+    kept = ["name", "seq", "_w", "_b", "_c"]
+    prefix = rows.withColumn("_b", bits(True)).withColumn("_c", bits(False)).join(ordered, "name").withColumn("_p", F.explode(F.slice(F.col("_o._t"), 1, (2 * edits + 1).cast("int")))).select(*kept, "_p")
+    a, b = (prefix.select(*(F.col(c).alias(f"{side}_{c}") for c in kept), "_p") for side in "ab")
+    changed = F.bit_count(F.col("a__b").bitwiseXOR(F.col("b__b"))) + F.bit_count(F.col("a__c").bitwiseXOR(F.col("b__c")))
+    alike = changed <= 3 * F.floor((F.length("a__w") + F.length("b__w")) * (100 - score) / 100 + 1e-9)
+    pairs = a.join(b, "_p").where("a_seq < b_seq").where(alike).where(may_reach(F.col("a__w"), F.col("b__w"), score)).select("a_name", "b_name").distinct()
     scored = pairs.withColumn("score", sorted_score("a_name", "b_name"))
     return scored.where(F.col("score") >= score).select(F.col("a_name").alias("early"), F.col("b_name").alias("late"), "score")
 

@@ -9,12 +9,18 @@ from claimloom import config
 from claimloom.functions.similarity import composite_score, ratio_score
 from claimloom.functions.text import ngrams, tokens
 from claimloom.functions.vector import cosine, literal
+from claimloom.lineage import cut
 from claimloom.operators import graph, ranking
 
 
+def literal_names(spark: SparkSession, names: list[str]) -> DataFrame:
+    """``pos``, ``name`` of a few names, made in the JVM."""
+    return spark.range(0, 1, 1, 1).select(F.posexplode(F.array(*(F.lit(n) for n in names))).alias("pos", "name"))
+
+
 def spans(spark: SparkSession, question: str) -> DataFrame:
     """``span``, ``n``, ``at``: the distinct token n-grams of a question, each in its first casing."""
-    rows = spark.range(1).select(F.explode(ngrams(F.lit(question))).alias("g")).select("g.*")
+    rows = spark.range(0, 1, 1, 1).select(F.explode(ngrams(F.lit(question))).alias("g")).select("g.*")
     first = Window.partitionBy(F.lower("span")).orderBy("n", "at")
     return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
@@ -25,7 +31,8 @@ def match_entities(question_spans: DataFrame, entities: DataFrame, score: float
     A span must have at least ``coverage`` of the name's tokens. Names under five letters are compared strictly, others by the composite ratio.
     The spans of one question are few (at most a few hundred), so they are broadcast to the names and the registry is read once.
     """
-    names = entities.select("canonical_name", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name <> ''")
+    parallel = entities.sparkSession.sparkContext.defaultParallelism  # scores cost more than moving the names
+    names = entities.repartition(parallel).select("canonical_name", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name <> ''")
     needed = F.ceil(F.size(tokens(F.col("name"))) * coverage)
     few = question_spans.select("span", F.size(F.split("span", " ")).alias("_size"))
     pairs = names.withColumn("_needed", needed).join(F.broadcast(few), F.col("_size") >= F.col("_needed"))
@@ -53,7 +60,7 @@ def candidate_paths(claims: DataFrame, names: list[str], generic: list[str] | No
     direct = graph.one_hop(claims, names, generic).select(F.col("claim_signature").alias("path_signature"), F.lit(1).alias("length"), F.array("source_name", "target_name").alias("entities"), F.array("relation_type").alias("relations"), "quality", "cosine")
     if hops < 2 or len(names) < 2:
         return direct
-    matched = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+    matched = literal_names(spark, names)
     chains = graph.two_hop(claims, graph.anchor_pairs(matched, generic), CARRIED, generic)
     chains = chains.select("path_signature", F.lit(2).alias("length"), F.array("source_name", "bridge_name", "target_name").alias("entities"), F.array("c1_relation_type", "c2_relation_type").alias("relations"), (F.col("c1_quality") * F.col("c2_quality")).alias("quality"), ((F.col("c1_cosine") + F.col("c2_cosine")) / 2).alias("cosine"))
     return graph.merge_paths(direct, chains)
@@ -63,7 +70,8 @@ def final_paths(claims: DataFrame, evidence: DataFrame, names: list[str], query:
     """The ranked paths about matched entities: pre-filter by quality, re-rank by cosine, quotas."""
     generic = config.GENERIC_ENTITIES if generic is None else generic
     specific = [n for n in names if n not in generic]
-    paths = candidate_paths(scored_claims(claims, evidence, query), names, generic)
+    scored = cut(scored_claims(claims, evidence, query).select(*CARRIED, *(f"n_{p}" for p in config.EDGE_POLARITIES)))  # read three times below
+    paths = candidate_paths(scored, names, generic)
     kept = ranking.pre_filter(paths, specific, names)
     hybrid = kept.withColumn("hybrid", F.col("cosine")).withColumn("both_ends", ranking.has_both_ends(F.col("entities"), names))
     return ranking.quotas(hybrid)

@@ -219,7 +219,7 @@ def evidence_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def anchored_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The pairs of matched entities."""
-    return graph.anchor_pairs(spark.createDataFrame(list(enumerate(NAMES)), "pos int, name string"), GENERIC)
+    return graph.anchor_pairs(retrieval.literal_names(spark, NAMES), GENERIC)
 
 
 @query
