@@ -63,6 +63,12 @@ def with_retries(call: Callable, batch: Sequence, tries: int = 3, wait: float =
     raise AssertionError
 
 
+def _aligned(batch: pd.Series, asked: pd.Series, answers: Sequence) -> pd.Series:
+    """Answers at the places of what was asked, None elsewhere."""
+    known = dict(zip(asked.index, answers))
+    return pd.Series([known.get(i) for i in batch.index], index=batch.index, dtype=object)
+
+
 def completed(column: str, provider: Provider, tries: int = 3, wait: float = 10.0) -> Column:
     """A provider's responses to a column of requests; null requests are not sent."""
 
@@ -71,7 +77,7 @@ def completed(column: str, provider: Provider, tries: int = 3, wait: float = 10.
         for batch in batches:
             asked = batch.dropna()
             said = with_retries(provider.complete, list(asked), tries, wait) if len(asked) else []
-            yield pd.Series(list(said), index=asked.index, dtype=object).reindex(batch.index)
+            yield _aligned(batch, asked, said)
 
     return responses(column)
 
@@ -84,7 +90,7 @@ def embedded(column: str, embedder: Embedder, tries: int = 3, wait: float = 5.0)
         for batch in batches:
             asked = batch.dropna()
             made = with_retries(embedder.embed, list(asked), tries, wait) if len(asked) else []
-            yield pd.Series(list(made), index=asked.index, dtype=object).reindex(batch.index)
+            yield _aligned(batch, asked, made)
 
     return vectors(column)
 
