@@ -104,7 +104,7 @@ def plan_column(text: str, most: int = MOST_WORDS, overlap: int = OVERLAP, least
 
 def _section(name: Column, file: Column) -> Column:
     """A section's plain name: without numbering, in title case; from the chunk's file name where it is missing."""
-    plain = lambda c: F.initcap(F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, "_", " ")), r"(?U)\s+", " "), r"^[\d.\s:-]+", "")))
+    plain = lambda c: F.initcap(F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, "_", " ")), r"(?U)\s+", " "), r"^[\d.\s:-]+|[\s.,:;-]+$", "")))
     from_file = F.regexp_replace(F.regexp_replace(file, r"^.*/", ""), r"(?i)\.(md|txt)$", "")
     return F.coalesce(F.nullif(plain(name), F.lit("")), F.nullif(plain(from_file), F.lit("")))
 

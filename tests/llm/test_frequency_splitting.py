@@ -81,7 +81,7 @@ def test_chunks(rows):
     two = "alpha " * 450
     df = rows(
         "point_id long, paper_id int, section_name string, section_type string, chunk_filename string, window_index int, window_count int, text string, loaded_at string, piece string",
-        (1000000, 1, "3. RESULTS", "RESULTS", "0-3._results.md", 0, 1, two, "2", "clash"), (1000000, 1, "3. RESULTS", "RESULTS", "0-3._results.md", 0, 1, "short", "1", ""), (1001000, 1, None, None, "1-patient_flow.md", 0, 9, "b c", "1", ""), (1001001, 1, " ", None, "1-patient_flow.md", 1, 9, "c d", "1", ""),
+        (1000000, 1, "3. RESULTS:", "RESULTS", "0-3._results.md", 0, 1, two, "2", "clash"), (1000000, 1, "3. RESULTS", "RESULTS", "0-3._results.md", 0, 1, "short", "1", ""), (1001000, 1, None, None, "1-patient_flow.md", 0, 9, "b c", "1", ""), (1001001, 1, " ", None, "1-patient_flow.md", 1, 9, "c d", "1", ""),
         (1002000, 1, None, None, None, 0, 1, None, "1", ""), (1003000, 1, "x", None, None, 0, 1, "", None, ""), (None, 1, "x", None, None, 0, 1, "a", "1", ""),
     )
     got = {(r["point_id"], r["piece"]): r for r in S.split_chunks(df).collect()}
