@@ -99,6 +99,7 @@ SQL = {
     "claim_paper_weight": _sql("SELECT c.claim_id, coalesce(w.w, 0.4)::DOUBLE AS study_weight_max FROM claims_v c LEFT JOIN weights_v w USING (claim_id)"),
     "malformed_relations": "SELECT relation_type, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE NOT ok) AS malformed FROM (SELECT *, coalesce(trim(source_name) <> '' AND trim(relation_type) <> '' AND trim(target_name) <> '', false) AS ok FROM claims) GROUP BY relation_type",
     "relation_whitelist": _sql(f"SELECT relation_type IN ({_q(config.RELATION_TYPES)}) AS known, relation_type IN ({_q(config.METHODS_RELATIONS)}) AS in_methods, count(*) AS claims FROM claims_v GROUP BY ALL"),
+    "ngram_spans": _sql(f"SELECT lower(array_to_string(w, ' ')) AS span, count(DISTINCT paper_id) AS papers, max(n)::INTEGER AS n FROM (SELECT paper_id, n, t[i:i + n - 1] AS w FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM (SELECT paper_id, regexp_extract_all(title, '[A-Za-z0-9'']+') AS t FROM papers_v WHERE title IS NOT NULL), (SELECT unnest([1, 2, 3, 4, 5]) AS n))) WHERE len(list_filter(w, lambda x: NOT list_contains([{_q(config.STOPWORDS)}], lower(x)))) > 0 AND (n > 1 OR length(w[1]) >= 3) GROUP BY 1"),
     "constraint_check": " UNION ALL ".join(_dup.format(t=t, k=k) for t, k in (("papers", "paper_id"), ("claims", "claim_id"), ("canonical_terms", "term_id"), ("entity_mentions", "mention_id"))),
     "target_edges": _sql("SELECT claim_signature, target_name AS canonical_name FROM claims_v WHERE source_name IN (SELECT canonical FROM canonical_terms) AND target_name IN (SELECT canonical FROM canonical_terms)"),
     "polarity_edges": _sql("SELECT source_name AS canonical_name, claim_signature, p.polarity, p.n FROM (SELECT source_name, claim_signature, unnest([{'polarity': 'positive', 'n': n_positive}, {'polarity': 'negative', 'n': n_negative}, {'polarity': 'hypothetical', 'n': n_hypothetical}]) AS p FROM claims_v) WHERE p.n > 0 AND source_name IN (SELECT canonical FROM canonical_terms)"),
