@@ -89,19 +89,19 @@ def two_hop(claims: DataFrame, pairs: DataFrame, columns: list[str], generic: li
     return named.dropDuplicates(["path_signature"])
 
 
-def evidence_lists(evidence: DataFrame, papers: DataFrame, most: int | None = None) -> DataFrame:
-    """``claim_signature``, ``evidence_list``: each claim's evidence with its paper, best sections first; evidence without a paper vanishes.
-
-    With ``most``, only that many are kept, cut by rank before they are gathered; without it a claim's list is as long as its evidence.
-    """
+def ranked_evidence(evidence: DataFrame, papers: DataFrame, most: int | None = None) -> DataFrame:
+    """Each claim's evidence with its paper, a row each, ``_nth`` from 1, best sections first, at most ``most``; evidence without a paper vanishes."""
     rank = section_rank(F.col("section_type"))
     order = [rank.desc(), F.col("paper_id"), F.col("evidence_id")]
     rows = evidence.where(F.coalesce("evidence_text", F.lit("")) != "").join(papers.select("paper_id", "study_design", F.col("published_year").alias("paper_year")), "paper_id")
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("claim_signature").orderBy(*order)))
-    if most is not None:
-        rows = rows.where(F.col("_nth") <= most)
+    return rows if most is None else rows.where(F.col("_nth") <= most)
+
+
+def evidence_lists(evidence: DataFrame, papers: DataFrame, most: int) -> DataFrame:
+    """``claim_signature``, ``evidence_list``: each claim's best ``most`` pieces of evidence, cut by rank before they are gathered."""
     item = F.struct("_nth", "evidence_text", "paper_id", "study_design", "paper_year", "section_type")
-    return rows.groupBy("claim_signature").agg(F.array_sort(F.collect_list(item)).alias("evidence_list"))
+    return ranked_evidence(evidence, papers, most).groupBy("claim_signature").agg(F.array_sort(F.collect_list(item)).alias("evidence_list"))
 
 
 def section_rank(section: Column) -> Column:

@@ -76,14 +76,15 @@ def entity_registry(mentions: DataFrame, protected: list[str] | None = None) ->
     rows = mentions.where(F.coalesce(name, F.lit("")) != "").withColumn("_name", name).withColumn("_key", F.lower("_name"))
     filled = F.coalesce(F.size(F.filter(F.map_values("key_properties"), lambda v: v.isNotNull())), F.lit(0))
     rows = rows.withColumn("_filled", F.when(F.col("key_properties").isNull(), 0).otherwise(filled))
-    own = rows.withColumn("_aliases", safe_aliases(F.col("aliases"), F.col("_name"), protected))
-    items = lambda c: F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(c)), lambda x: x.isNotNull())))
-    return own.groupBy("_key").agg(
-        F.min_by("_name", "seq").alias("canonical_name"), F.min_by("entity_type", "seq").alias("entity_type"), items("_aliases").alias("aliases"),
+    # Aliases are made distinct before they are gathered, so an entity with very many mentions holds its distinct aliases only.
+    alias = rows.select("_key", F.explode(safe_aliases(F.col("aliases"), F.col("_name"), protected)).alias("_a")).distinct().groupBy("_key").agg(F.array_sort(F.collect_list("_a")).alias("aliases"))
+    merged = rows.groupBy("_key").agg(
+        F.min_by("_name", "seq").alias("canonical_name"), F.min_by("entity_type", "seq").alias("entity_type"),
         F.max_by("key_properties", F.struct("_filled", -F.col("seq"))).alias("key_properties"), F.max("_filled").alias("filled_properties"),
         F.array_sort(F.collect_set("paper_id")).alias("paper_ids"), F.array_sort(F.collect_set("section_type")).alias("section_types"),
         F.array_sort(F.collect_set(F.nullif("surface_form", F.lit("")))).alias("surface_forms"), F.count("*").alias("mentions"), F.min("seq").alias("seq"),
-    ).drop("_key")
+    )
+    return merged.join(alias, "_key", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).drop("_key")
 
 
 def forms_index(registry: DataFrame) -> DataFrame:

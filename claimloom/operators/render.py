@@ -63,13 +63,18 @@ def prompt(question: str, graph: DataFrame, passages: DataFrame, options: dict[s
     return both.select(F.concat(F.lit(ask + "\n\n## GRAPH EVIDENCE\n"), "_g", F.lit("\n## PASSAGES\n"), "_v", F.lit("\n## ANSWER\n" + how)).alias("prompt"))
 
 
+def context_line(source: Column, relation: Column, target: Column, paper: Column, year: Column, section: Column, text: Column) -> Column:
+    """One evidence as a judge's context."""
+    head = F.concat(F.lit("("), said(source), F.lit(") -["), said(relation), F.lit("]-> ("), said(target), F.lit(")\nEvidence (Paper "))
+    return F.concat(head, said(paper), F.lit(", "), said(year), F.lit(", "), said(section), F.lit("): "), said(text, ""))
+
+
 def context_lines(paths: DataFrame) -> DataFrame:
     """Retrieval context for a judge: one row for each evidence of each path's claims. ``paths`` has path_signature, claims (array of structs with evidence_list)."""
     claims = paths.select("path_signature", F.posexplode("claims").alias("claim_no", "c"))
     each = claims.select("path_signature", "claim_no", "c", F.posexplode("c.evidence_list").alias("evidence_no", "e"))
-    head = F.concat(F.lit("("), said(F.col("c.source_name")), F.lit(") -["), said(F.col("c.relation_type")), F.lit("]-> ("), said(F.col("c.target_name")), F.lit(")\nEvidence (Paper "))
-    text = F.concat(head, said(F.col("e.paper_id")), F.lit(", "), said(F.col("e.paper_year")), F.lit(", "), said(F.col("e.section_type")), F.lit("): "), said(F.col("e.evidence_text"), ""))
-    return each.select("path_signature", "claim_no", "evidence_no", text.alias("line"))
+    fields = [F.col(f"c.{f}") for f in ("source_name", "relation_type", "target_name")] + [F.col(f"e.{f}") for f in ("paper_id", "paper_year", "section_type", "evidence_text")]
+    return each.select("path_signature", "claim_no", "evidence_no", context_line(*fields).alias("line"))
 
 
 def chain_text(entities: Column, relations: Column) -> Column:

@@ -110,8 +110,10 @@ def name_resolution(spark: SparkSession, d: str) -> DataFrame:
 @query
 def protected_aliases(spark: SparkSession, d: str) -> DataFrame:
     """aliases of the reference list without protected names of other entries; here genes are protected."""
-    genes = [r[0] for r in table(spark, d, "canonical_terms").where("entity_type = 'Gene'").select("canonical").limit(1000).collect()]
     rows = table(spark, d, "canonical_terms")
+    genes = [r[0] for r in rows.where("entity_type = 'Gene'").select("canonical").limit(10_001).collect()]
+    if len(genes) > 10_000:
+        raise ValueError("too many protected names for a literal list")
     return rows.select("term_id", F.array_join(registry.safe_aliases(F.col("aliases"), F.col("canonical"), genes), "|").alias("aliases"))
 
 
@@ -644,9 +646,10 @@ def chain_strings(spark: SparkSession, d: str) -> DataFrame:
 @query
 def context_lines(spark: SparkSession, d: str) -> DataFrame:
     """The evidence of every claim as judge context, counted and digested."""
-    lists = graph.evidence_lists(views.evidence(spark, d), views.papers(spark, d))
-    claims = views.claims(spark, d).join(lists, "claim_signature").select(F.col("claim_signature").alias("path_signature"), F.array(F.struct("source_name", "relation_type", "target_name", "evidence_list")).alias("claims"))
-    return render.context_lines(claims).select("path_signature", "evidence_no", F.md5("line").alias("digest"))
+    said = graph.ranked_evidence(views.evidence(spark, d), views.papers(spark, d))
+    rows = said.join(views.claims(spark, d).select("claim_signature", "source_name", "relation_type", "target_name"), "claim_signature")
+    line = render.context_line(*(F.col(c) for c in ("source_name", "relation_type", "target_name", "paper_id", "paper_year", "section_type", "evidence_text")))
+    return rows.select(F.col("claim_signature").alias("path_signature"), (F.col("_nth") - 1).alias("evidence_no"), F.md5(line).alias("digest"))
 
 
 @query

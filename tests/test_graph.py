@@ -42,8 +42,8 @@ def test_chains_are_those_of_a_double_loop(rows, spark):
 def test_evidence_needs_its_paper_and_is_ordered_by_section(rows):
     ev = rows("claim_signature string, evidence_id int, evidence_text string, paper_id int, section_type string", ("c", 1, "m", 1, "METHODS"), ("c", 2, "r", 1, "RESULTS"), ("c", 3, "gone", 9, "RESULTS"), ("c", 4, "", 1, "RESULTS"), ("c", 5, "u", 1, "odd"), ("d", 6, "x", 9, None))
     papers = rows("paper_id int, study_design string, published_year string", (1, "rct", "2020"))
-    got = {r["claim_signature"]: [e["evidence_text"] for e in r["evidence_list"]] for r in graph.evidence_lists(ev, papers).collect()}
-    assert got == {"c": ["r", "u", "m"]}
+    got = {r["claim_signature"]: [e["evidence_text"] for e in r["evidence_list"]] for r in graph.evidence_lists(ev, papers, 9).collect()}
+    assert got == {"c": ["r", "u", "m"]} and graph.ranked_evidence(ev, papers).count() == 3
     assert [len(r["evidence_list"]) for r in graph.evidence_lists(ev, papers, 2).collect()] == [2]
     assert {r[0]: r[1] for r in graph.section_best(ev).collect()} == {"c": 1.0}
 
