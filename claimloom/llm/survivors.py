@@ -117,7 +117,7 @@ def distinct_offers(rows: DataFrame, group: list[str], fields: Column, time: str
     The others are dominated by it and offer no field it lacks. What is left of a group is bounded by the patterns of
     filled fields, not by its rows, and the aggregation runs before the shuffle, so a hot group is no hot task.
     """
-    return rows.withColumn("_pattern", F.hash(F.array_sort(fields))).groupBy(*group, *equal, "_pattern").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in {*group, *equal}]), F.struct(F.col(time), -F.col(identity))).alias("_row")).select(*group, *equal, "_row.*")
+    return rows.withColumn("_pattern", F.array_join(F.array_sort(fields), "\u0001")).groupBy(*group, *equal, "_pattern").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in {*group, *equal}]), F.struct(F.col(time), -F.col(identity))).alias("_row")).select(*group, *equal, "_row.*")
 
 
 def best_records(records: DataFrame, keys: DataFrame, group: tuple[str, ...] = ("build_id", "entity_key")) -> DataFrame:
