@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.lineage import cut
-from claimloom.llm.names import common_words, grams, is_generic, match_keys, same_but_for_typing
-from claimloom.llm.setjoin import jaccard_join
+from claimloom.llm.editjoin import typing_join
+from claimloom.llm.names import is_generic, match_keys
 from claimloom.sources.tables import current_rows
 
 #: Least Jaccard similarity of the token sets of a name and a reference form. A five-letter name keeps 0.22 when the long word beside it is misspelt.
@@ -47,14 +47,12 @@ def name_evidence(records: DataFrame, key: str = "record_id") -> DataFrame:
 def closest_terms(keys: DataFrame, forms: DataFrame, similarity: str = SIMILARITY) -> DataFrame:
     """For each distinct ``form_key`` of ``keys`` the entries behind its closest reference forms: ``form_key``, ``term_id``, ``term_type``, ``jaccard``, ``edits``.
 
-    Candidates come from the prefix-filtered similarity join; they count if they differ from the form by typing only. The least number of
+    Forms count if they differ from the key by typing only. The least number of
     edits, then the highest similarity wins; entries that share the best form, or tie, all stay.
     """
     forms = cut(forms)
     left, right = keys.select("form_key").distinct(), forms.select("form_key").distinct()
-    common = common_words(left.unionByName(right))
-    side = lambda df: df.withColumn("_grams", grams(F.col("form_key"), common))
-    good = jaccard_join(side(left), side(right), "form_key", "_grams", similarity, same_but_for_typing).withColumn("edits", F.levenshtein("left_key", "right_key"))
+    good = typing_join(left, right, "form_key", similarity).withColumn("edits", F.levenshtein("left_key", "right_key"))
     rank = F.rank().over(Window.partitionBy("left_key").orderBy(F.least("edits", F.lit(3)), F.desc("jaccard")))
     best = good.withColumn("_rank", rank).where("_rank = 1").select(F.col("left_key").alias("form_key"), F.col("right_key").alias("_form"), "jaccard", "edits")
     return best.join(forms.withColumnRenamed("form_key", "_form"), "_form").groupBy("form_key", "term_id").agg(F.first("term_type").alias("term_type"), F.max("jaccard").alias("jaccard"), F.min("edits").alias("edits"))

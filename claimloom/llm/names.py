@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,26 +75,11 @@ def is_generic(key: Column) -> Column:
     return F.forall(F.split(key, " "), word)
 
 
-def common_words(keys: DataFrame, column: str = "form_key", share: float = 0.005, least: int = 10) -> list[str]:
-    """The words that occur in at least ``share`` of the keys and ``least`` of them: kinds of things ("thyroiditis"), not names.
-
-    There are at most (words of an average key / share) of them, however many keys there are.
-    """
-    words = keys.select(F.explode(F.array_distinct(F.split(column, " "))).alias("_word")).where("_word <> ''")
-    total = keys.count()
-    return sorted(r[0] for r in words.groupBy("_word").count().where((F.col("count") >= least) & (F.col("count") >= share * total)).select("_word").collect())
-
-
-def grams(key: Column, common: Sequence[str] = (), n: int = 3) -> Column:
-    """The set of tokens of a key: its ``common`` words whole, of other words the character n-grams, each word between marks; '' and null give the empty set.
-
-    Whole common words keep the weight of a name on what is particular to it, and frequent n-grams out of the rare prefixes.
-    """
-    known = F.array(*(F.lit(w) for w in common)) if common else F.array().cast("array<string>")
+def grams(key: Column, n: int = 3) -> Column:
+    """The set of character n-grams of a key's words, each word between marks; '' and null give the empty set."""
     parts = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))
-    one = lambda w: F.when(F.array_contains(known, w), F.array(F.concat(w, F.lit(" ")))).otherwise(parts(F.concat(F.lit("^"), w, F.lit("$"))))
     words = F.filter(F.split(F.coalesce(key, F.lit("")), " "), lambda w: w != "")
-    return F.array_distinct(F.flatten(F.transform(words, one)))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: parts(F.concat(F.lit("^"), w, F.lit("$"))))))
 
 
 def same_variant(a: Column, b: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from claimloom.lineage import cut
 from claimloom.llm.canonical import SIMILARITY, map_to_terms, name_evidence
-from claimloom.llm.names import common_words, grams, is_generic, match_keys, same_but_for_typing
-from claimloom.llm.setjoin import jaccard_join
+from claimloom.llm.editjoin import typing_join
+from claimloom.llm.names import is_generic, match_keys
 
 # Wordings for "not known", "not given", "to come".
 EMPTY_WORDINGS = (
@@ -38,7 +38,7 @@ def entity_keys(records: DataFrame, terms: DataFrame, index: DataFrame | None =
     """``record_id``, ``entity_key``, ``exact`` of every current record whose forms denote an entity.
 
     Records led to a reference entry get the entry's key. The other names are compared with each other, over all builds, by
-    the same similarity join: a name that differs by typing only from a more frequent one takes that one's key, so typing
+    the same join: a name that differs by typing only from a more frequent one takes that one's key, so typing
     errors meet at the common spelling even where a build lacks it. ``exact`` says whether the record's form is the key's own spelling.
     Records without any denoting form, and those whose evidence is ambiguous, get no row: they are no one's duplicate.
     """
@@ -48,8 +48,7 @@ def entity_keys(records: DataFrame, terms: DataFrame, index: DataFrame | None =
     rank = F.when(F.col("source") == "name", 0).when(F.col("source") == "surface", 1).otherwise(2)
     other = evidence.join(mapped.where("status = 'unmatched'"), "record_id", "left_semi").groupBy("record_id").agg(F.min_by("form_key", F.struct(rank, "form_key")).alias("form_key"))
     counts = cut(other.groupBy("form_key").agg(F.count("*").alias("_n")))
-    counts = counts.withColumn("_grams", grams(F.col("form_key"), common_words(counts)))
-    pairs = jaccard_join(counts, None, "form_key", "_grams", similarity, same_but_for_typing)
+    pairs = typing_join(counts, None, "form_key", similarity)
     both = pairs.select(F.col("left_key").alias("form_key"), F.col("right_key").alias("_to")).unionByName(pairs.select(F.col("right_key").alias("form_key"), F.col("left_key").alias("_to")))
     n = counts.select(F.col("form_key").alias("_to"), F.col("_n").alias("_m"))
     above = both.join(n, "_to").join(counts.select("form_key", "_n"), "form_key").where("_m > _n OR (_m = _n AND _to < form_key)")
