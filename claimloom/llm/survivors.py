@@ -34,12 +34,41 @@ def filled_properties(properties: Column) -> Column:
     return F.map_filter(F.coalesce(properties, F.create_map().cast("map<string,string>")), lambda k, v: tells_something(v))
 
 
+def followed(parents: DataFrame, key: str, to: str) -> DataFrame:
+    """``key``, ``to``: where the steps from every key end. A key that leads to itself is an end; there must be no other circle."""
+    at = cut(parents.select(key, to))
+    while True:
+        step = at.join(at.select(F.col(key).alias(to), F.col(to).alias("_next")), to)
+        further = cut(step.select(key, F.col("_next").alias(to), (F.col("_next") != F.col(to)).alias("_moved")))
+        at = further.select(key, to)
+        if further.where("_moved").isEmpty():
+            return at
+
+
+def connected(links: DataFrame, group: str) -> DataFrame:
+    """``group``, ``node``, ``least``: every node of the links ``a`` - ``b`` of a group, with the least node that links lead to from it, however many.
+
+    In each round a node takes the least label around it, then the label that one has, so long chains need few rounds.
+    """
+    both = cut(links.select(group, F.col("a").alias("node"), F.col("b").alias("_other")).unionByName(links.select(group, F.col("b").alias("node"), F.col("a").alias("_other"))).distinct())
+    labels = cut(both.select(group, "node").distinct().withColumn("least", F.col("node")))
+    while not labels.isEmpty():
+        near = both.join(labels.select(group, F.col("node").alias("_other"), F.col("least").alias("_near")), [group, "_other"]).groupBy(group, "node").agg(F.min("_near").alias("_near"))
+        nearer = labels.join(near, [group, "node"]).select(group, "node", F.col("least").alias("_was"), F.least("least", "_near").alias("_to"))
+        jumped = cut(nearer.join(nearer.select(group, F.col("node").alias("_to"), F.col("_to").alias("least")), [group, "_to"]).select(group, "node", "least", (F.col("least") != F.col("_was")).alias("_moved")))
+        labels = jumped.select(group, "node", "least")
+        if jumped.where("_moved").isEmpty():
+            break
+    return labels
+
+
 def entity_keys(records: DataFrame, terms: DataFrame, index: DataFrame | None = None, similarity: str = SIMILARITY) -> DataFrame:
     """``record_id``, ``entity_key``, ``exact`` of every current record whose forms denote an entity.
 
     Records led to a reference entry get the entry's key. The other names are compared with each other, over all builds, by
-    the same join: a name that differs by typing only from a more frequent one takes that one's key, so typing
-    errors meet at the common spelling even where a build lacks it. ``exact`` says whether the record's form is the key's own spelling.
+    the same join: a name that differs by typing only from a more frequent one takes that one's key, and so on to the end, so typing
+    errors meet at the common spelling even where a build lacks it. Within a build, names that differ by typing only, and all that they are so linked with,
+    get one key, the most frequent of theirs. ``exact`` says whether the record's form is the key's own spelling.
     Records without any denoting form, and those whose evidence is ambiguous, get no row: they are no one's duplicate.
     """
     evidence = cut(name_evidence(records))
@@ -48,15 +77,19 @@ def entity_keys(records: DataFrame, terms: DataFrame, index: DataFrame | None =
     rank = F.when(F.col("source") == "name", 0).when(F.col("source") == "surface", 1).otherwise(2)
     other = evidence.join(mapped.where("status = 'unmatched'"), "record_id", "left_semi").groupBy("record_id").agg(F.min_by("form_key", F.struct(rank, "form_key")).alias("form_key"))
     counts = cut(other.groupBy("form_key").agg(F.count("*").alias("_n")))
-    pairs = typing_join(counts, None, "form_key", similarity)
+    pairs = cut(typing_join(counts, None, "form_key", similarity))
     both = pairs.select(F.col("left_key").alias("form_key"), F.col("right_key").alias("_to")).unionByName(pairs.select(F.col("right_key").alias("form_key"), F.col("left_key").alias("_to")))
     n = counts.select(F.col("form_key").alias("_to"), F.col("_n").alias("_m"))
     above = both.join(n, "_to").join(counts.select("form_key", "_n"), "form_key").where("_m > _n OR (_m = _n AND _to < form_key)")
-    parents = cut(counts.select("form_key").join(above.groupBy("form_key").agg(F.max_by("_to", F.struct(F.col("_m"), F.col("_to"))).alias("_to")), "form_key", "left").select("form_key", F.coalesce("_to", "form_key").alias("_to")))
-    roots = parents
-    for _ in range(3):  # an error of an error of an error; parents are strictly more frequent, so there is no circle
-        roots = roots.join(parents.select(F.col("form_key").alias("_to"), F.col("_to").alias("_next")), "_to").select("form_key", F.col("_next").alias("_to"))
-    unknown = other.join(roots, "form_key").select("record_id", F.concat(F.lit("name:"), "_to").alias("entity_key"), (F.col("form_key") == F.col("_to")).alias("exact"))
+    parents = counts.select("form_key").join(above.groupBy("form_key").agg(F.max_by("_to", F.struct(F.col("_m"), F.col("_to"))).alias("_to")), "form_key", "left").select("form_key", F.coalesce("_to", "form_key").alias("_to"))
+    roots = followed(parents, "form_key", "_to")  # parents are more frequent, or before it of equals, so there is no circle
+    own = cut(other.join(records.select("record_id", "build_id"), "record_id").join(roots, "form_key").join(n, "_to").withColumn("_node", F.struct((-F.col("_m")).alias("less"), F.col("_to").alias("key"))))
+    ends = own.select("build_id", "form_key", "_node").distinct()
+    end = lambda side, name: ends.select("build_id", F.col("form_key").alias(side), F.col("_node").alias(name))
+    links = pairs.join(end("left_key", "a"), "left_key").join(end("right_key", "b"), ["build_id", "right_key"]).where("a <> b").select("build_id", "a", "b")
+    one = connected(links, "build_id").select("build_id", F.col("node").alias("_node"), "least")
+    named = own.join(one, ["build_id", "_node"], "left").withColumn("_key", F.coalesce("least", "_node")["key"])
+    unknown = named.select("record_id", F.concat(F.lit("name:"), "_key").alias("entity_key"), (F.col("form_key") == F.col("_key")).alias("exact"))
     return known.unionByName(unknown)
 
 
