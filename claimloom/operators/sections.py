@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom import config
-from claimloom.functions.text import is_content_section, stripped
+from claimloom.functions.text import is_content_section, stripped, words
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
@@ -56,3 +56,16 @@ def section_bodies(documents: DataFrame, sections: DataFrame) -> DataFrame:
     end = F.expr("coalesce(instr(_rest, concat('\\n', next_header)), 0)")
     body = F.when(end > 0, F.expr("substring(_rest, 1, instr(_rest, concat('\\n', next_header)) - 1)")).otherwise(F.col("_rest"))
     return rows.withColumn("_rest", rest).select("paper_id", "section_no", "header", stripped(body).alias("body"))
+
+
+def whole_sections(points: DataFrame) -> DataFrame:
+    """``paper_id``, ``chunk_idx``, ``text``: every section's words, put together from its points (paper_id, point_id, text), which an earlier run may have cut into windows.
+
+    What a window repeats of the end of the one before it is left out; where it does not repeat that, all of it stays.
+    """
+    overlap = config.WINDOW_WORDS - config.STRIDE_WORDS
+    rows = points.select("paper_id", F.floor(F.col("point_id") % 1000000 / 1000).alias("chunk_idx"), F.struct("point_id", F.coalesce("text", F.lit("")).alias("text")).alias("_p"))
+    sections = rows.groupBy("paper_id", "chunk_idx").agg(F.array_sort(F.collect_list("_p")).alias("_p")).withColumn("_w", F.transform("_p", lambda p: words(p["text"])))
+    repeats = lambda a, b: (F.size(a) >= overlap) & (F.slice(a, F.greatest(F.size(a) - overlap + 1, F.lit(1)), overlap) == F.slice(b, 1, overlap))
+    later = F.transform("_w", lambda w, i: F.when((i > 0) & repeats(F.get("_w", F.greatest(i - 1, F.lit(0))), w), F.slice(w, overlap + 1, F.size(w))).otherwise(w))
+    return sections.select("paper_id", "chunk_idx", F.array_join(F.flatten(later), " ").alias("text"))

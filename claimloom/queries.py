@@ -362,8 +362,19 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def window_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Window counts and point ids of every chunk."""
-    rows = views.chunks(spark, d).where(F.col("window_index") == 0).select("paper_id", F.floor(F.col("point_id") % 1000000 / 1000).alias("chunk_idx"), T.windows(F.col("text")).alias("w"))
+    """Window counts and point ids of every first window, as its SQL has them. ``whole_window_ids`` has those of whole sections."""
+    rows = views.chunks(spark, d).where(F.col("window_index") == 0).select("paper_id", F.floor(F.col("point_id") % 1000000 / 1000).alias("chunk_idx"), "text")
+    return _window_ids(rows)
+
+
+@query
+def whole_window_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Window counts and point ids of every section, also of those that an earlier run cut."""
+    return _window_ids(sections.whole_sections(views.chunks(spark, d)))
+
+
+def _window_ids(rows: DataFrame) -> DataFrame:
+    rows = rows.select("paper_id", "chunk_idx", T.windows(F.col("text")).alias("w"))
     each = rows.select("paper_id", "chunk_idx", F.size("w").alias("window_count"), F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("window_index"))
     return each.select((F.col("paper_id").cast("long") * 1000000 + F.col("chunk_idx") * 1000 + F.col("window_index")).alias("point_id"), "window_index", "window_count")
 
@@ -569,10 +580,16 @@ def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def skip_existing_anti(spark: SparkSession, d: str) -> DataFrame:
-    """The windows of whole sections that are not stored yet."""
+    """The windows of first windows that are not stored yet, as its SQL has them."""
     return upsert.new_rows(window_ids(spark, d), table(spark, d, "vector_chunks"), "point_id")
 
 
+@query
+def whole_skip_existing(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of whole sections that are not stored yet."""
+    return upsert.new_rows(whole_window_ids(spark, d), table(spark, d, "vector_chunks"), "point_id")
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in scores: a claim's polarity shares as four metrics, null where it has no count."""
     total = F.col("n_positive") + F.col("n_negative") + F.col("n_hypothetical") + F.col("n_uncertain") + F.col("n_mixed")
