@@ -16,6 +16,9 @@ from claimloom.sources.tables import current_rows
 #: The limits of TESTDATA.md, in words, and the least share of a piece before a natural boundary is looked for.
 MOST_WORDS, OVERLAP, LEAST_SHARE = 400, 80, 0.5
 
+#: The strength of a cut at the end of a sentence.
+SENTENCE = 2
+
 PLAN = "array<struct<start:int,length:int,first_word:int,words:int>>"
 
 # Endings that look like the end of a sentence but are not.
@@ -68,7 +71,7 @@ def split_plan(text: str | None, most: int = MOST_WORDS, overlap: int = OVERLAP,
     """The pieces of one text: start and length in characters, first word, number of words.
 
     Every piece but the last ends at the strongest boundary that leaves between ``least`` of ``most`` and ``most`` words, the
-    rightmost of equals; the next one starts ``overlap`` words before that end. A text of at most ``most`` words is one
+    rightmost of equals; where that is no end of a sentence, at the strongest that leaves more than ``overlap`` words. The next one starts ``overlap`` words before that end. A text of at most ``most`` words is one
     piece, its whole; null and texts without words give one piece without words (null: none).
     """
     if text is None:
@@ -77,11 +80,14 @@ def split_plan(text: str | None, most: int = MOST_WORDS, overlap: int = OVERLAP,
         return [(0, len(text), 0, len(_word.findall(text)))]
     starts, ends = np.array(spans, dtype=np.int64).T
     n = len(starts)
-    index = RangeMaximum(boundary_strengths(text, ends, starts), most)
+    strengths = boundary_strengths(text, ends, starts)
+    index = RangeMaximum(strengths, most)
     floor = max(overlap + 1, int(most * least))
     pieces, first = [], 0
     while n - first > most:
         cut = index.query(first + floor, first + most)
+        if strengths[cut] < SENTENCE:
+            cut = index.query(first + overlap + 1, first + most)
         pieces.append((first, cut))
         first = cut - overlap
     pieces.append((first, n))
