@@ -19,6 +19,12 @@ def resolve_names(rows: DataFrame, forms: DataFrame, *columns: str) -> DataFrame
     return rows
 
 
+def enriched(entities: DataFrame, terms: DataFrame) -> DataFrame:
+    """``entities`` with ``ontology``: the least term_id of the reference entries (term_id, canonical, entity_type) of their canonical_name and type, null where there is none."""
+    known = terms.groupBy(F.col("canonical").alias("_canonical"), F.col("entity_type").alias("_type")).agg(F.min("term_id").alias("ontology"))
+    return entities.join(known, (F.col("canonical_name") == F.col("_canonical")) & (F.col("entity_type") == F.col("_type")), "left").drop("_canonical", "_type")
+
+
 def is_well_formed(source: str, relation: str, target: str) -> Column:
     """Whether a relation mention has both ends and a type."""
     filled = lambda c: F.coalesce(stripped(c), F.lit("")) != ""

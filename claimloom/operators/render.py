@@ -86,3 +86,8 @@ def vocabulary_lines(terms: DataFrame) -> DataFrame:
     """``entity_type``, ``lines``: the reference list as text, by type: ``- canonical (alias, alias)``."""
     line = F.concat(F.lit("- "), "canonical", F.when(F.size(F.coalesce("aliases", F.array().cast("array<string>"))) > 0, F.concat(F.lit(" ("), F.array_join("aliases", ", "), F.lit(")"))).otherwise(""))
     return terms.groupBy("entity_type").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+
+
+def entity_list(entities: Column) -> Column:
+    """An array of entities (canonical_name, entity_type) as text, in its order: ``- name (type)``."""
+    return F.array_join(F.transform(entities, lambda e: F.concat(F.lit("- "), said(e["canonical_name"]), F.lit(" ("), said(e["entity_type"]), F.lit(")"))), "\n")
