@@ -37,8 +37,6 @@ def _singular(word: str) -> str:
         return word
     if word.endswith("ises"):
         return word[:-2]
-    if word.endswith("waies"):
-        return word[:-3] + "y"
     return word[:-3] + "y" if word.endswith("ies") else word[:-1]
 
 
@@ -82,6 +80,13 @@ def grams(key: Column, n: int = 3) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, lambda w: parts(F.concat(F.lit("^"), w, F.lit("$"))))))
 
 
+def gram_set(key: Column, n: int = 3) -> Column:
+    """The set of character n-grams of a whole key between marks, white space included; '' and null give the empty set."""
+    whole = F.concat(F.lit("^"), key, F.lit("$"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i: F.substring(whole, i, n))
+    return F.when(key.isNull() | (key == ""), F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+
 def same_variant(a: Column, b: Column) -> Column:
     """Whether two keys agree in what tells near-alike entities apart: numbers, antibody classes, number of a code, hypo/hyper/sub."""
     both = lambda pattern, group: F.array_sort(F.regexp_extract_all(a, F.lit(pattern), group)) == F.array_sort(F.regexp_extract_all(b, F.lit(pattern), group))

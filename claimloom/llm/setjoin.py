@@ -22,11 +22,8 @@ def jaccard_join(left: DataFrame, right: DataFrame | None, key: str, tokens: str
     """All pairs of sets with Jaccard similarity of at least ``threshold`` (above 0): ``left_key``, ``right_key``, ``jaccard``.
 
     Tokens are ordered by global rarity; only the rare prefix of each set, which a similar set must meet, is joined.
-    Candidates pass length and positional filters and are verified exactly. A pair is verified at its first common prefix
-    token only, so no distinct is needed. ``right=None`` joins ``left`` with itself, each pair once, left_key < right_key.
-    ``also`` is a further condition on the two keys. With it, sets must meet at two rare tokens: if two tokens or more have to be shared, two of them lie in
-    prefixes that are longer by one. Couples of tokens are rare where tokens are not, so candidates grow with the input, not with its square. Pairs that may
-    share one token only, which are of small sets, are joined by single tokens. Candidates carry no sets until ``also`` has been tested.
+    Candidates carry key, size and place only; those that pass the length and positional filters get their sets back, and are verified exactly.
+    ``right=None`` joins ``left`` with itself, each pair once, left_key < right_key. ``also`` is a further condition on the two keys of verified pairs.
     Keys must be unique; null keys, null and empty sets have no partner.
     """
     t = Fraction(str(threshold))
@@ -40,42 +37,20 @@ def jaccard_join(left: DataFrame, right: DataFrame | None, key: str, tokens: str
     frequency = every.select(F.explode(F.array_distinct(tokens)).alias("_token")).where("_token IS NOT NULL").groupBy("_token").agg(F.count("*").alias("_n"))
     n, d = t.numerator, t.denominator
     ceiling = lambda x, a, b: F.ceil((x * a) / F.lit(float(b)) - 1e-9).cast("int")
-
-    def placed(df: DataFrame) -> DataFrame:
-        prefix = F.col("_size") - ceiling(F.col("_size"), n, d) + 1
-        return _ordered(df, key, tokens, frequency).withColumn("_prefix", F.slice("_set", 1, prefix))
-
-    def named(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.select(*(c for c in df.columns if c == "_token"), *(F.col(c).alias(f"{name}{c}") for c in (key, *columns)))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        scored = pairs.withColumn("_common", F.size(F.array_intersect("l__set", "r__set"))).withColumn("_union", F.col("l__size") + F.col("r__size") - F.col("_common"))
-        return scored.where(F.col("_common") * d >= F.col("_union") * n).select(F.col(f"l_{key}").alias("left_key"), F.col(f"r_{key}").alias("right_key"), (F.col("_common") / F.col("_union")).alias("jaccard"))
-
-    def meeting(a: DataFrame, b: DataFrame) -> DataFrame:
-        """Pairs that meet at a token and pass the length and positional filters; ``_pos`` is the token's place in either set."""
-        small, large = F.least("l__size", "r__size"), F.greatest("l__size", "r__size")
-        needed = ceiling(F.col("l__size") + F.col("r__size"), n, n + d)
-        reachable = F.least(F.col("l__size") - F.col("l__pos"), F.col("r__size") - F.col("r__pos"))
-        pairs = a.join(b, "_token").where((small * d >= large * n) & (reachable >= needed))
-        return pairs.where(F.col(f"l_{key}") < F.col(f"r_{key}")) if own else pairs
-
-    if also is None:
-        a = named(placed(left).select("*", F.posexplode("_prefix").alias("_pos", "_token")), "l_", "_set", "_size", "_prefix", "_pos")
-        b = named(placed(right).select("*", F.posexplode("_prefix").alias("_pos", "_token")), "r_", "_set", "_size", "_prefix", "_pos")
-        return similar(meeting(a, b).where(F.element_at(F.array_intersect("l__prefix", "r__prefix"), 1) == F.col("_token")))
-
-    whole_a = cut(placed(left))
-    whole_b = whole_a if own else cut(placed(right))
-
-    def single(df: DataFrame, name: str) -> DataFrame:
-        return named(df.where(F.col("_size") * n < n + d).select("*", F.posexplode("_set").alias("_pos", "_token")), name, "_size", "_pos")
-
-    def double(df: DataFrame, name: str) -> DataFrame:
-        longer = F.slice("_set", 1, F.size("_prefix") + 1)
-        couples = F.transform(longer, lambda x, i: F.transform(F.slice(longer, i + 2, F.size(longer)), lambda y: F.struct(i.alias("i"), F.xxhash64(x, y).alias("h"))))
-        return named(df.select("*", F.explode(F.flatten(couples)).alias("_c")).select("*", F.col("_c.i").alias("_pos"), F.col("_c.h").alias("_token")), name, "_size", "_pos")
-
-    met = [meeting(side(whole_a, "l_"), side(whole_b, "r_")).where(also(F.col(f"l_{key}"), F.col(f"r_{key}"))).select(f"l_{key}", f"r_{key}") for side in (single, double)]
-    few = met[0].unionByName(met[1]).distinct()
-    return similar(few.join(named(whole_a, "l_", "_set", "_size"), f"l_{key}").join(named(whole_b, "r_", "_set", "_size"), f"r_{key}"))
+    whole_left = cut(_ordered(left, key, tokens, frequency))
+    whole_right = whole_left if own else cut(_ordered(right, key, tokens, frequency))
+
+    def begun(df: DataFrame, name: str) -> DataFrame:
+        prefix = F.slice("_set", 1, F.col("_size") - ceiling(F.col("_size"), n, d) + 1)
+        return df.select(F.col(key).alias(f"{name}_key"), F.col("_size").alias(f"{name}_size"), F.posexplode(prefix).alias(f"{name}_pos", "_token"))
+
+    small, large = F.least("left_size", "right_size"), F.greatest("left_size", "right_size")
+    needed = ceiling(F.col("left_size") + F.col("right_size"), n, n + d)
+    reachable = F.least(F.col("left_size") - F.col("left_pos"), F.col("right_size") - F.col("right_pos"))
+    met = begun(whole_left, "left").join(begun(whole_right, "right"), "_token").where((small * d >= large * n) & (reachable >= needed))
+    few = (met.where("left_key < right_key") if own else met).select("left_key", "right_key").distinct()
+    sets = lambda df, name: df.select(F.col(key).alias(f"{name}_key"), F.col("_set").alias(f"{name}_set"))
+    pairs = few.join(sets(whole_left, "left"), "left_key").join(sets(whole_right, "right"), "right_key")
+    pairs = pairs.withColumn("_common", F.size(F.array_intersect("left_set", "right_set"))).withColumn("_union", F.size("left_set") + F.size("right_set") - F.col("_common"))
+    similar = pairs.where(F.col("_common") * d >= F.col("_union") * n).select("left_key", "right_key", (F.col("_common") / F.col("_union")).alias("jaccard"))
+    return similar if also is None else similar.where(also(F.col("left_key"), F.col("right_key")))

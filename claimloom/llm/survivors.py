@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.lineage import cut
-from claimloom.llm.canonical import SIMILARITY, map_to_terms, name_evidence
+from claimloom.llm.canonical import map_to_terms, name_evidence
 from claimloom.llm.editjoin import typing_join
 from claimloom.llm.names import is_generic, match_keys
 
+#: Least Jaccard similarity of the 3-grams of the words of two unlisted names that differ by typing only.
+SIMILARITY = "0.2"
+
 # Wordings for "not known", "not given", "to come".
 EMPTY_WORDINGS = (
     r"n\.? ?/? ?a\.?|#n/a|nan|none|nil|null|undefined|empty|blank|unknown|unk\.?|not known|missing|unspecified|unstated|unreported|unrecorded|undisclosed|undetermined|unavailable|pending|awaited"
@@ -66,13 +69,13 @@ def entity_keys(records: DataFrame, terms: DataFrame, index: DataFrame | None =
     """``record_id``, ``entity_key``, ``exact`` of every current record whose forms denote an entity.
 
     Records led to a reference entry get the entry's key. The other names are compared with each other, over all builds, by
-    the same join: a name that differs by typing only from a more frequent one takes that one's key, and so on to the end, so typing
+    an exact edit join: a name that differs by typing only from a more frequent one takes that one's key, and so on to the end, so typing
     errors meet at the common spelling even where a build lacks it. Within a build, names that differ by typing only, and all that they are so linked with,
     get one key, the most frequent of theirs. ``exact`` says whether the record's form is the key's own spelling.
     Records without any denoting form, and those whose evidence is ambiguous, get no row: they are no one's duplicate.
     """
     evidence = cut(name_evidence(records))
-    mapped = cut(map_to_terms(records, terms, index, similarity=similarity, evidence=evidence))
+    mapped = cut(map_to_terms(records, terms, index, evidence=evidence))
     known = mapped.where("status = 'matched'").select("record_id", F.concat(F.lit("term:"), "term_id").alias("entity_key"), (F.col("jaccard") == 1).alias("exact"))
     rank = F.when(F.col("source") == "name", 0).when(F.col("source") == "surface", 1).otherwise(2)
     other = evidence.join(mapped.where("status = 'unmatched'"), "record_id", "left_semi").groupBy("record_id").agg(F.min_by("form_key", F.struct(rank, "form_key")).alias("form_key"))
