@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.lineage import cut
 from claimloom.llm.canonical import map_to_terms, name_evidence
@@ -13,6 +16,9 @@ from claimloom.llm.names import is_generic, match_keys
 #: Least Jaccard similarity of the 3-grams of the words of two unlisted names that differ by typing only.
 SIMILARITY = "0.2"
 
+#: Points of a group that are layered in one array, and points of a block of larger groups.
+MOST_POINTS, BLOCK_POINTS = 256, 20_000
+
 # Wordings for "not known", "not given", "to come".
 EMPTY_WORDINGS = (
     r"n\.? ?/? ?a\.?|#n/a|nan|none|nil|null|undefined|empty|blank|unknown|unk\.?|not known|missing|unspecified|unstated|unreported|unrecorded|undisclosed|undetermined|unavailable|pending|awaited"
@@ -107,27 +113,123 @@ def rated(records: DataFrame, keys: DataFrame) -> DataFrame:
     return full.withColumn("completeness", F.size("_filled")).withColumn("recency", F.col("updated_at")).withColumn("trust", trust).withColumn("_named", named)
 
 
-def dominance_layers(rows: DataFrame, group: list[str], axes: list[str], identity: str) -> DataFrame:
-    """``group``, ``identity`` and ``layer`` (1 = Pareto-undominated) over the descending ``axes``; null values are the least.
+def _axis(c: str, kind: T.DataType) -> Column:
+    """An axis as a number in which a null is the least."""
+    number = F.unix_micros(F.col(c).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(c)
+    return F.coalesce(number.cast("double"), F.lit(float("-inf")))
+
 
-    A record's layer is 1 + the highest layer among the records that dominate it: at least equal on all axes, better on one.
-    The rows of a group are held in one array, so they must be few: see ``distinct_offers``.
+def dominance_layers(rows: DataFrame, group: list[str], axes: list[str], identity: str, along: str | None = None, most: int = MOST_POINTS, block: int = BLOCK_POINTS) -> DataFrame:
+    """``group``, ``identity`` and ``layer`` (1 = Pareto-undominated) over the descending ``axes`` (numbers or times); null values are the least.
+
+    A record's layer is 1 + the highest layer among all records of its group that dominate it: at least equal on all axes, better on one.
+    Records at one point have one layer, so layers are computed over distinct points. Up to ``most`` points of a group are layered in one array;
+    larger groups are cut along the axis ``along`` (the one with most values; the others should have few) into blocks of about ``block`` points, so no group is one task's work.
+    """
+    along = along or axes[0]
+    cells = [a for a in axes if a != along]
+    place = [f"_{i}" for i in range(len(axes))]
+    at = rows.select(*group, identity, *(_axis(a, rows.schema[a].dataType).alias(p) for a, p in zip([along, *cells], place)))
+    points = cut(at.select(*group, *place).distinct())
+    sizes = points.groupBy(*group).agg(F.count("*").alias("_n"))
+    large = cut(sizes.where(F.col("_n") > most))
+    if large.isEmpty():
+        layered = _layered(points, group, place)
+    else:
+        same = all_of([F.col(f"p.{g}").eqNullSafe(F.col(f"q.{g}")) for g in group])
+        small = points.alias("p").join(large.alias("q"), same, "left_anti")
+        layered = _layered(small, group, place).unionByName(_layered_in_blocks(points, large, group, place, block))
+    both = all_of([F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*group, *place)])
+    return at.alias("r").join(layered.alias("l"), both).select(*(F.col(f"r.{g}").alias(g) for g in group), F.col(f"r.{identity}").alias(identity), F.col("l.layer").alias("layer"))
+
+
+def _layered(points: DataFrame, group: list[str], place: list[str]) -> DataFrame:
+    """The points with their layer, each group in an array; going down the first coordinates, a point's dominators come before it."""
+    kind = ", ".join(f"{f}:double" for f in place)
+    none = F.array().cast(f"array<struct<{kind},layer:int>>")
+    beats = lambda x, y: all_of([x[f] >= y[f] for f in place])  # noqa: E731  (points are distinct)
+    step = lambda done, x: F.array_append(done, F.struct(*(x[f].alias(f) for f in place), (1 + F.coalesce(F.array_max(F.transform(F.filter(done, lambda y: beats(y, x)), lambda y: y["layer"])), F.lit(0))).alias("layer")))
+    ordered = F.reverse(F.array_sort(F.collect_list(F.struct(*place))))
+    each = points.groupBy(*group).agg(ordered.alias("_rows")).select(*group, F.explode(F.aggregate("_rows", none, step)).alias("_r"))
+    return each.select(*group, *(F.col(f"_r.{f}").alias(f) for f in place), F.col("_r.layer").alias("layer"))
+
+
+def chain_step(points: np.ndarray, cells: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The layers of ``points`` (in descending order of their coordinates; the first is not of the cell), one row for each start of ``best``.
+
+    ``best`` [start, cell] is the highest layer seen in each cell, counted from each start (-inf: not reached); it is updated.
     """
-    ranked = F.struct(*(F.col(a).alias(f"a{i}") for i, a in enumerate(axes)), F.col(identity).alias("id"))
-    ordered = F.reverse(F.array_sort(F.collect_list(ranked)))
-    fields = [f"a{i}" for i in range(len(axes))]
+    covers = [np.flatnonzero((cells >= c).all(axis=1)) for c in cells]
+    which = {tuple(c): i for i, c in enumerate(cells)}
+    out = np.empty((len(points), len(best)))
+    for i, p in enumerate(points):
+        v = which[tuple(p[1:])]
+        out[i] = 1 + best[:, covers[v]].max(axis=1)
+        best[:, v] = np.maximum(best[:, v], out[i])
+    return out
+
 
-    def beats(x: Column, y: Column) -> Column:
-        at_least = [(x[f] >= y[f]) | y[f].isNull() for f in fields]
-        better = [(x[f] > y[f]) | (x[f].isNotNull() & y[f].isNull()) for f in fields]
-        return F.coalesce(all_of(at_least) & any_of(better), F.lit(False))
+def _layered_in_blocks(points: DataFrame, large: DataFrame, group: list[str], place: list[str], block: int) -> DataFrame:
+    """The points of ``large`` groups with their layer, in three steps over blocks along the first coordinate, highest first.
 
-    # Going down the first axes, a record's dominators come before it.
-    kind = ", ".join(f"{f}:{rows.schema[a].dataType.simpleString()}" for f, a in zip(fields, axes))
-    none = F.array().cast(f"array<struct<{kind},id:{rows.schema[identity].dataType.simpleString()},layer:int>>")
-    step = lambda done, x: F.array_append(done, F.struct(*(x[f].alias(f) for f in fields), x["id"].alias("id"), (1 + F.coalesce(F.array_max(F.transform(F.filter(done, lambda y: beats(y, x)), lambda y: y["layer"])), F.lit(0))).alias("layer")))
-    layered = rows.groupBy(*group).agg(ordered.alias("_rows")).select(*group, F.explode(F.aggregate("_rows", none, step)).alias("_r"))
-    return layered.select(*group, F.col("_r.id").alias(identity), F.col("_r.layer").alias("layer"))
+    Each block finds how much it lengthens chains from each cell to each other cell; a group's blocks, which are few, hand the highest layers on from one to the
+    next; then each block layers its points from what it was handed.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    keys = ", ".join(f"{g} {fields[g]}" for g in group)
+    same = all_of([F.col(f"p.{g}").eqNullSafe(F.col(f"q.{g}")) for g in group])
+    parts = 1024
+    mine = points.alias("p").join(large.alias("q"), same).select("p.*", F.col("_n"))
+    cuts = mine.groupBy(*group).agg(F.percentile_approx("_0", F.array(*(F.lit(i / parts) for i in range(1, parts)))).alias("_cuts"), F.max("_n").alias("_m"), F.collect_set(F.array(*place[1:])).alias("_cells"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(parts) / F.ceil(F.col("_m") / block))).cast("int")
+    cuts = cut(cuts.select(*group, F.array_distinct(F.filter("_cuts", lambda x, i: (i + 1) % step == 0)).alias("_cuts"), "_cells"))
+    placed = cut(points.alias("p").join(cuts.alias("q"), same).select("p.*", F.size(F.filter("_cuts", lambda x: x > F.col("_0"))).alias("_block")))
+    listed = cuts.select(*group, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_block"), "_cells")
+    by = [*group, "_block"]
+
+    def sorted_points(pdf: pd.DataFrame) -> np.ndarray:
+        x = pdf[place].to_numpy(dtype=float)
+        return x[np.lexsort(tuple(-x[:, j] for j in range(x.shape[1] - 1, -1, -1)))]
+
+    def grid(meta: pd.DataFrame) -> np.ndarray:
+        return np.array(sorted(map(tuple, meta["_cells"].iat[0])), dtype=float).reshape(-1, len(place) - 1)
+
+    def lengthened(pdf: pd.DataFrame, meta: pd.DataFrame) -> pd.DataFrame:
+        cells = grid(meta)
+        best = np.full((len(cells) + 1, len(cells)), -np.inf)
+        best[np.arange(len(cells)), np.arange(len(cells))] = 0
+        start = np.full((len(cells) + 1, 1), -np.inf)
+        start[-1] = 0  # the last start is a chain that begins in the block
+        grown = np.hstack([best, start])
+        free = np.vstack([cells, np.full((1, cells.shape[1]), np.inf)])  # covered by every point
+        chain_step(sorted_points(pdf), free, grown)
+        return meta[by].assign(grown=[grown[:, :-1].ravel().tolist()])
+
+    grown = placed.groupBy(*by).cogroup(listed.groupBy(*by)).applyInPandas(lengthened, f"{keys}, _block int, grown array<double>")
+
+    def handed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        n = int((np.sqrt(1 + 4 * len(pdf["grown"].iat[0])) - 1) / 2)
+        state, states = np.full(n, -np.inf), []
+        for g in pdf["grown"]:
+            states.append(state.tolist())
+            m = np.asarray(g, dtype=float).reshape(n + 1, n)
+            state = np.maximum((state[:, None] + m[:-1]).max(axis=0), m[-1])
+        return pdf[by].assign(state=states)
+
+    states = cut(grown).groupBy(*group).applyInPandas(handed, f"{keys}, _block int, state array<double>")
+    told = states.alias("p").join(listed.alias("q"), all_of([F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by])).select("p.*", "_cells")
+
+    def layers(pdf: pd.DataFrame, meta: pd.DataFrame) -> pd.DataFrame:
+        x, cells = sorted_points(pdf), grid(meta)
+        best = np.hstack([np.asarray(meta["state"].iat[0], dtype=float)[None, :], np.zeros((1, 1))])
+        free = np.vstack([cells, np.full((1, cells.shape[1]), np.inf)])
+        out = pd.DataFrame(x, columns=place).assign(layer=chain_step(x, free, best)[:, 0].astype(int))
+        for g in group:
+            out[g] = meta[g].iat[0]
+        return out[[*group, *place, "layer"]]
+
+    return placed.groupBy(*by).cogroup(told.groupBy(*by)).applyInPandas(layers, f"{keys}, {', '.join(f'{f} double' for f in place)}, layer int")
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -138,46 +240,29 @@ def all_of(conditions: list[Column]) -> Column:
     return out
 
 
-def any_of(conditions: list[Column]) -> Column:
-    """The disjunction of some conditions."""
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
-
-
-def distinct_offers(rows: DataFrame, group: list[str], fields: Column, time: str, identity: str, *equal: str) -> DataFrame:
-    """Of the rows of a group that fill the same ``fields`` and agree in ``equal``, the latest (then the least ``identity``).
-
-    The others are dominated by it and offer no field it lacks. What is left of a group is bounded by the patterns of
-    filled fields, not by its rows, and the aggregation runs before the shuffle, so a hot group is no hot task.
-    """
-    return rows.withColumn("_pattern", F.array_join(F.array_sort(fields), "\u0001")).groupBy(*group, *equal, "_pattern").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in {*group, *equal}]), F.struct(F.col(time), -F.col(identity))).alias("_row")).select(*group, *equal, "_row.*")
-
-
 def best_records(records: DataFrame, keys: DataFrame, group: tuple[str, ...] = ("build_id", "entity_key")) -> DataFrame:
     """One row for each group: the survivor, and the best values the group offers, field by field.
 
     Columns: the group, ``survivor_id``, ``n_records``, ``canonical_name``, ``entity_type``, ``key_properties`` (filled ones only),
-    ``paper_ids`` (all, ascending, without nulls and repeats), ``layers``. The survivor is the lexicographic best by completeness,
-    recency, trust and lowest record_id, hence never dominated. Every field takes the value of the lowest dominance layer
-    that fills it, in a layer by the same policy; name and type come from the most trusted record first. A group without any name or type has null there.
+    ``paper_ids`` (all, ascending, without nulls and repeats), ``layers``. Layers are computed over all records of a group. The survivor is the best of the first layer, the
+    undominated records, by completeness, recency, trust and lowest record_id in this order. Every field takes the value of the lowest dominance layer
+    that fills it, in a layer by the same policy; for name and type the most trusted record of the layer comes first. A group without any name or type has null there.
+    ``record_id`` must be unique.
     """
     group = list(group)
     rows = cut(rated(records, keys).select(*group, "record_id", "canonical_name", "entity_type", "_filled", "paper_ids", "completeness", "recency", "trust", "_named"))
-    policy = F.struct("completeness", "recency", "trust", -F.col("record_id"))
     papers = rows.select(*group, F.explode("paper_ids").alias("_p")).where("_p IS NOT NULL").distinct().groupBy(*group).agg(F.array_sort(F.collect_list("_p")).alias("paper_ids"))
-    survivors = rows.groupBy(*group).agg(F.max_by("record_id", policy).alias("survivor_id"), F.count("*").alias("n_records"))
-    typed = F.trim(F.coalesce("entity_type", F.lit(""))) != ""
-    filled = F.concat(F.map_keys("_filled"), F.when(F.col("_named"), F.array(F.lit("\u0000name"))).otherwise(F.array()), F.when(typed, F.array(F.lit("\u0000type"))).otherwise(F.array()))
-    offers = cut(distinct_offers(rows.drop("paper_ids"), group, filled, "recency", "record_id", "completeness", "trust"))
-    layers = dominance_layers(offers, group, ["completeness", "recency", "trust"], "record_id")
-    ranked = offers.join(layers, [*group, "record_id"]).withColumn("_order", F.struct("layer", -F.col("completeness"), -F.unix_micros(F.col("recency").cast("timestamp")), -F.col("trust"), "record_id"))
+    layers = dominance_layers(rows, group, ["completeness", "recency", "trust"], "record_id", along="recency")
+    ranked = rows.drop("paper_ids").join(layers.select("record_id", "layer"), "record_id").withColumn("_order", F.struct("layer", -F.col("completeness"), -F.coalesce(F.unix_micros(F.col("recency").cast("timestamp")), F.lit(-(1 << 62))), -F.col("trust"), "record_id"))
     values = ranked.select(*group, "_order", F.explode("_filled").alias("_k", "_v")).groupBy(*group, "_k").agg(F.min_by("_v", "_order").alias("_v"))
     properties = values.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("key_properties"))
-    one = lambda c, when: F.min_by(F.when(when, F.col(c)), F.when(when, F.struct(-F.col("trust"), "_order")))
-    heads = ranked.groupBy(*group).agg(one("canonical_name", F.col("_named")).alias("canonical_name"), one("entity_type", F.trim("entity_type") != "").alias("entity_type"), F.max("layer").alias("layers"))
-    out = survivors.join(heads, group).join(properties, group, "left").join(papers, group, "left")
+    one = lambda c, when: F.min_by(F.when(when, F.col(c)), F.when(when, F.struct("layer", -F.col("trust"), "_order")))
+    first = F.col("layer") == 1
+    heads = ranked.groupBy(*group).agg(
+        F.min_by(F.when(first, F.col("record_id")), F.when(first, F.col("_order"))).alias("survivor_id"), F.count("*").alias("n_records"), one("canonical_name", F.col("_named")).alias("canonical_name"),
+        one("entity_type", F.trim("entity_type") != "").alias("entity_type"), F.max("layer").alias("layers"),
+    )
+    out = heads.join(properties, group, "left").join(papers, group, "left")
     return out.select(*group, "survivor_id", "n_records", "canonical_name", "entity_type", F.coalesce("key_properties", F.create_map().cast("map<string,string>")).alias("key_properties"), F.coalesce("paper_ids", F.array().cast("array<int>")).alias("paper_ids"), "layers")
 
 

@@ -38,8 +38,18 @@ def test_layers_are_those_of_peeling(rows, seed):
     random.seed(seed)
     points = [(i, tuple(random.choice([None, 1, 2, 3]) for _ in range(3))) for i in range(40)]
     df = rows("g int, id int, a int, b int, c int", *((i % 2, i, *p) for i, p in points))
-    got = {r["id"]: r["layer"] for r in S.dominance_layers(df, ["g"], ["a", "b", "c"], "id").collect()}
-    assert got == {**brute_layers([x for x in points if x[0] % 2 == 0]), **brute_layers([x for x in points if x[0] % 2])}
+    want = {**brute_layers([x for x in points if x[0] % 2 == 0]), **brute_layers([x for x in points if x[0] % 2])}
+    for most in (256, 5) if seed < 2 else (256,):  # in one array, and in blocks
+        got = {r["id"]: r["layer"] for r in S.dominance_layers(df, ["g"], ["a", "b", "c"], "id", along="b", most=most, block=2).collect()}
+        assert got == want
+
+
+def test_layers_of_a_large_group_are_those_of_one_array(rows):
+    random.seed(9)
+    points = [(0, i, random.randrange(400), random.randrange(4), random.randrange(3)) for i in range(700)] + [(None, 1000 + i, i, 1, 1) for i in range(3)]
+    df = rows("g int, id int, a int, b int, c int", *points)
+    layers = lambda **k: sorted(tuple(r) for r in S.dominance_layers(df, ["g"], ["b", "a", "c"], "id", along="a", **k).select("id", "layer").collect())
+    assert layers(most=600, block=60) == layers(most=10_000)
 
 
 @pytest.fixture
@@ -64,12 +74,36 @@ def test_pairs_survivors_and_best_values(rows, registry):
     assert got[1, "name:out of list"]["entity_type"] is None and got[1, "name:out of list"]["key_properties"] == {}
 
 
-def test_a_hot_group_of_equal_offers_is_one_offer(rows):
+def test_each_of_a_hot_group_has_its_layer(rows):
     many = [(i, 0, "Nodular Goitre", "D", None, {"a": str(i)}, [i], None, AT(2024, 1, 1) + datetime.timedelta(hours=i)) for i in range(300)]
     df = rows(REC, *many)
     keys = S.entity_keys(df, rows(TERM, (1, "D", "Nodular Goitre", None)))
     best = S.best_records(df, keys).collect()
-    assert len(best) == 1 and best[0]["survivor_id"] == 299 and best[0]["layers"] == 1 and best[0]["key_properties"] == {"a": "299"} and len(best[0]["paper_ids"]) == 300
+    assert len(best) == 1 and best[0]["survivor_id"] == 299 and best[0]["layers"] == 300 and best[0]["key_properties"] == {"a": "299"} and len(best[0]["paper_ids"]) == 300
+
+
+def test_records_without_a_value_of_their_own_still_place_others_in_layers(rows):
+    at = lambda h: AT(2024, 1, 1) + datetime.timedelta(hours=h)
+    own = [(1, "D", {"a": "1", "b": "1", "c": "1"}, at(10)), (2, "D", {"a": "2", "b": "2", "c": "2"}, at(9)), (3, None, {"d": "3", "e": "3"}, at(8)), (4, "D", {"d": "4"}, at(9.5))]
+    df = rows(REC, *((i, 0, "Nodular Goitre", kind, None, p, None, None, t) for i, kind, p, t in own))
+    best = S.best_records(df, S.entity_keys(df, rows(TERM, (1, "D", "Nodular Goitre", None)))).collect()
+    assert len(best) == 1 and best[0]["survivor_id"] == 1 and best[0]["layers"] == 3
+    assert best[0]["key_properties"] == {"a": "1", "b": "1", "c": "1", "d": "4", "e": "3"}
+
+
+@pytest.mark.parametrize("most", [256, 4])
+def test_best_records_are_those_of_peeling(rows, monkeypatch, most):
+    monkeypatch.setattr(S.dominance_layers, "__defaults__", (None, most, 3))
+    random.seed(most)
+    own = [(i, random.choice(["D", None, ""]), {k: f"{k}{i}" for k in random.sample("abcde", random.randrange(5))}, random.choice([None, *(AT(2024, 1, h) for h in range(1, 9))])) for i in range(40)]
+    df = rows(REC, *((i, i % 2, "Nodular Goitre", kind, None, p, None, None, t) for i, kind, p, t in own))
+    best = S.best_records(df, S.entity_keys(df, rows(TERM, (1, "D", "Nodular Goitre", None))))
+    for r in best.collect():
+        mine = [x for x in own if x[0] % 2 == r["build_id"]]
+        layer = brute_layers([(i, (len(p), t and t.day, 3 if kind else 2)) for i, kind, p, t in mine])
+        order = sorted(mine, key=lambda x: (layer[x[0]], -len(x[2]), -(x[3].day if x[3] else 0), -(3 if x[1] else 2), x[0]))
+        assert (r["survivor_id"], r["layers"], r["n_records"]) == (order[0][0], max(layer.values()), 20)
+        assert r["key_properties"] == {k: next(x[2][k] for x in order if k in x[2]) for k in "abcde" if any(k in x[2] for x in mine)}
 
 
 def test_empty(rows, registry):
