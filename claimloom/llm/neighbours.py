@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from claimloom.lineage import cut
 
-#: Vectors per partition, most vectors the partitioning is learned from, aimed-at recall of routing, most index rows and queries of a task.
-PART_ROWS, FIT_ROWS, RECALL, BLOCK_ROWS, QUERY_ROWS = 8_192, 20_000, 0.98, 32_768, 131_072
+#: Vectors per part, most vectors that one router is learned from, aimed-at recall of routing, most index rows and queries of a task.
+PART_ROWS, FIT_ROWS, RECALL, BLOCK_ROWS, QUERY_ROWS = 2_048, 20_000, 0.96, 32_768, 131_072
+#: Most parts that one router tells apart (more parts are reached through a tree of routers), and neighbouring parts that share a task.
+FAN, SIBLINGS = 256, 8
 
 
 def usable(vector: str, dimensions: int) -> Column:
@@ -111,6 +114,8 @@ class Router:
     b2: np.ndarray
     probes: int
     recall: float
+    load: np.ndarray  # share of the vectors that lie in each part
+    asked: np.ndarray  # share of the vectors that ask in each part
 
     @property
     def parts(self) -> int:
@@ -132,7 +137,7 @@ def learn_router(x: np.ndarray, parts: int, k: int = 10, recall: float = RECALL,
     """
     dim = x.shape[1]
     if parts <= 1 or len(x) < 4 * parts:
-        return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1, 1.0)
+        return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1, 1.0, np.ones(1), np.ones(1))
     random = np.random.default_rng(seed)
     order = random.permutation(len(x))
     held, fit = order[: len(x) // 10], np.sort(order[len(x) // 10 :])
@@ -161,7 +166,7 @@ def learn_router(x: np.ndarray, parts: int, k: int = 10, recall: float = RECALL,
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 weights[i] -= (rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    router = Router(*weights, probes=parts, recall=1.0)
+    router = Router(*weights, probes=parts, recall=1.0, load=np.empty(0), asked=np.empty(0))
     near, _ = _top(x[held], x[fit], k)
     home = router.ranked(x[fit], 1)[:, 0]
     ranks = router.ranked(x[held], parts)
@@ -171,6 +176,8 @@ def learn_router(x: np.ndarray, parts: int, k: int = 10, recall: float = RECALL,
     share = np.bincount(reached.ravel(), minlength=parts).cumsum() / reached.size
     router.probes = int(np.searchsorted(share, min(recall, share[-1])) + 1)
     router.recall = float(share[min(router.probes, parts) - 1])
+    all_ranked = router.ranked(x, router.probes)
+    router.load, router.asked = np.bincount(all_ranked[:, 0], minlength=parts) / len(x), np.bincount(all_ranked.ravel(), minlength=parts) / len(x)
     return router
 
 
@@ -187,79 +194,180 @@ def _identical(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return h.join(classes, ["_h", "_g"]).select(key, "rep")
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, dimensions: int, k: int = 10, part_rows: int = PART_ROWS, fit_rows: int = FIT_ROWS, recall: float = RECALL) -> DataFrame:
+def _tree(leaves: int, fan: int) -> tuple[int, int]:
+    """Depth of the tree of routers, and parts of each router."""
+    depth, reach = 1, fan
+    while reach < leaves:
+        depth, reach = depth + 1, reach * fan
+    return depth, max(1, int(np.ceil(leaves ** (1 / depth) - 1e-9)))
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, dimensions: int, k: int = 10, part_rows: int = PART_ROWS, fit_rows: int = FIT_ROWS, recall: float = RECALL, fan: int = FAN, siblings: int = SIBLINGS) -> DataFrame:
     """``key``, ``neighbour``, ``cosine``, ``rank`` (1..k): the k most similar others of every usable vector.
 
     ``key`` must be unique. Unusable vectors (null, wrong length, null, infinite or not-a-number entries, all zero) neither ask nor answer. Ties go to the lower key.
-    A router is learned from at most ``fit_rows`` vectors, chosen by a hash of the key; every vector is indexed in its most
-    probable part and asks its most probable parts, as many as the aimed-at ``recall`` needs; candidates are reranked in double precision.
+    There is one part for ``part_rows`` vectors, however many there are: a router tells up to ``fan`` parts apart, and beyond that each part has a router of its own, and so on.
+    A router is learned from at most ``fit_rows`` vectors of its part, chosen by a hash of the key; every vector is indexed in its most
+    probable part and asks its most probable parts, as many as the aimed-at ``recall`` needs; candidates are reranked in double precision. ``siblings``
+    neighbouring parts are searched by one task, to which a vector is sent once.
     Vectors that are exactly equal are searched once, by their least key, and the results given to all. Parts that
     outgrow a task are searched in blocks, so nothing is capped. With few vectors all lie in one part and the search is exact.
     """
-    rows = vectors.where(F.col(key).isNotNull() & usable(vector, dimensions)).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    rows = cut(vectors.where(F.col(key).isNotNull() & usable(vector, dimensions)).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v")))
     same = cut(_identical(rows, "id", "v"))
     copies = same.where("id <> rep")
     single = rows.join(copies.select("id"), "id", "left_anti")
     count = rows.count() - copies.count()
-    parts = min(-(-count // part_rows), fit_rows // 64)
+    depth, parts = _tree(max(1, -(-count // part_rows)), fan)
     sample = np.empty((0, dimensions))
     if parts > 1:
-        share = min(1.0, 1.1 * fit_rows / count)
-        chosen = single.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("id").limit(fit_rows)
+        chosen = single.where(_sampled(min(1.0, 1.1 * fit_rows / count), 3)).orderBy("id").limit(fit_rows)
         sample = _unit(_matrix(chosen.select("v").toArrow()["v"], dimensions))
-    router = learn_router(sample, parts, k, recall)
-    found = _searched(single, router, dimensions, k)
+    router = learn_router(sample, parts, k, recall ** (1 / depth))
+    found = _searched(_sent(single, router, count, dimensions, k, depth, parts, fit_rows, recall ** (1 / depth), siblings), dimensions, k)
     return _spread(found, same, k, key)
 
 
-def _searched(single: DataFrame, router: Router, dim: int, k: int) -> DataFrame:
-    """``id``, ``near``: array of (negative cosine, id) of at most k others, best first."""
-    probes = router.probes
+def _sampled(share: float, salt: int) -> Column:
+    """A share of the rows, by a hash of their id."""
+    return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
+def _routed(batch: pa.RecordBatch, router: Router, node: np.ndarray, own: np.ndarray, parts: int, dim: int) -> pa.RecordBatch:
+    """Vectors sent on from their node to its most probable parts; one that lies in the node (``own``) lies in the first."""
+    ranked = router.ranked(_unit(_matrix(batch.column("v"), dim)), min(router.probes, router.parts))
+    width = ranked.shape[1]
+    sent = batch.select(["id", "v"]).take(pa.array(np.repeat(np.arange(batch.num_rows), width)))
+    first = (np.tile(np.arange(width) == 0, batch.num_rows)) & np.repeat(own, width)
+    return pa.RecordBatch.from_arrays([sent.column("id"), sent.column("v"), pa.array((node[:, None] * parts + ranked).ravel()), pa.array(first)], names=["id", "v", "node", "own"])
+
+
+def _grouped(batch: pa.RecordBatch, router: Router, node: np.ndarray, own: np.ndarray, held: np.ndarray, parts: int, siblings: int, dim: int) -> pa.RecordBatch:
+    """Vectors sent to the cells of neighbouring parts that they probe, once a cell: ``parts`` probed there, ``mine`` the part they lie in (-1: elsewhere), blocks of index and queries of the cell.
+
+    ``held`` is the number of vectors in the node as far as it is known.
+    """
+    ranked = router.ranked(_unit(_matrix(batch.column("v"), dim)), min(router.probes, router.parts))
+    home = np.where(own, node * parts + ranked[:, 0], -1)
+    child = np.sort(ranked, axis=1)
+    cell = child // siblings
+    begins = np.ones(cell.shape, dtype=bool)
+    begins[:, 1:] = cell[:, 1:] != cell[:, :-1]
+    at = np.flatnonzero(begins)
+    row, local = at // cell.shape[1], cell.ravel()[at]
+    per_node = -(-parts // siblings)
+    starts = np.arange(0, router.parts, siblings)
+    index, queries = np.add.reduceat(router.load, starts), np.maximum.reduceat(router.asked, starts)
+    blocks = lambda share, most: np.maximum(1, np.ceil(share[local] * held[row] / most)).astype(np.int32)
+    offsets = np.append(at, child.size).astype(np.int32)
+    there = (node[row] * parts + local * siblings <= home[row]) & (home[row] < node[row] * parts + np.minimum((local + 1) * siblings, parts))
+    return pa.RecordBatch.from_arrays(
+        [batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(node[row] * per_node + local), pa.ListArray.from_arrays(pa.array(offsets), pa.array((node[:, None] * parts + child).ravel())),
+         pa.array(np.where(there, home[row], -1)), pa.array(blocks(index, BLOCK_ROWS)), pa.array(blocks(queries, QUERY_ROWS))],
+        names=["id", "v", "cell", "parts", "mine", "ibs", "qbs"],
+    )
+
+
+def _sent(single: DataFrame, router: Router, count: int, dim: int, k: int, depth: int, parts: int, fit_rows: int, recall: float, siblings: int) -> DataFrame:
+    """Every vector with the cells that it is sent to (see ``_grouped``), by one router or a tree of them."""
+    kind = single.schema["id"].dataType.simpleString()
+    last = f"id {kind}, v array<float>, cell bigint, parts array<bigint>, mine bigint, ibs int, qbs int"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if n := batch.num_rows:
+                node, own = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+                yield _grouped(batch, router, node, own, np.full(n, count), parts, siblings, dim) if depth == 1 else _routed(batch, router, node, own, parts, dim)
+
+    rows = single.mapInArrow(first, last if depth == 1 else f"id {kind}, v array<float>, node bigint, own boolean")
+    for level in range(2, depth + 1):
+        rows = _sent_on(cut(rows), kind, count / parts ** (level - 1), level == depth, dim, k, parts, fit_rows, recall, siblings, last)
+    return rows
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sent_on(rows: DataFrame, kind: str, expected: float, final: bool, dim: int, k: int, parts: int, fit_rows: int, recall: float, siblings: int, last: str) -> DataFrame:
+    """The next level of the tree: a router for each node, learned where the node's sample is, is put before the node's vectors, which stream past it.
+
+    A node's vectors may be spread over several tasks, each of which gets the router. A node without sampled vectors has a single part.
+    """
+    share = min(1.0, 1.1 * fit_rows / max(1.0, expected))
+
+    def learnt(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy(zero_copy_only=False), kind="stable")
+        x = _unit(_matrix(table.column("v"), dim))[order][np.random.default_rng(7).permutation(len(order))[:fit_rows]]
+        router = learn_router(x, parts, k, recall)
+        return pa.table({"node": pa.array([key[0].as_py()]), "router": pa.array([pickle.dumps(vars(router))]), "held": pa.array([len(order) / share])})
+
+    routers = cut(rows.where("own").where(_sampled(share, 4)).select("node", "id", "v").groupBy("node").applyInArrow(learnt, "node bigint, router binary, held double"))
+    spread = max(1, int(np.ceil(expected * 4 / QUERY_ROWS)))
+    models = routers.select("node", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"), "router", "held", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("array<float>").alias("v"), F.lit(False).alias("own"))
+    asked = rows.select("node", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("router"), F.lit(None).cast("double").alias("held"), "id", "v", "own")
+    ordered = models.unionByName(asked).repartition("node", "salt").sortWithinPartitions("node", "salt", F.col("router").isNull())
+
+    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_part = learn_router(np.empty((0, dim)), 1)
+        router, of, held = single_part, None, 0.0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ranked = router.ranked(_unit(_matrix(batch.column("v"), dim)), probes)
-            repeated = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), ranked.shape[1])))
-            own = np.tile(np.arange(ranked.shape[1]) == 0, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([repeated.column("id"), repeated.column("v"), pa.array(ranked.ravel().astype(np.int32)), pa.array(own)], names=["id", "v", "part", "own"])
-
-    sent = single.mapInArrow(routed, f"id {single.schema['id'].dataType.simpleString()}, v array<float>, part int, own boolean")
-    load = {r[0]: (r[1], r[2]) for r in sent.groupBy("part").agg(F.sum(F.col("own").cast("int")), F.count("*")).collect()}
-    blocks = {p: (max(1, -(-n // BLOCK_ROWS)), max(1, -(-q // QUERY_ROWS))) for p, (n, q) in load.items()}
-    large = {p: b for p, b in blocks.items() if b != (1, 1)}
-    index_blocks, query_blocks = F.lit(1), F.lit(1)
-    for p, (i, q) in large.items():
-        index_blocks, query_blocks = F.when(F.col("part") == p, i).otherwise(index_blocks), F.when(F.col("part") == p, q).otherwise(query_blocks)
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    if large:  # each block of queries meets each block of the index
-        asked = sent.withColumn("qb", block(query_blocks, 1)).select("*", every(index_blocks).alias("ib")).withColumn("asks", F.lit(True)).withColumn("own", F.lit(False))
-        told = sent.where("own").withColumn("ib", block(index_blocks, 2)).select("*", every(query_blocks).alias("qb")).withColumn("asks", F.lit(False))
-        sent = asked.select("id", "v", "part", "own", "asks", "ib", "qb").unionByName(told.select("id", "v", "part", "own", "asks", "ib", "qb"))
-    else:
-        sent = sent.withColumns({"asks": F.lit(True), "ib": F.lit(0), "qb": F.lit(0)})
+            node, salt, model = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "salt", "router"))
+            new = np.array([m is not None for m in model])
+            edges = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (salt[1:] != salt[:-1]) | new[1:] | new[:-1]))
+            for a, b in zip(edges, np.append(edges[1:], batch.num_rows)):
+                if new[a]:
+                    router, of, held = Router(**pickle.loads(model[a])), node[a], batch.column("held")[int(a)].as_py()
+                    continue
+                if node[a] != of:
+                    router, of, held = single_part, node[a], 0.0
+                part = batch.slice(a, b - a).select(["id", "v", "own"])
+                own = part.column("own").to_numpy(zero_copy_only=False)
+                yield _grouped(part, router, node[a:b], own, np.full(b - a, held), parts, siblings, dim) if final else _routed(part, router, node[a:b], own, parts, dim)
+
+    return ordered.mapInArrow(on, last if final else f"id {kind}, v array<float>, node bigint, own boolean")
+
+
+def _searched(sent: DataFrame, dim: int, k: int) -> DataFrame:
+    """``id``, ``near``: array of (negative cosine, id) of at most k others, best first. Where a cell has several blocks, each block of queries meets each block of the index."""
+    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meets = lambda i, q, asks, tells: F.struct(i.alias("ib"), q.alias("qb"), F.lit(asks).alias("asks"), F.lit(tells).alias("tells"))
+    one = (F.col("ibs") == 1) & (F.col("qbs") == 1)
+    asked = F.transform(every("ibs"), lambda i: meets(i, block("qbs", 1), True, False))
+    told = F.when(F.col("mine") >= 0, F.transform(every("qbs"), lambda q: meets(block("ibs", 2), q, False, True))).otherwise(F.array().cast("array<struct<ib:int,qb:int,asks:boolean,tells:boolean>>"))
+    sent = sent.withColumn("_b", F.explode(F.when(one, F.array(meets(F.lit(0), F.lit(0), True, True))).otherwise(F.concat(asked, told)))).select("id", "v", "cell", "parts", "mine", "_b.*")
 
     def searched(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         ids, x = table.column("id").combine_chunks(), _unit(_matrix(table.column("v"), dim))
-        own, asks = np.flatnonzero(table.column("own").to_numpy(zero_copy_only=False)), np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
-        where, _ = _top(x[asks], x[own], k + 9) if len(own) else (np.empty((len(asks), 0), np.int64), None)
-        numbers = ids.to_numpy(zero_copy_only=False)
-        near = numbers[own][where]
-        exact = np.empty(where.shape)
+        numbers, mine = ids.to_numpy(zero_copy_only=False), table.column("mine").to_numpy(zero_copy_only=False)
+        tells, asks = table.column("tells").to_numpy(zero_copy_only=False) & (mine >= 0), np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
+        lists = table.column("parts").combine_chunks()
+        probed, asker = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        width = k + 9
+        at, value = np.zeros((len(numbers), width), dtype=np.int64), np.full((len(numbers), width), -np.inf, dtype=np.float32)
+        is_asking = np.zeros(len(numbers), dtype=bool)
+        is_asking[asks] = True
+        for part in np.unique(mine[tells]):
+            index = np.flatnonzero(tells & (mine == part))
+            rows = asker[(probed == part) & is_asking[asker]]
+            where, near = _top(x[rows], x[index], width)
+            both, gain = np.hstack([at[rows], index[where]]), np.hstack([value[rows], near])
+            best = np.argpartition(-gain, width - 1, axis=1)[:, :width]
+            at[rows], value[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(gain, best, axis=1)
+        where, real = at[asks], np.isfinite(value[asks])
+        near, exact = numbers[where], np.empty(where.shape)
         for i in range(0, len(asks), 20_000):
-            exact[i : i + 20_000] = np.einsum("qd,qkd->qk", x[asks[i : i + 20_000]], x[own][where[i : i + 20_000]])
-        exact = np.where(near == numbers[asks][:, None], -np.inf, np.round(exact, 12))  # so that what ties on paper ties here
-        order = np.lexsort((near, -exact), axis=1)[:, : min(k, where.shape[1])]
+            exact[i : i + 20_000] = np.einsum("qd,qkd->qk", x[asks[i : i + 20_000]], x[where[i : i + 20_000]])
+        exact = np.where(real & (near != numbers[asks][:, None]), np.round(exact, 12), -np.inf)  # so that what ties on paper ties here
+        order = np.lexsort((near, -exact), axis=1)[:, :k]
         near, exact = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
         real = np.isfinite(exact)
         offsets = pa.array(np.concatenate([[0], real.sum(axis=1).cumsum()]).astype(np.int32))
         pairs = pa.StructArray.from_arrays([pa.array(-exact[real]), pa.array(near[real])], names=["d", "id"])
         return pa.table({"id": ids.take(pa.array(asks)), "near": pa.ListArray.from_arrays(offsets, pairs)})
 
-    kind = single.schema["id"].dataType.simpleString()
-    partial = sent.groupBy("part", "ib", "qb").applyInArrow(searched, f"id {kind}, near array<struct<d:double,id:{kind}>>")
+    kind = sent.schema["id"].dataType.simpleString()
+    partial = sent.groupBy("cell", "ib", "qb").applyInArrow(searched, f"id {kind}, near array<struct<d:double,id:{kind}>>")
     return partial.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 

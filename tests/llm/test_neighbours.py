@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -69,6 +71,34 @@ def test_parts_that_outgrow_a_task_are_searched_in_blocks(rows, monkeypatch):
     assert results(N.nearest(table(rows, data), "id", "v", DIM, 6)) == brute(data, 6)
 
 
+@pytest.mark.parametrize(("part_rows", "fan", "depth"), [(300, 16, 1), (100, 6, 2), (100, 4, 3)])
+def test_parts_grow_with_the_vectors_and_every_vector_is_indexed(rows, part_rows, fan, depth):
+    assert N._tree(-(-3000 // part_rows), fan)[0] == depth
+    x = clustered(3000, 7)
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[0].tolist()) for i in range(5)]
+    got = results(N.nearest(table(rows, data), "id", "v", DIM, 10, part_rows=part_rows, fit_rows=1500, recall=0.97, fan=fan, siblings=2))
+    want = brute(data, 10)
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.9
+    pairs = lambda near: {(i, j) for i, v in near.items() for j in v[:1]}
+    assert len(pairs(got) & pairs(want)) >= 0.97 * len(pairs(want))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_pairs_of_the_query_are_those_of_its_sql_with_many_parts(spark, monkeypatch):
+    import duckdb
+
+    from claimloom.llm import queries as Q
+
+    d = "/root/testdata/sf0.01"
+    monkeypatch.setattr(N.nearest, "__defaults__", (10, 64, 1000, N.RECALL, 6, 2))
+    assert N._tree(-(-1019 // 64), 6) == (2, 4)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW claims AS SELECT * FROM '{d}/claims.parquet'")
+    want = set(con.sql(Q.SQL["p5_found"]).fetchall())
+    assert want and {tuple(r) for r in Q.p5_found(spark, d).select("claim_id_a", "claim_id_b").collect()} == want
+
+
 def test_parts_are_balanced():
     x = N._unit(clustered(2000, 5))
     label = N.balanced_parts(x, N.neighbour_graph(x, 10), 10)
