@@ -30,15 +30,16 @@ def name_values(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(name_value, na_action="ignore")
 
 
-def term_frequencies(tokens: DataFrame, term: str, record: str, weight: str | None = None, salts: int = 64) -> DataFrame:
+def term_frequencies(tokens: DataFrame, term: str, record: str, weight: str | None = None, salts: int = 1024) -> DataFrame:
     """``term``, ``occurrences`` (rows with that term, or the sum of ``weight``), ``records`` (distinct non-null ``record`` values).
 
     Last-seen counters: tokens are hash-partitioned by term and a salt of the record and ordered by record; each counter
     keeps occurrences, records and the record seen last, and counts a record when it differs from that one. No set of records is kept
-    anywhere. The salt splits a hot term: the salts of a term hold disjoint records, so their counts add up.
+    anywhere. The salt splits a hot term: the salts of a term hold disjoint records, so their counts add up. Rows without a record, which count no record, are
+    salted by the partition that they come from.
     Null terms are left out; a null record counts as an occurrence only. An empty table gives an empty result.
     """
-    spread = F.pmod(F.xxhash64(record), F.lit(salts))
+    spread = F.pmod(F.when(F.col(record).isNotNull(), F.xxhash64(record)).otherwise(F.spark_partition_id().cast("long")), F.lit(salts))
     cells = Window.partitionBy(term, "_salt").orderBy(F.col(record).asc_nulls_first())
     rows = tokens.where(F.col(term).isNotNull()).select(F.col(term), F.col(record), spread.alias("_salt"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
     new = F.col(record).isNotNull() & ~F.col(record).eqNullSafe(F.lag(record).over(cells))

@@ -24,6 +24,12 @@ def test_counts_are_those_of_sets(rows, salts):
     assert Q.term_frequencies(rows("t string, r int", ("a", 1)).limit(0), "t", "r").count() == 0
 
 
+def test_rows_of_a_hot_term_without_a_record_are_spread(rows):
+    df = rows("t string, r int", *(("hot", None) for _ in range(200)), ("hot", 1)).repartition(4)
+    got = Q.term_frequencies(df, "t", "r").collect()
+    assert [tuple(r) for r in got] == [("hot", 201, 1)]
+
+
 def test_marks(rows):
     df = rows("canonical_name string, paper_ids array<int>", ("A", [1, 1, None]), (" a", [1]), ("B", list(range(2, 30))), ("C", None), ("D", []), (None, [50]), ("E", [2, 3]), ("x" * 100_000, [1, 2]))
     got = {r["name_value"]: (r["n_records"], r["n_papers"], r["mark"]) for r in Q.marked_names(df).collect()}
