@@ -76,8 +76,8 @@ def _settled(row: pd.DataFrame, last: bool) -> pd.DataFrame:
     return row.assign(chance=(row["draw"] < row["chance"]).astype(float)) if last else row
 
 
-def shares_within_reach(totals: dict[str, int], targets: dict[str, tuple[float, int]]) -> tuple[float, dict[str, float]]:
-    """The largest total that all shares reach within their repeats, and each source's mean copies of a record.
+def shares_within_reach(totals: dict[str, int], targets: dict[str, tuple[float, int]], wanted: float | None = None) -> tuple[float, dict[str, float]]:
+    """The total that all shares reach within their repeats, and each source's mean copies of a record: the ``wanted`` total, or the largest possible where that is less or none is wanted.
 
     Sources without tokens cannot contribute; the other shares then keep their proportions.
     """
@@ -86,13 +86,14 @@ def shares_within_reach(totals: dict[str, int], targets: dict[str, tuple[float,
     if not live:
         return 0.0, {}
     total = min(most * totals[s] * whole / share for s, (share, most) in live.items())
+    total = total if wanted is None else min(total, float(wanted))
     return total, {s: min(float(most), total * share / whole / totals[s]) for s, (share, most) in live.items()}
 
 
-def mix(records: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_tokens", seed: int = 11, per_cell: int = RECORDS, fan: int = FAN) -> DataFrame:
+def mix(records: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_tokens", seed: int = 11, per_cell: int = RECORDS, fan: int = FAN, total: float | None = None) -> DataFrame:
     """``key``, ``source``, ``n_tokens``, ``copies``: every record that the mixture uses, with how often.
 
-    ``targets`` has source, target_share, max_repeats. The mixture is the largest whose sources all have their share; within a source every record has the
+    ``targets`` has source, target_share, max_repeats. The mixture has ``total`` size, or, where that is not given or out of reach, is the largest whose sources all have their share; within a source every record has the
     same mean number of copies. Whole copies are given to all; the fraction left is rounded by pivotal sampling
     that keeps the source's sum of tokens: in cells of about ``per_cell`` records, then over the cells' residuals in a tree of fan-in ``fan``,
     so a source misses its share by one record at most. Records with a null key, no size or a source without target are not used.
@@ -104,7 +105,7 @@ def mix(records: DataFrame, targets: DataFrame, key: str = "doc_id", source: str
     goals = {r[0]: (float(r[1]), int(r[2])) for r in wanted if r[0]}
     rows = cut(records.where(F.col(key).isNotNull() & (F.col(size) > 0)).select(key, source_key(source).alias("source"), F.col(size).cast("long").alias("n_tokens")).where(F.col("source").isin(list(goals))))
     found = {r[0]: (r[1], r[2]) for r in rows.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()}
-    _, copies = shares_within_reach({s: t for s, (t, _) in found.items()}, goals)
+    _, copies = shares_within_reach({s: t for s, (t, _) in found.items()}, goals, total)
     cells = max([1, *(-(-n // per_cell) for s, (_, n) in found.items() if s in copies)])
     mean = F.coalesce(*(F.when(F.col("source") == s, F.lit(c)) for s, c in copies.items()), F.lit(0.0)) if copies else F.lit(0.0)
     uniform = lambda *x: (F.pmod(F.xxhash64(F.lit(seed), *x), F.lit(1 << 30)) + 0.5) / float(1 << 30)

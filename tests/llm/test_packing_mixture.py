@@ -97,3 +97,12 @@ def test_a_source_without_records_and_empty_tables(rows):
     assert {r["source"]: r["tokens"] for r in M.share_report(M.mix(df.limit(0), targets), targets).collect()} == {"big": 0, "gone": 0}
     total, copies = M.shares_within_reach({"a": 100, "b": 10}, {"a": (0.5, 1), "b": (0.5, 4)})
     assert total == 80 and copies == {"a": 0.4, "b": 4.0}
+
+
+def test_a_wanted_total_is_kept_or_the_largest_in_reach(rows):
+    df = rows(DOC, *documents())
+    targets = rows("source string, target_share double, max_repeats int", ("big", 0.5, 1), ("small_one", 0.3, 4), ("third", 0.2, 3))
+    size = lambda **k: sum(r["copies"] * r["n_tokens"] for r in M.mix(df, targets, **k).collect())
+    largest = size()
+    assert abs(size(total=largest // 3) - largest // 3) <= 300 + 40 + 40 and size(total=10 * largest) == largest
+    assert M.shares_within_reach({"a": 100}, {"a": (1.0, 2)}, 30) == (30.0, {"a": 0.3})
