@@ -7,7 +7,7 @@ import re
 import sys
 import unicodedata
 from collections import defaultdict
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from re import _parser as parser
 
 import ahocorasick
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from claimloom.lineage import cut
 
 #: A line is a host's boilerplate from this share of its records, and this many of them, on.
-BOILERPLATE_SHARE, BOILERPLATE_RECORDS = 0.2, 20
+BOILERPLATE_SHARE, BOILERPLATE_RECORDS = 0.2, 3
 
 # Words of the usual Latin filler; four of them in a row are filler.
 LATIN = "|".join(
@@ -54,25 +54,24 @@ EVIDENCE = {
         r"\b(?:some|put|insert|your|example|add)(?: the| your)?(?: [a-zà-ÿ]+){1,3} goes here\b", r"\b(?:insert|example|your|put the|add the) [a-z]+ [a-z]+ here\s?(?:[.:!(]|$)", r"\blorem ipsum dolor\b", r"\bconsectetur adipisc", r"\bsed do eiusmod\b", r"\but labore et dolore\b", r"\bquis nostrud\b", r"\bullamco laboris\b", r"\bduis aute irure\b", r"\bexcepteur sint\b", r"\bcupidatat non proident\b", r"\bsunt in culpa\b", r"\but enim ad minim\b", r"\bmollit anim id est\b",
         r"\b(?:body copy|your text|text|content|abstract|description|headline|caption|summary|copy) goes here\b", r"\b(?:sample|dummy|placeholder|filler) (?:text|content|copy)\s?[.:!]", r"\bthis is (?:a |some )?(?:dummy|sample|placeholder|filler|blind) (?:text|content|copy)\b",
         r"\breplace this (?:paragraph|text|sentence|section|line|content)\b", r"\bthe final (?:wording|text) will follow\b", r"\b(?:asdf|qwerty?|foo bar|blah|bla)(?:[ ,;.-]+(?:asdf|qwerty?|foo bar|blah|bla)\b)+", r"\b(?:test[ ,.]+){2,}test\b", r"\bx+xx xxx* xx+\b",
-        r"\b(?:type|enter|write|paste|insert|add|put) (?:your|the) (?:abstract|text|summary|title|content|description|manuscript|name) here\b", r"\bclick (?:here )?to (?:add|edit|enter|insert)\b", r"\bclick here to\b",
+        r"\b(?:type|enter|write|paste|insert|add|put) (?:your|the) (?:abstract|text|summary|title|content|description|manuscript|name) here\b", r"\bclick (?:here )?to (?:add|edit|enter|insert)\b", 
         r"\bdies ist ein (?:blind|platzhalter|muster|beispiel|füll)-?text\b", r"\bhier steht (?:später|demnächst|bald)\b", r"\bhier (?:ihren|den) (?:text|titel|abstract) (?:eingeben|einfügen)\b", r"\b(?:ihr|der) text (?:steht|folgt) hier\b", r"\b(?:platzhaltertext|mustertext)\s?[.:!]",
         r"\bceci est un (?:faux[ -])?texte(?: (?:fictif|factice|de remplissage|provisoire|d'exemple))", r"\b(?:saisissez|écrivez|insérez|tapez|entrez) (?:votre|le|ici) [^.]{0,40}\bici\b", r"\b(?:texte|contenu) (?:à venir|à compléter)\s?[.:!]",
         r"\beste es un texto de (?:relleno|ejemplo|prueba|muestra)\b", r"\b(?:escriba|introduzca|inserte|pegue|añada) aquí (?:su|el|la)\b", r"\btexto (?:de relleno|provisional|de muestra)\s?[.:!]",
     ],
     "error": [
         r"\b(?:the|this|our|your|that) (?:[a-z]+ ){1,5}?(?:timed out|failed to load|returned an invalid response|could not be (?:found|loaded|displayed|opened|reached)|cannot be (?:displayed|loaded|opened|reached)(?: right now| at the moment)?|is temporarily unavailable|is currently unavailable|has been taken offline(?: for maintenance)?)(?: \((?:code|error|reference) ?#?\d+\))?\s?(?:[.:!]|$)",
-        r"\bcontact the (?:site )?administrator\b", r"\bif the problem persists\b",
         r"\b(?:die|das|der|diese|dieses|dieser) [a-zäöüß]+ (?:konnte nicht (?:geladen|gefunden|angezeigt|geöffnet) werden|existiert nicht(?: mehr)?|ist (?:wegen wartungsarbeiten|vorübergehend|derzeit|zurzeit|momentan) nicht (?:erreichbar|verfügbar)|ist nicht (?:mehr )?(?:erreichbar|verfügbar))(?: \(code \d+\))?\s?(?:[.:!]|$)",
         r"\b(?:l[ae'] ?|cette|cet|ce|votre|notre) ?[a-zà-ÿ]+ (?:n'a pas pu être (?:chargé|affiché|trouvé|ouvert)e?|n'existe (?:plus|pas)|est (?:momentanément|temporairement|actuellement) indisponible|est introuvable|n'est (?:plus|pas) disponible|est en maintenance|est indisponible[^.]{0,40})(?: \(code \d+\))?\s?(?:[.:!]|$)",
         r"\b(?:la|el|esta|este|su|nuestr[oa]) [a-zà-ÿ]+ (?:no se (?:pudo|puede) (?:cargar|mostrar|encontrar|abrir)|ya no existe|no existe|no está disponible[^.]{0,40}|está en mantenimiento[^.]{0,40}|no se ha (?:podido cargar|encontrado))(?: \(código \d+\))?\s?(?:[.:!]|$)",
-        r"\binternal server error\b", r"\bbad gateway\b", r"\bgateway time-?\s?out\b", r"\bservice (?:is )?(?:temporarily )?unavailable\b(?= ?[.:!-]| please|$)", r"\b(?:40[0-9]|410|429|50[0-9]) (?:-|:|–)?\s?(?:not found|forbidden|unauthori[sz]ed|bad request|gone|too many requests|method not allowed|page not found|error)\b", r"\b(?:http|status|error)(?: code)? ?#?\(?(?:40[0-9]|410|429|50[0-9])\)? ?[:.!–-]",
-        r"\berror (?:establishing|connecting to|loading|rendering|retrieving|fetching) (?:a|an|the|this)\b", r"\bsomething went wrong\b", r"\bgo back to the previous page\b", r"\byour session (?:has )?(?:expired|timed out|ended)\b", r"\b(?:please|you must|you need to) (?:sign|log) ?in (?:again )?(?:to|before)\b", r"\byou do not have (?:the )?(?:permission|access|rights)\b", r"\b(?:access|permission) (?:is |was )?(?:denied|forbidden)\s?[.!:](?! in\b)",
+        r"\binternal server error\b", r"\bbad gateway\b", r"\bgateway time-?\s?out\b", r"\b(?:40[0-9]|410|429|50[0-9]) (?:-|:|–)?\s?(?:not found|forbidden|unauthori[sz]ed|bad request|gone|too many requests|method not allowed|page not found|error)\b", r"\b(?:http|status|error)(?: code)? ?#?\(?(?:40[0-9]|410|429|50[0-9])\)? ?[:.!–-]",
+        r"\berror (?:establishing|connecting to|loading|rendering|retrieving|fetching) (?:a|an|the|this)\b", r"\byour session (?:has )?(?:expired|timed out|ended)\b", r"\b(?:access|permission) (?:is |was )?(?:denied|forbidden)\s?[.!:](?! in\b)",
         r"\b(?:requested|this|the) (?:article|page|file|url|resource|document|record|content|item|abstract|chapter|section)(?: you (?:requested|asked for|are looking for))? (?:could not be|cannot be|can't be|was not|has not been) (?:found|located|displayed|loaded|retrieved|shown|opened|rendered) ?(?:on this (?:server|site)|right now|at (?:this|the) (?:time|moment)|any ?more|[.!]|$)",
-        r"\bwe (?:can't|cannot|can not|could ?n[o']t|could not|couldn't) (?:find|load|display|open|locate|process|show) (?:the|this|your|that)\b", r"\bsorry,? (?:this|the|we|but|your|an?)\b", r"\boops\b", r"\b(?:is|are) (?:no longer|not(?: currently)?|temporarily un|currently un) ?available\s?(?:[.:!]|right now)(?= ?(?:it may|please|try|sorry|\S*$))", r"\bit may have been (?:moved|deleted|removed)\b", r"\btoo many requests\b", r"\b(?:please )?(?:try|reload|refresh) (?:again|the page|this page)(?: in \d+ (?:minutes|seconds)| later|\.)",
+        r"\b(?:is|are) (?:no longer|not(?: currently)?|temporarily un|currently un) ?available\s?(?:[.:!]|right now)(?= ?(?:it may|please|try|sorry|\S*$))", 
         r"\btraceback \(most recent call last\)", r"\b(?:key|type|value|name|index|attribute|runtime|nullpointer|syntax)(?:error|exception): ", r"\bexception in thread\b", r"\bstack trace:", r"\b(?:uncaught|unhandled) (?:exception|error|typeerror)\b", r"\bupstream (?:did not answer|timed out|connect error)", r"\b(?:null|undefined) is not an? (?:object|function)\b", r"\[object object\]", r"\bfatal error: ", r"\b(?:undefined|unexpected) (?:index|variable|token|offset): ", r"\bquery (?:failed|error): ", r"\bsqlstate\b",
-        r"\bzugriff verweigert\s?[.!:]", r"\bihre sitzung ist abgelaufen\b", r"\bder dienst ist (?:vorübergehend|derzeit|zurzeit|momentan) nicht (?:verfügbar|erreichbar)\b", r"\bbitte (?:versuchen|melden|laden|kehren) sie\b", r"\bfehler \d{3} ?[:–-]", r"\b(?:die )?(?:angeforderte|gesuchte|gewünschte) (?:seite|datei|ressource)\b", r"\bseite (?:wurde )?nicht gefunden\b", r"\binterner serverfehler\b", r"\bes ist ein (?:interner |unerwarteter )?fehler aufgetreten\b",
-        r"\bune erreur (?:interne|inattendue|est survenue|s'est produite)\b[^.]{0,40}(?:survenue|produite|$|\.)", r"\bveuillez (?:recharger|réessayer|vous reconnecter|patienter)", r"\berreur \d{3} ?[:–-]", r"\baccès (?:refusé|interdit)\s?[.!:]", r"\bvotre session (?:a expiré|est expirée)\b", r"\bla page (?:demandée|recherchée) (?:est introuvable|n'existe)", r"\b(?:le )?service est (?:temporairement |momentanément )?indisponible\b", r"\bpage introuvable\b",
-        r"\bacceso denegado\s?[.!:]", r"\bsu sesión ha (?:caducado|expirado)\b", r"\bel servicio no está disponible\b", r"\b(?:inténtelo|vuelva a intentarlo|pruebe) (?:de nuevo|más tarde)\b", r"\berror \d{3} ?[:–-]", r"\bla página (?:solicitada|que busca) no (?:existe|se ha encontrado|se encuentra)", r"\bpágina no encontrada\b", r"\bse ha producido un error\b", r"\bha ocurrido un error\b",
+        r"\bzugriff verweigert\s?[.!:]", r"\bihre sitzung ist abgelaufen\b", r"\bder dienst ist (?:vorübergehend|derzeit|zurzeit|momentan) nicht (?:verfügbar|erreichbar)\b", r"\bfehler \d{3} ?[:–-]", r"\b(?:die )?(?:angeforderte|gesuchte|gewünschte) (?:seite|datei|ressource)\b", r"\bseite (?:wurde )?nicht gefunden\b", r"\binterner serverfehler\b", r"\bes ist ein (?:interner |unerwarteter )?fehler aufgetreten\b",
+        r"\bune erreur (?:interne|inattendue|est survenue|s'est produite)\b[^.]{0,40}(?:survenue|produite|$|\.)", r"\berreur \d{3} ?[:–-]", r"\baccès (?:refusé|interdit)\s?[.!:]", r"\bvotre session (?:a expiré|est expirée)\b", r"\bla page (?:demandée|recherchée) (?:est introuvable|n'existe)", r"\b(?:le )?service est (?:temporairement |momentanément )?indisponible\b", r"\bpage introuvable\b",
+        r"\bacceso denegado\s?[.!:]", r"\bsu sesión ha (?:caducado|expirado)\b", r"\bel servicio no está disponible\b", r"\berror \d{3} ?[:–-]", r"\bla página (?:solicitada|que busca) no (?:existe|se ha encontrado|se encuentra)", r"\bpágina no encontrada\b", r"\bse ha producido un error\b", r"\bha ocurrido un error\b",
     ],
     "script": [
         r"<noscript\b", r"\b(?:please |must |to |and |you need to )?(?:enable|activate|allow|turn on|switch on) (?:java ?scripts?|js|scripts?|scripting|active scripting|client-side scripts?)\b(?! (?:the|diary|questionnaire))", r"\b(?:java ?script|scripting|active scripting|scripts) (?:is|are|has been|appears to be|seems to be) (?:currently )?(?:disabled|turned off|switched off|blocked|deactivated|off|required|not (?:enabled|supported|available))\b", r"\b(?:this|the|our) (?:page|site|app|application|viewer|reader|article|website|content|document)(?: viewer| reader)? (?:requires?|needs?) (?:java ?script|scripts?|scripting)\b", r"\bdoes not support (?:java ?)?scripts?\b", r"\bscripts? must be (?:allowed|enabled)\b", r"\bchecking your browser\b", r"\bwithout (?:java ?script|js|scripts?|client-side scripts|active scripting|it),? (?:the|this) (?:page|reader|viewer|article|view|site) (?:stays|remains|is|cannot|will)\b",
@@ -81,6 +80,16 @@ EVIDENCE = {
         r"\b(?:active|habilite|permita) (?:java ?script|los scripts)\b", r"\b(?:esta|la) (?:página|vista) (?:necesita|requiere)(?: que)? (?:java ?script|los scripts|scripts)\b", r"\bsin (?:java ?script|js|scripts),? (?:(?:esta|la|el) (?:vista|página|lector|contenido)|no se (?:puede|pueden|podrá) (?:mostrar|ver|cargar))\b", r"\b(?:java ?script|los scripts) (?:está|están) (?:desactivad|deshabilitad)",
     ],
 }
+# Wordings that notices pile up, but that ordinary prose may hold too. Alone they are no evidence: see ``Evidence.kind``.
+WEAK = {
+    "filler": [r"\bclick here to\b"],
+    "error": [
+        r"\bcontact the (?:site )?administrator\b", r"\bif the problem persists\b", r"\bsomething went wrong\b", r"\bgo back to the previous page\b", r"\b(?:please|you must|you need to) (?:sign|log) ?in (?:again )?(?:to|before)\b", r"\byou do not have (?:the )?(?:permission|access|rights)\b", r"\bwe (?:can't|cannot|can not|could ?n[o']t|could not|couldn't) (?:find|load|display|open|locate|process|show) (?:the|this|your|that)\b",
+        r"\bsorry,? (?:this|the|we|but|your|an?)\b", r"\boops\b", r"\bit may have been (?:moved|deleted|removed)\b", r"\btoo many requests\b", r"\b(?:please )?(?:try|reload|refresh) (?:again|the page|this page)(?: in \d+ (?:minutes|seconds)| later|\.)", r"\b(?:inténtelo|vuelva a intentarlo|pruebe) (?:de nuevo|más tarde)\b", r"\bbitte (?:versuchen|melden|laden|kehren) sie\b", r"\bveuillez (?:recharger|réessayer|vous reconnecter|patienter)", r"\bservice (?:is )?(?:temporarily )?unavailable\b(?= ?[.:!-]| please|$)",
+    ],
+}
+#: Weak wordings count where two of them stand within so many characters, or where the sentences that hold them are this share of what is left of a record.
+NEAR, COVERED = 200, 0.3
 # Names in angle brackets that are mark-up.
 MARKUP = set(
     "a abbr abstract article aside b bdi bdo big blockquote body bold br button caption center cite code col dd del details dfn div dl dt em fig figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins italic kbd label li link list main "
@@ -118,10 +127,11 @@ def _needed(parts: Iterable) -> set[str] | None:
 
 
 class Evidence:
-    """The patterns of EVIDENCE, each tried only on texts that hold a literal without which it cannot match."""
+    """The patterns of EVIDENCE and WEAK, each tried only on texts that hold a literal without which it cannot match."""
 
     def __init__(self) -> None:
-        self.patterns = [(kind, re.compile(p)) for kind, patterns in EVIDENCE.items() for p in patterns]
+        self.patterns = [(kind, re.compile(p)) for bank in (EVIDENCE, WEAK) for kind, patterns in bank.items() for p in patterns]
+        self.strong = sum(map(len, EVIDENCE.values()))
         self.always, by_literal = [], defaultdict(list)
         for i, (_, p) in enumerate(self.patterns):
             literals = _needed(parser.parse(p.pattern)) or set()
@@ -135,12 +145,34 @@ class Evidence:
             self.literals.add_word(x, ids)
         self.literals.make_automaton()
 
-    def kind(self, text: str) -> str | None:
-        """The kind of the first pattern that occurs in a plain text."""
+    def _tried(self, text: str) -> list[int]:
         tried = set(self.always)
         for _, ids in self.literals.iter(text):
             tried.update(ids)
-        return next((self.patterns[i][0] for i in sorted(tried) if self.patterns[i][1].search(text)), None)
+        return sorted(tried)
+
+    def kind(self, text: str, notice: Callable[[str], bool] | None = None) -> str | None:
+        """The kind of evidence in a plain text, null if none.
+
+        A strong wording decides alone, the first in the order of the kinds. Weak ones decide together: two different ones near each other, or in sentences that are a good part of
+        the text, or in a stretch that ``notice`` knows to recur over hosts.
+        """
+        tried = self._tried(text)
+        for i in tried:
+            if i < self.strong and self.patterns[i][1].search(text):
+                return self.patterns[i][0]
+        found = sorted((m.start(), m.end(), i) for i in tried if i >= self.strong for m in self.patterns[i][1].finditer(text))
+        if not found:
+            return None
+        near = any(a[2] != b[2] and b[0] - a[1] <= NEAR for n, a in enumerate(found) for b in found[n + 1 : n + 4])
+        sentences = {(max(text.rfind(stop, 0, a) + 1 for stop in ".!?"), min((e for stop in ".!?" if (e := text.find(stop, b - 1)) >= 0), default=len(text))) for a, b, _ in found}
+        covered = sum(b - a for a, b in sentences) >= COVERED * len(text)
+        return self.patterns[found[0][2]][0] if near or covered or (notice is not None and notice(text)) else None
+
+    def is_weak(self, line: str) -> bool:
+        """Whether a line holds weak wordings only."""
+        tried = self._tried(line)
+        return any(i >= self.strong and self.patterns[i][1].search(line) for i in tried) and not any(i < self.strong and self.patterns[i][1].search(line) for i in tried)
 
 
 def evidence() -> Evidence:
@@ -177,19 +209,21 @@ def line_keys(text: str | None) -> list[str]:
     return list(dict.fromkeys(k for line in plain(text).split("\n") if (k := _digits.sub("#", unmarked(line)))))
 
 
-def residue_kind(text: str | None, boilerplate: Collection[int] = ()) -> str | None:
+def residue_kind(text: str | None, boilerplate: Collection[int] = (), notices: Collection[int] = ()) -> str | None:
     """The first kind of evidence in what is left of a text without its host's boilerplate lines; null if none.
 
-    A record of nothing but boilerplate keeps its lines: nothing else stands in them.
+    A record of nothing but boilerplate keeps its lines: nothing else stands in them. ``notices`` are lines with weak wordings that recur over hosts.
     """
     if not text:
         return None
-    if boilerplate:
+    if boilerplate or notices:
         lines = [x for line in plain(text).split("\n") if (x := unmarked(line))]
-        rest = " ".join([x for x in lines if line_hash(_digits.sub("#", x)) not in boilerplate] or lines)
+        hashed = [line_hash(_digits.sub("#", x)) for x in lines]
+        kept = [i for i, h in enumerate(hashed) if h not in boilerplate] or range(len(lines))
+        rest, known = " ".join(lines[i] for i in kept), any(hashed[i] in notices for i in kept)
     else:
-        rest = unmarked(plain(text))
-    if kind := evidence().kind(rest):
+        rest, known = unmarked(plain(text)), False
+    if kind := evidence().kind(rest, lambda _: known):
         return kind
     for name in _angle.findall(rest):
         if name not in MARKUP and f"</{name}" not in rest:
@@ -208,50 +242,64 @@ def line_hash(key: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def boilerplate_lines(texts: DataFrame, host: str = "source", text: str = "text", share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_RECORDS) -> DataFrame:
-    """``host``, ``line`` (hash): the normalised lines that recur on a host, in ``share`` of its records and at least ``least``.
+def recurrent_lines(texts: DataFrame, host: str = "source", text: str = "text", share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_RECORDS) -> DataFrame:
+    """``host``, ``line`` (hash): the normalised lines that recur on a host, in ``share`` of its records and at least ``least``; and, with a null host, the lines
+    with weak wordings that recur over hosts, in at least ``least`` records.
 
     All lines of all records are counted by host, with partial counts before the shuffle; only hashes are shuffled. A host keeps at
     most (lines of an average record / share) of them, however many records there are.
     """
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
+    @F.pandas_udf("array<struct<line:bigint,weak:boolean>>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: [line_hash(k) for k in line_keys(t)])
+            yield batch.map(lambda t: [{"line": line_hash(k), "weak": evidence().is_weak(k)} for k in line_keys(t)])
 
-    rows = texts.select(host_key(host).alias("host"), hashes(F.col(text)).alias("_lines"))
+    rows = texts.select(host_key(host).alias("host"), F.explode(hashes(F.col(text))).alias("_l")).select("host", "_l.*")
     totals = texts.groupBy(host_key(host).alias("host")).agg(F.count("*").alias("_all"))
-    counts = rows.select("host", F.explode("_lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return counts.join(totals, "host").where(F.col("_n") >= F.col("_all") * share).select("host", "line")
+    counts = cut(rows.groupBy("host", "line").agg(F.count("*").alias("_n"), F.max("weak").alias("weak")).where((F.col("_n") >= least) | F.col("weak")))
+    own = counts.where(F.col("_n") >= least).join(totals, "host").where(F.col("_n") >= F.col("_all") * share).select("host", "line")
+    over = counts.where("weak").groupBy("line").agg(F.count("*").alias("_hosts"), F.sum("_n").alias("_n")).where((F.col("_hosts") > 1) & (F.col("_n") >= least))
+    return own.unionByName(over.select(F.lit(None).cast("string").alias("host"), "line"))
 
 
 def residue(texts: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_RECORDS, most_lines: int = 100_000) -> DataFrame:
     """``texts`` with ``residue``: the kind of evidence found (placeholder, filler, error, script), null for content.
 
     Lines are counted by host, recurrent boilerplate is subtracted, and the rest of each record is searched, whole. Null and empty
-    texts have no evidence. The boilerplate goes to all executors if its number, which is checked, is at most ``most_lines``;
-    beyond that it is joined by host. Records keep all their columns; a column named residue is replaced.
+    texts have no evidence. The recurrent lines go to all executors if their number, which is checked, is at most ``most_lines``;
+    beyond that the texts' lines are joined with them by host and hash, and each text gets those it holds. Records keep all their columns; a column named residue is replaced.
     """
-    lines = cut(boilerplate_lines(texts, host, text, share, least))
+    lines = cut(recurrent_lines(texts, host, text, share, least))
     few = lines.limit(most_lines + 1).collect()
     if len(few) <= most_lines:
-        known: dict[str, set[int]] = {}
+        known: dict[str | None, set[int]] = defaultdict(set)
         for h, line in few:
-            known.setdefault(h, set()).add(line)
+            known[h].add(line)
+        known = dict(known)
 
         @F.pandas_udf(T.StringType())
         def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for bodies, hosts in batches:
-                yield pd.Series([residue_kind(t, known.get(h, ())) for t, h in zip(bodies, hosts)], dtype=object)
+                yield pd.Series([residue_kind(t, known.get(h, ()), known.get(None, ())) for t, h in zip(bodies, hosts)], dtype=object)
 
         return texts.withColumn("residue", search(F.col(text), host_key(host)))
 
-    @F.pandas_udf(T.StringType())
-    def search_joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for bodies, own in batches:
-            yield pd.Series([residue_kind(t, () if x is None else set(x)) for t, x in zip(bodies, own)], dtype=object)
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def own_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: [line_hash(k) for k in line_keys(t)])
 
-    by_host = lines.groupBy("host").agg(F.collect_list("line").alias("_own")).withColumnRenamed("host", "_host")
-    joined = texts.withColumn("_host", host_key(host)).join(by_host, "_host", "left")
-    return joined.withColumn("residue", search_joined(F.col(text), F.col("_own"))).drop("_host", "_own")
+    @F.pandas_udf(T.StringType())
+    def search_joined(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bodies, own, over in batches:
+            yield pd.Series([residue_kind(t, () if x is None else set(x), () if y is None else set(y)) for t, x, y in zip(bodies, own, over)], dtype=object)
+
+    # A text's lines depend on the text alone, so a text is known by its host and two hashes.
+    place = {"_host": host_key(host), "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)}
+    held = texts.select(*(c.alias(n) for n, c in place.items()), F.explode(own_lines(F.col(text))).alias("_line")).distinct()
+    mine = held.join(lines.select(F.col("host").alias("_host"), F.col("line").alias("_line"), F.lit(True).alias("_own")), ["_host", "_line"], "left")
+    mine = mine.join(lines.where("host IS NULL").select(F.col("line").alias("_line"), F.lit(True).alias("_over")), "_line", "left").where("_own OR _over")
+    gathered = mine.groupBy(*place).agg(F.collect_list(F.when(F.col("_own"), F.col("_line"))).alias("_mine"), F.collect_list(F.when(F.col("_over"), F.col("_line"))).alias("_shared"))
+    joined = texts.withColumns(place).join(gathered, list(place), "left")
+    return joined.withColumn("residue", search_joined(F.col(text), F.col("_mine"), F.col("_shared"))).drop(*place, "_mine", "_shared")
