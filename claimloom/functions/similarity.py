@@ -33,10 +33,17 @@ def sorted_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-def set_ratio(a: str, b: str) -> float:
-    """The best ``ratio`` among the shared words and the shared words with either rest."""
+def _word_sets(a: str, b: str) -> tuple[str, str, str]:
+    """The words that two strings share, and the rests of either, each in alphabetical order."""
     x, y = set(a.split()), set(b.split())
-    both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    return tuple(" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+
+
+def set_ratio(a: str, b: str) -> float:
+    """The best ``ratio`` among the shared words and the shared words with either rest; 0 where a string has no words."""
+    if not a.split() or not b.split():
+        return 0.0
+    both, one, two = _word_sets(a, b)
     if both and (not one or not two):
         return 100.0
     left, right = f"{both} {one}".strip(), f"{both} {two}".strip()
@@ -44,22 +51,35 @@ def set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ``ratio`` of the shorter string with an equally long stretch of the longer one."""
-    a, b = sorted((a, b), key=len)
-    if not a:
+    """The best ``ratio`` of the shorter string with a stretch of the longer one that is as long, or shorter at either end; of two equally long ones, either may be cut."""
+    if not a or not b:
         return 0.0
-    return max(ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1))
+    if len(a) > len(b):
+        a, b = b, a
+    n = len(a)
+    stretches = {b[max(0, i) : i + n] for i in range(1 - n, len(b))}
+    best = max(ratio(a, s) for s in stretches)
+    if n == len(b) and best < 100:
+        best = max(best, *(ratio(a[max(0, i) : i + n], b) for i in range(1 - n, n)))
+    return best
+
+
+def partial_words_ratio(a: str, b: str) -> float:
+    """100 where a word is shared, else the best ``partial_ratio`` of the words in alphabetical order."""
+    if set(a.split()) & set(b.split()):
+        return 100.0
+    return max(partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), partial_ratio(*_word_sets(a, b)[1:]))
 
 
 def composite_ratio(a: str, b: str) -> float:
-    """The engine's composite score: the best of ratio, 0.95 x the word-order-free ratios, and, from a length ratio of 1.5 on, partial ratios x 0.9 (x 0.6 from 8 on)."""
+    """The weighted composite score: the best of ratio and 0.95 x the word-order-free ratios; from a length ratio of 1.5 on partial ratios stand in for the latter, x 0.9, or x 0.6 beyond a length ratio of 8."""
     if not a or not b:
         return 0.0
     lengths = max(len(a), len(b)) / min(len(a), len(b))
-    best = max(ratio(a, b), 0.95 * sorted_ratio(a, b), 0.95 * set_ratio(a, b))
-    if lengths >= 1.5:
-        best = max(best, (0.9 if lengths < 8 else 0.6) * partial_ratio(a, b))
-    return best
+    if lengths < 1.5:
+        return max(ratio(a, b), 0.95 * sorted_ratio(a, b), 0.95 * set_ratio(a, b))
+    scale = 0.9 if lengths <= 8 else 0.6
+    return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_words_ratio(a, b))
 
 
 def _scored(score):  # noqa: ANN001, ANN202

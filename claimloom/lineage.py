@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpoint_dir(df: DataFrame) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a single-machine session gets a folder of its own, removed at its end; on a cluster that is an error, as executors share no such folder."""
     context = df.sparkSession.sparkContext
     now = context.getCheckpointDir()
     if now is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimloom-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="claimloom-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
         now = context.getCheckpointDir()
     return now
 

@@ -51,6 +51,11 @@ def one_hop(claims: DataFrame, names: list[str], generic: list[str] | None = Non
     return reachable(claims).where(hit)
 
 
+def touching(claims: DataFrame, names: list[str]) -> DataFrame:
+    """The reachable claims that a path about some entities can hold: those with an end among the names. A direct path has one there, and so has either claim of a chain."""
+    return reachable(claims).where(F.col("source_name").isin(names) | F.col("target_name").isin(names) if names else F.lit(False))
+
+
 def generic_specific(claims: DataFrame, names: list[str], generic: list[str] | None = None) -> DataFrame:
     """The reachable claims between a named specific and a named generic entity, either way: a subset of ``one_hop``."""
     generic = config.GENERIC_ENTITIES if generic is None else generic
@@ -67,21 +72,21 @@ def anchor_pairs(names: DataFrame, generic: list[str] | None = None) -> DataFram
     return a.join(b, ~F.col("_g") & (F.col("_h") | (F.col("_p") < F.col("_q")))).where("start <> end").select("start", "end")
 
 
-def two_hop(claims: DataFrame, pairs: DataFrame, columns: list[str], generic: list[str] | None = None, most_pairs: int = 10_000) -> DataFrame:
+def two_hop(claims: DataFrame, pairs: DataFrame, columns: list[str], generic: list[str] | None = None, most_pairs: int = 10_000, known_pairs: int | None = None) -> DataFrame:
     """The chains a -> c1 -> mid -> c2 -> b between the ends of each pair, in either direction, once each.
 
     The bridge is no end and not generic. First claims are those that leave an end, second claims those that reach one, so
-    both sides are small before they meet at the bridge. ``pairs`` (start, end) is a query's few; it is broadcast if its counted size allows, else joined.
+    both sides are small before they meet at the bridge. ``pairs`` (start, end) is a query's few; it is broadcast if its size, counted unless ``known_pairs`` bounds it, allows, else joined.
     Output: ``columns`` of either claim as c1_*, c2_*, ``source_name``, ``bridge_name``, ``target_name``, ``path_signature``.
     """
     generic = config.GENERIC_ENTITIES if generic is None else generic
     both = pairs.select(F.col("start").alias("_a"), F.col("end").alias("_b")).unionByName(pairs.select(F.col("end").alias("_a"), F.col("start").alias("_b"))).distinct()
-    if both.limit(most_pairs + 1).count() <= most_pairs:
+    if (both.limit(most_pairs + 1).count() if known_pairs is None else 2 * known_pairs) <= most_pairs:
         both = F.broadcast(both)
     alive = reachable(claims)
     take = lambda p: [F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys(["claim_signature", "source_name", "target_name", *columns])]
     first = alive.join(both, F.col("source_name") == F.col("_a")).where(~F.col("target_name").isin(generic)).select("_a", "_b", *take("c1"))
-    second = alive.select(*take("c2"))
+    second = alive.join(both.select("_b").distinct().withColumnRenamed("_b", "_end"), F.col("target_name") == F.col("_end"), "left_semi").select(*take("c2"))
     chains = first.join(second, (F.col("c1_target_name") == F.col("c2_source_name")) & (F.col("c2_target_name") == F.col("_b")))
     chains = chains.where("c1_target_name <> _a AND c1_target_name <> _b")
     signature = F.concat_ws(">>", "c1_claim_signature", "c2_claim_signature")

@@ -1,7 +1,7 @@
 """Ranking of paths: quality, pre-filter in buckets, hybrid score, quotas.
 
-A *path table* has path_signature (unique), length (1, 2), entities (array), and the scores a step needs. Candidates are a query's, so the global
-windows below run over thousands of rows; per-entity and per-length ones are partitioned.
+A *path table* has path_signature (unique), length (1, 2), entities (array), and the scores a step needs. Candidates of a hub entity may be many, so
+they are cut by top-k limits, which work before the shuffle; what is broadcast or numbered in one task is bounded by the limits.
 """
 
 from __future__ import annotations
@@ -37,17 +37,18 @@ def pre_filter(paths: DataFrame, specific: list[str], matched: list[str], most:
     the rest by quality up to ``most``. More than ``most`` kept ones all stay. Ties go by signature.
     """
     best = [F.desc("quality"), F.col("path_signature")]
-    by_length = F.row_number().over(Window.partitionBy("length").orderBy(*best))
-    rows = paths.withColumn("_chain", (F.col("length") == 2) & (by_length <= chains))
-    rows = rows.withColumn("_direct", (F.col("length") == 1) & F.forall("entities", lambda e: e.isin(specific)) if specific else F.lit(False))
-    each = rows.select("path_signature", "quality", F.explode(F.array_distinct(F.filter(anchors(F.col("entities"), matched), lambda e: e.isin(specific)))).alias("_a"))
+    first = paths.where("length = 2").orderBy(*best).limit(chains).select("path_signature", F.lit(True).alias("_chain"))
+    each = paths.select("path_signature", "quality", F.explode(F.array_distinct(F.filter(anchors(F.col("entities"), matched), lambda e: e.isin(specific)))).alias("_a"))
     top = each.withColumn("_n", F.row_number().over(Window.partitionBy("_a").orderBy(*best))).where(F.col("_n") <= bucket).select("path_signature").distinct().withColumn("_entity", F.lit(True))
-    rows = rows.join(top, "path_signature", "left").withColumn("_kept", F.col("_chain") | F.col("_direct") | F.coalesce("_entity", F.lit(False)))
-    free = F.greatest(F.lit(0), most - F.sum(F.col("_kept").cast("int")).over(Window.partitionBy()))
-    place = F.row_number().over(Window.partitionBy("_kept").orderBy(*best))
-    name = F.when(F.col("_chain"), "chains").when(F.col("_direct"), "direct").when(F.col("_kept"), "entity").otherwise("quality")
-    chosen = rows.withColumn("_free", free).withColumn("_place", place).where(F.col("_kept") | (F.col("_place") <= F.col("_free")))
-    return chosen.withColumn("bucket_name", name).select(*paths.columns, "bucket_name")
+    rows = paths.join(F.broadcast(first), "path_signature", "left").join(F.broadcast(top), "path_signature", "left")  # at most ``chains`` and ``bucket`` times the names
+    direct = (F.col("length") == 1) & F.forall("entities", lambda e: e.isin(specific)) if specific else F.lit(False)
+    name = F.when(F.col("_chain"), "chains").when(direct, "direct").when(F.col("_entity"), "entity")
+    named = rows.withColumn("bucket_name", name).select(*paths.columns, "bucket_name")
+    kept = named.where("bucket_name IS NOT NULL")
+    rest = named.where("bucket_name IS NULL").orderBy(*best).limit(most).withColumn("_place", F.row_number().over(Window.orderBy(*best)))
+    taken = kept.agg(F.count("*").alias("_n"))
+    filled = rest.join(F.broadcast(taken), F.col("_place") <= most - F.col("_n")).select(*paths.columns, F.lit("quality").alias("bucket_name"))
+    return kept.unionByName(filled)
 
 
 def quotas(paths: DataFrame, score: str = "hybrid", direct: int = config.DIRECT_SLOTS, chains: int = config.CHAIN_SLOTS, most: int = config.TOP_K) -> DataFrame:
@@ -56,7 +57,7 @@ def quotas(paths: DataFrame, score: str = "hybrid", direct: int = config.DIRECT_
     Within a kind, paths with both ends matched (column both_ends) come first. Ties go by signature.
     """
     order = Window.partitionBy("length").orderBy(F.desc("both_ends"), F.desc(score), "path_signature")
-    rows = paths.withColumn("_n", F.row_number().over(order))
+    rows = paths.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= direct + chains)  # no kind gets more
     count = lambda n: F.count_if(F.col("length") == n).over(Window.partitionBy())
     rows = rows.withColumn("_n1", count(1)).withColumn("_n2", count(2))
     first = F.least("_n1", F.lit(direct))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom import config
+from claimloom.functions import text as T
 from claimloom.functions.similarity import may_reach, sorted_score, sorted_words
 from claimloom.functions.text import or_default, stripped, weight
 from claimloom.lineage import cut
@@ -31,6 +34,31 @@ def is_well_formed(source: str, relation: str, target: str) -> Column:
     return filled(source) & filled(relation) & filled(target)
 
 
+def relation_ends(spark: SparkSession) -> DataFrame:
+    """``relation_type``, ``source_type``, ``target_type`` (lower case): what the vocabulary allows; a fixed table of under a thousand rows."""
+    item = lambda r: F.struct(F.lit(r[0]).alias("relation_type"), F.lit(r[1].lower()).alias("source_type"), F.lit(r[2].lower()).alias("target_type"))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*map(item, config.relation_ends()))))
+
+
+def checked_relations(mentions: DataFrame, ends: DataFrame) -> DataFrame:
+    """``mentions`` (relation_type, source_type, target_type) with ``verdict``: ``allowed``; ``direction`` where only the reverse is allowed; ``ends`` where neither is;
+    ``relation`` for one that is not in the vocabulary, or null; ``untyped`` where an end's type is missing. Types are compared without regard to case. ``ends`` is the fixed table, so it is broadcast."""
+    key = lambda c: F.lower(T.stripped(c))
+    typed = mentions.withColumn("_s", F.nullif(key("source_type"), F.lit(""))).withColumn("_t", F.nullif(key("target_type"), F.lit("")))
+    some = lambda a, b, flag: F.broadcast(ends.select(F.col("relation_type").alias("_r"), F.col("source_type").alias(a), F.col("target_type").alias(b), F.lit(True).alias(flag)))
+    there = typed.join(some("_a", "_b", "_there"), (F.col("relation_type") == F.col("_r")) & (F.col("_s") == F.col("_a")) & (F.col("_t") == F.col("_b")), "left").drop("_r", "_a", "_b")
+    back = there.join(some("_a", "_b", "_back"), (F.col("relation_type") == F.col("_r")) & (F.col("_t") == F.col("_a")) & (F.col("_s") == F.col("_b")), "left").drop("_r", "_a", "_b")
+    known = F.coalesce(F.col("relation_type").isin(config.RELATION_TYPES), F.lit(False))
+    verdict = F.when(~known, "relation").when(F.col("_s").isNull() | F.col("_t").isNull(), "untyped").when(F.col("_there"), "allowed").when(F.col("_back"), "direction").otherwise("ends")
+    return back.withColumn("verdict", verdict).drop("_s", "_t", "_there", "_back")
+
+
+def section_relations(mentions: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """The mentions that their section may hold: in METHODS only the ``allowed`` relations, elsewhere all."""
+    few = F.col("relation_type").isin(config.METHODS_RELATIONS if allowed is None else allowed)
+    return mentions.where(F.coalesce(F.col("section_type") != "METHODS", F.lit(True)) | F.coalesce(few, F.lit(False)))
+
+
 def claim_registry(mentions: DataFrame) -> DataFrame:
     """Claims of relation mentions: one row for each signature source|relation|target.
 
@@ -44,10 +72,12 @@ def claim_registry(mentions: DataFrame) -> DataFrame:
         stripped("source_name").alias("source_name"), stripped("relation_type").alias("relation_type"), stripped("target_name").alias("target_name"), "source_type", "target_type",
         F.coalesce("polarity", F.lit("positive")).alias("polarity"), F.coalesce("certainty", F.lit("moderate")).alias("certainty"), "paper_id", spoken.cast("long").alias("_spoken"), "seq",
     )
-    # Strings as aggregates would need a sort of all mentions; as keys of counts and least positions they are hashed.
+    # Strings as aggregates would need a sort of all mentions; as keys of counts and least positions they are hashed. The mentions are gone
+    # through once: kinds and papers both come from what is written here.
     key, kind = ["source_name", "relation_type", "target_name"], ["source_type", "target_type", "polarity", "certainty"]
-    kinds = rows.groupBy(*key, *kind).agg(F.count("*").alias("_n"), F.sum("_spoken").alias("_spoken"), F.min("seq").alias("seq"))
-    papers = rows.where("paper_id IS NOT NULL").select(*key, "paper_id").distinct().groupBy(*key).agg(F.count("*").alias("paper_count"))
+    cells = cut(rows.groupBy(*key, *kind, "paper_id").agg(F.count("*").alias("_n"), F.sum("_spoken").alias("_spoken"), F.min("seq").alias("seq")))
+    kinds = cells.groupBy(*key, *kind).agg(F.sum("_n").alias("_n"), F.sum("_spoken").alias("_spoken"), F.min("seq").alias("seq"))
+    papers = cells.where("paper_id IS NOT NULL").select(*key, "paper_id").distinct().groupBy(*key).agg(F.count("*").alias("paper_count"))
     rank = weight(F.col("certainty"), config.CERTAINTY_RANKS, -1)
     counts = [F.sum(F.when(F.col("polarity") == p, F.col("_n")).otherwise(0)).alias(f"n_{p}") for p in config.POLARITIES]
     claims = kinds.groupBy(*key).agg(
@@ -130,25 +160,30 @@ def fuzzy_pairs(names: DataFrame, score: float = config.MERGE_SCORE, protected:
     return scored.where(F.col("score") >= score).select(F.col("a_name").alias("early"), F.col("b_name").alias("late"), "score")
 
 
-def greedy_leaders(names: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
+def greedy_leaders(names: DataFrame, pairs: DataFrame) -> DataFrame:
     """``name``, ``leader``: the result of taking names in order of seq, each joining its best-scoring earlier leader (the earliest of equals) or leading itself.
 
     Rounds of the lexicographically first maximal independent set: a name follows as soon as an earlier neighbour leads, and leads once all earlier neighbours
-    follow. The rounds are as many as the longest chain of dependent names; each is written to the checkpoint folder.
+    follow. Every round settles the earliest open names at least, so it ends, however long a chain of dependent names is; only names with an earlier
+    neighbour take part, and only pairs whose later name is open are kept for the next round. Each round is written to the checkpoint folder.
     """
-    state = cut(names.select("name", "seq", F.lit(None).cast("boolean").alias("leads")))
     pairs = cut(pairs)
-    for _ in range(most_rounds):
-        earlier = pairs.join(state.select(F.col("name").alias("early"), F.col("leads").alias("_l")), "early").groupBy(F.col("late").alias("name"))
-        seen = earlier.agg(F.max(F.coalesce("_l", F.lit(False)).cast("int")).alias("_any"), F.count_if(F.col("_l").isNull()).alias("_open"))
-        step = state.join(seen, "name", "left")
-        verdict = F.when(F.coalesce("_any", F.lit(0)) == 1, False).when(F.coalesce("_open", F.lit(0)) == 0, True)
-        state = cut(step.select("name", "seq", F.coalesce("leads", verdict).alias("leads")))
-        if state.where("leads IS NULL").isEmpty():
+    follows = pairs.select(F.col("late").alias("name")).distinct()
+    settled = [names.join(follows, "name", "left_anti").select("name", F.lit(True).alias("leads"))]  # no earlier neighbour
+    open_pairs = cut(pairs.select("early", "late").join(settled[0].select(F.col("name").alias("early"), "leads"), "early", "left"))
+    while True:
+        seen = open_pairs.groupBy(F.col("late").alias("name")).agg(F.max(F.coalesce("leads", F.lit(False)).cast("int")).alias("_any"), F.count_if(F.col("leads").isNull()).alias("_open"))
+        done = cut(seen.where("_any = 1 OR _open = 0").select("name", (F.col("_any") == 0).alias("leads")))
+        if done.isEmpty():
             break
-    else:
-        raise RuntimeError(f"names depend on each other over more than {most_rounds} rounds")
-    lead = state.where("leads").select(F.col("name").alias("early"), F.col("seq").alias("_s"))
+        settled.append(done)
+        if len(settled) > 20:
+            settled = [cut(reduce(DataFrame.unionByName, settled))]
+        rest = open_pairs.join(done.select(F.col("name").alias("late")), "late", "left_anti")
+        news = done.select(F.col("name").alias("early"), F.col("leads").alias("_l"))
+        open_pairs = cut(rest.join(news, "early", "left").select("early", "late", F.coalesce("leads", "_l").alias("leads")))
+    state = reduce(DataFrame.unionByName, settled)
+    lead = state.where("leads").join(names.select("name", F.col("seq").alias("_s")), "name").select(F.col("name").alias("early"), "_s")
     best = pairs.join(lead, "early").groupBy(F.col("late").alias("name")).agg(F.max_by("early", F.struct("score", -F.col("_s"))).alias("_to"))
     return state.join(best, "name", "left").select("name", F.when(F.col("leads"), F.col("name")).otherwise(F.col("_to")).alias("leader"))
 

@@ -34,8 +34,8 @@ def direct_blocks(paths: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.concat(claim_block(F.col("label"), *(F.col(c) for c in ("source_name", "relation_type", "target_name", "certainty_max", "paper_count", "evidence_list"))), F.lit("\n")))
 
 
-def chain_blocks(paths: DataFrame, offset: int) -> DataFrame:
-    """Chains (rank, c1_*, c2_*, bridge_name) with ``label`` continuing after ``offset`` direct ones and ``block``; hops are cited [G4.1], [G4.2]."""
+def chain_blocks(paths: DataFrame, offset: int | Column) -> DataFrame:
+    """Chains (rank, c1_*, c2_*, bridge_name) with ``label`` continuing after ``offset`` (a number or a column) direct ones and ``block``; hops are cited [G4.1], [G4.2]."""
     number = F.row_number().over(Window.orderBy("rank")) + offset
     hop = lambda p, i: claim_block(F.concat(F.lit("[G"), F.col("_n"), F.lit(f".{i}]")), *(F.col(f"{p}_{c}") for c in ("source_name", "relation_type", "target_name", "certainty_max", "paper_count", "evidence_list")), indent="     ")
     head = F.concat(F.lit("[G"), F.col("_n"), F.lit("] CHAIN: "), F.concat_ws(" -> ", "c1_source_name", "c1_relation_type", "bridge_name", "c2_relation_type", "c2_target_name"), F.lit("\n     Bridge: "), F.col("bridge_name"), F.lit("\n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom import config
 from claimloom.functions.text import is_content_section, stripped, words
+from claimloom.lineage import cut
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
@@ -36,9 +37,18 @@ def section_ends(headers: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, *order: str, size: int = config.BATCH, within: str | None = None) -> DataFrame:
-    """``rows`` with ``batch``, numbered from 1 in groups of ``size``. Give ``within`` for large tables: an order over all rows is one task's work."""
-    window = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(*order)
-    return rows.withColumn("batch", F.ceil(F.row_number().over(window) / F.lit(size)).cast("int"))
+    """``rows`` with ``batch``, numbered from 1 in groups of ``size``, over all rows or ``within`` each value of a column.
+
+    An order over all rows is no one task's work: ranges of it are numbered side by side, and the sizes of the ranges before are added.
+    """
+    in_batch = lambda n: F.ceil(n / F.lit(size)).cast("int")
+    if within:
+        return rows.withColumn("batch", in_batch(F.row_number().over(Window.partitionBy(within).orderBy(*order))))
+    ranges = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))  # one row a range
+    numbered = ranges.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return numbered.join(before, "_range").withColumn("batch", in_batch(F.col("_nth") + F.col("_before"))).select(*rows.columns, "batch")
 
 
 def full_text_fallback(documents: DataFrame, headers: DataFrame) -> DataFrame:

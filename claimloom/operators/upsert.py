@@ -27,10 +27,13 @@ def split_parsed(rows: DataFrame, parsed: str) -> tuple[DataFrame, DataFrame]:
 
 
 def overlay(defaults: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
-    """Template rows whose columns take the parsed value where there is one."""
-    shared = [c for c in parsed.columns if c != key and c in defaults.columns]
-    own = parsed.select(key, *(F.col(c).alias(f"_new_{c}") for c in shared))
-    return defaults.join(own, key, "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in shared else F.col(c) for c in defaults.columns))
+    """Template rows whose columns take the parsed value, also a parsed null, where the key was parsed. ``parsed`` may name the fields it holds in an
+    array column ``fields``; then only those are taken over, as a field that a response leaves out keeps its default."""
+    shared = [c for c in parsed.columns if c not in (key, "fields") and c in defaults.columns]
+    given = F.col("fields") if "fields" in parsed.columns else F.array(*(F.lit(c) for c in shared)).cast("array<string>")
+    own = parsed.select(key, given.alias("_given"), *(F.col(c).alias(f"_new_{c}") for c in shared))
+    value = lambda c: F.when(F.array_contains("_given", F.lit(c)), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+    return defaults.join(own, key, "left").select(*(value(c) if c in shared else F.col(c) for c in defaults.columns))
 
 
 def changed_texts(claims: DataFrame, stored: DataFrame, key: str, text: str) -> DataFrame:

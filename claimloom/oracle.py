@@ -10,6 +10,7 @@ _case = lambda c, weights, default: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v
 _NAMES = ["Rirsemflav Neck Swelling", "Hurlohi Neck Swelling", "Skuvdaewis Signalling Pathway", "Autoimmune Thyroiditis"]
 _GENERIC = ["Autoimmune Thyroiditis"]
 _SPECIFIC = [n for n in _NAMES if n not in _GENERIC]
+_QUESTION = "How does Rirsemflav Neck Swelling relate to Hurlohi Neck Swelling and the Skuvdaewis Signalling Pathway in Autoimmune Thyroiditis?"
 _WORD = r"[^\t\n\x0b\x0c\r \x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _SPACE = _WORD.replace("[^", "[")
 _strip = lambda c: f"regexp_replace({c}, '^{_SPACE}|{_SPACE}$', '', 'g')"
@@ -46,6 +47,11 @@ _VIEWS = {
     "kept_v": f"SELECT *, (length = 2 AND by_length <= 10) OR (length = 1 AND len(list_filter(entities, lambda x: NOT list_contains([{_q(_SPECIFIC)}], x))) = 0) OR path_signature IN (SELECT path_signature FROM buckets_v) AS kept FROM places_v",
     "filled_v": "SELECT *, row_number() OVER (PARTITION BY kept ORDER BY quality DESC, path_signature) AS place, greatest(0, 40 - sum(kept::INTEGER) OVER ()) AS free FROM kept_v",
     "chosen_v": "SELECT * FROM filled_v WHERE kept OR place <= free",
+    "vectored_v": "SELECT c.*, e.embedding FROM chunks_v c JOIN embeddings e ON e.vec_id = c.point_id % (SELECT count(*) FROM embeddings)",
+    "nearest_v": "SELECT *, row_number() OVER (ORDER BY score DESC, point_id) AS k FROM (SELECT v.*, list_cosine_similarity(v.embedding::DOUBLE[], q.q) AS score FROM vectored_v v, query_v q) QUALIFY k <= 8",
+    "words_v": f"SELECT *, lag(w) OVER (PARTITION BY paper_id, chunk_idx ORDER BY point_id) AS earlier FROM (SELECT paper_id, point_id, point_id % 1000000 // 1000 AS chunk_idx, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM chunks_v)",
+    "whole_v": "SELECT paper_id, chunk_idx, greatest(0, ceil((sum(len(w) - CASE WHEN len(earlier) >= 80 AND earlier[-80:] = w[1:80] THEN 80 ELSE 0 END) - 400) / 320.0))::BIGINT + 1 AS n FROM words_v GROUP BY ALL",
+    "ids_v": "SELECT paper_id::BIGINT * 1000000 + chunk_idx * 1000 + i AS point_id, i::INTEGER AS window_index, n::INTEGER AS window_count FROM (SELECT *, unnest(range(0, n)) AS i FROM whole_v)",
     "relations_v": """SELECT l_orderkey AS paper_id, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_quantity > 45 THEN 'uncertain' WHEN l_returnflag = 'A' THEN 'positive' WHEN l_returnflag = 'R' THEN 'negative' ELSE 'hypothetical' END AS polarity,
       CASE WHEN l_discount < 0.03 THEN 'high' WHEN l_discount < 0.07 THEN 'moderate' ELSE 'low' END AS certainty, (['RESULTS', 'ABSTRACT', 'CONCLUSION', 'DISCUSSION', 'INTRODUCTION', 'METHODS', 'OTHER'])[l_linenumber % 7 + 1] AS section_type,
       CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE 'order ' || l_orderkey || ' line ' || l_linenumber END AS evidence, unnest([{'s': cn.n_name, 'st': 'nation', 'r': 'ordered', 't': p_brand, 'tt': 'brand'}, {'s': p_brand, 'st': 'brand', 'r': 'is_a_type_of', 't': p_type, 'tt': 'type'}, {'s': p_type, 'st': 'type', 'r': 'supplied_by', 't': sn.n_name, 'tt': 'nation'}]) AS e
@@ -58,7 +64,7 @@ _VIEWS = {
 _NEEDS = {
     "claims_v": ["current_v"], "alive_v": ["claims_v"], "profile_v": ["chunks_v"], "links_v": ["claims_v"], "evidence_v": ["links_v", "mentions_v"], "listed_v": ["evidence_v", "papers_v"], "weights_v": ["claims_v", "papers_v"], "section_v": ["evidence_v"],
     "scored_v": ["weights_v", "section_v", "query_v"], "live_v": ["scored_v"], "both_v": ["pairs_v"], "direct_v": ["live_v"], "chains_v": ["live_v", "both_v"], "paths_v": ["direct_v", "chains_v"], "anchored_v": ["paths_v"], "places_v": ["anchored_v"],
-    "buckets_v": ["anchored_v"], "kept_v": ["places_v", "buckets_v"], "filled_v": ["kept_v"], "chosen_v": ["filled_v"], "named_v": ["mentions_v"], "entities_v": ["named_v"], "scores_v": ["claims_v"],
+    "buckets_v": ["anchored_v"], "kept_v": ["places_v", "buckets_v"], "vectored_v": ["chunks_v"], "nearest_v": ["vectored_v", "query_v"], "words_v": ["chunks_v"], "whole_v": ["words_v"], "ids_v": ["whole_v"], "filled_v": ["kept_v"], "chosen_v": ["filled_v"], "named_v": ["mentions_v"], "entities_v": ["named_v"], "scores_v": ["claims_v"],
 }
 
 
@@ -84,7 +90,16 @@ _quota = lambda score: f"""SELECT path_signature, length, score, row_number() OV
   SELECT *, least(n1, 4) + least(n1 - least(n1, 4), greatest(0, 4 - p2)) AS p1 FROM (SELECT *, least(n2, 4 + (4 - least(n1, 4))) AS p2 FROM (
   SELECT *, {score} AS score, row_number() OVER (PARTITION BY length ORDER BY both_ends DESC, {score} DESC, path_signature) AS n, count(*) FILTER (WHERE length = 1) OVER () AS n1, count(*) FILTER (WHERE length = 2) OVER () AS n2 FROM {{source}})))
   WHERE CASE length WHEN 1 THEN n <= p1 ELSE n <= p2 END ORDER BY score DESC, path_signature LIMIT 8"""
+_final = _quota("cosine").format(source="chosen_v")
+_block = lambda c, label, indent: f"'{indent}' || {label} || ' ' || {c}.source_name || ' -> ' || {c}.relation_type || ' -> ' || {c}.target_name || chr(10) || '{indent}     Certainty: ' || coalesce({c}.certainty_max, '?') || ' | Papers: ' || coalesce({c}.paper_count::VARCHAR, '?') || chr(10) || coalesce({c}.ev{len(indent)}, '')"
+_passage = "'[V' || k || '] Paper P' || coalesce(paper_id::VARCHAR, '?') || ' | ' || coalesce(section_type, '?') || ' | ' || coalesce(section_name, '') || chr(10) || '     Cite as: [V' || k || ' (P' || coalesce(paper_id::VARCHAR, '?') || ')]' || chr(10) || '     ' || trim(coalesce(text, '')) || chr(10) || chr(10)"
 _evidence_text = "'- [P' || coalesce(paper_id::VARCHAR, '?') || ', ' || coalesce(study_design, '?') || ', ' || coalesce(published_year, '?') || '] [' || coalesce(section_type, '?') || '] ' || evidence_text || chr(10)"
+_listed = f"SELECT claim_signature, string_agg('     ' || {_evidence_text}, '' ORDER BY nth) AS ev0, string_agg('          ' || {_evidence_text}, '' ORDER BY nth) AS ev5 FROM listed_v WHERE nth <= 2 GROUP BY claim_signature"
+_told = f"(SELECT c.*, e.ev0, e.ev5 FROM claims_v c LEFT JOIN ({_listed}) e USING (claim_signature))"
+_direct = f"(SELECT rank, '[G' || row_number() OVER (ORDER BY rank) || ']' AS label, {_block('c', "('[G' || row_number() OVER (ORDER BY rank) || ']')", '')} || chr(10) AS block FROM ({_final}) f JOIN {_told} c ON c.claim_signature = f.path_signature WHERE f.length = 1)"
+_chains = f"""(SELECT rank, label, label || ' CHAIN: ' || a.source_name || ' -> ' || a.relation_type || ' -> ' || a.target_name || ' -> ' || b.relation_type || ' -> ' || b.target_name || chr(10) || '     Bridge: ' || a.target_name || chr(10)
+  || {_block('a', "(rtrim(label, ']') || '.1]')", '     ')} || {_block('b', "(rtrim(label, ']') || '.2]')", '     ')} || chr(10) AS block
+  FROM (SELECT *, '[G' || (row_number() OVER (ORDER BY rank) + (SELECT count(*) FROM ({_final}) WHERE length = 1)) || ']' AS label FROM ({_final}) WHERE length = 2) f JOIN {_told} a ON a.claim_signature = split_part(path_signature, '>>', 1) JOIN {_told} b ON b.claim_signature = split_part(path_signature, '>>', 2))"""
 
 SQL = {
     "claim_registry_agg": _sql("""SELECT e.s || '|' || e.r || '|' || e.t AS claim_signature, e.st AS source_type, e.tt AS target_type, count(*) FILTER (WHERE polarity = 'positive') AS n_positive, count(*) FILTER (WHERE polarity = 'negative') AS n_negative, count(*) FILTER (WHERE polarity = 'hypothetical') AS n_hypothetical,
@@ -126,7 +141,6 @@ SQL = {
     "claim_texts": _sql("SELECT c.claim_signature, c.source_name || ' ' || c.relation_type || ' ' || c.target_name || coalesce('. ' || string_agg(e.evidence_text, '. ' ORDER BY e.nth), '') AS claim_text FROM claims_v c LEFT JOIN (SELECT * FROM listed_v WHERE nth <= 2) e USING (claim_signature) GROUP BY c.claim_signature, c.source_name, c.relation_type, c.target_name"),
     "reembed_changed": "SELECT point_id FROM (SELECT point_id, first_value(text) OVER (PARTITION BY point_id ORDER BY loaded_at, text NULLS FIRST) AS a, first_value(text) OVER (PARTITION BY point_id ORDER BY loaded_at DESC, text NULLS LAST) AS b, row_number() OVER (PARTITION BY point_id) AS k FROM vector_chunks) WHERE k = 1 AND a IS DISTINCT FROM b",
     "sliding_windows": rf"SELECT doc_id, (first / 320)::INTEGER AS window_index, len(w[first + 1:first + 400])::INTEGER AS words, md5(array_to_string(w[first + 1:first + 400], ' ')) AS digest FROM (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 400) / 320.0))::BIGINT * 320 + 1, 320)) AS first FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents))",
-    "window_ids": _sql(rf"SELECT paper_id::BIGINT * 1000000 + chunk_idx * 1000 + i AS point_id, i::INTEGER AS window_index, n::INTEGER AS window_count FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT paper_id, point_id % 1000000 // 1000 AS chunk_idx, greatest(0, ceil((len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) - 400) / 320.0))::BIGINT + 1 AS n FROM chunks_v WHERE window_index = 0))"),
     "section_type_registry": _sql(rf"SELECT point_id, {_narrow} AS section, display FROM (SELECT point_id, lower(regexp_replace(regexp_replace({_stem}, '^\d+-', ''), '^[\d.]+_?', '')) AS s, trim(replace(regexp_replace({_stem}, '^\d+-', ''), '_', ' '), ' .') AS display FROM chunks_v WHERE chunk_filename IS NOT NULL)"),
     "section_type_rich": _sql(rf"SELECT {_rich} AS section, {_narrow} AS narrow, count(*) AS n FROM (SELECT lower(trim(regexp_replace(section_name, '^[\d.\s]+', ''))) AS h, lower(regexp_replace(regexp_replace(regexp_replace(section_name, '_(entities|relations)$', ''), '^\d+-', ''), '^[\d.]+_?', '')) AS s FROM chunks_v WHERE section_name IS NOT NULL) GROUP BY ALL"),
     "skip_sections": _sql(rf"SELECT point_id, regexp_matches(regexp_replace(lower(regexp_replace(regexp_replace(chunk_filename, '\.[^.]*$', ''), '^[^-]*-', '')), '^[\d._\s]+', ''), '^(references|appendix)(_.*)?$') AS skipped, coalesce(lower(trim(section_name)) NOT IN ({_q(config.NO_CONTENT_SECTIONS)}), true) AS content, regexp_replace(coalesce(section_name, ''), '[\\/*?:\"<>|]', '_', 'g') AS safe_name FROM chunks_v WHERE chunk_filename IS NOT NULL"),
@@ -155,7 +169,22 @@ SQL = {
     "list_size_dist": _sql("SELECT CASE WHEN k >= 4 THEN '4+' ELSE k::VARCHAR END AS items, count(*) AS n FROM (SELECT coalesce(len(countries), 0) AS k FROM papers_v) GROUP BY 1"),
     "design_weights": _sql(f"SELECT design, count(*) AS n, max({_case('design', config.DESIGN_WEIGHTS, 0.4)})::DOUBLE AS weight FROM (SELECT coalesce(nullif(study_design, ''), 'other') AS design FROM papers_v) GROUP BY design"),
     "upsert_last_wins": "WITH s AS (SELECT paper_id, pages FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at DESC, title NULLS FIRST) AS k FROM papers WHERE pages % 2 = 0) WHERE k = 1), i AS (SELECT paper_id, pages FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at DESC) AS k FROM papers WHERE pages % 2 <> 0 OR pages IS NULL) WHERE k = 1) SELECT * FROM i UNION ALL SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.paper_id = s.paper_id)",
-    "skip_existing_anti": _sql(rf"SELECT paper_id::BIGINT * 1000000 + chunk_idx * 1000 + i AS point_id, i::INTEGER AS window_index, n::INTEGER AS window_count FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT paper_id, point_id % 1000000 // 1000 AS chunk_idx, greatest(0, ceil((len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) - 400) / 320.0))::BIGINT + 1 AS n FROM chunks_v WHERE window_index = 0)) s WHERE NOT EXISTS (SELECT 1 FROM vector_chunks v WHERE v.point_id = s.paper_id::BIGINT * 1000000 + s.chunk_idx * 1000 + s.i)"),
+    "whole_window_ids": _sql("SELECT * FROM ids_v"),
+    "whole_skip_existing": _sql("SELECT * FROM ids_v s WHERE NOT EXISTS (SELECT 1 FROM vector_chunks v WHERE v.point_id = s.point_id)"),
+    "relation_verdicts": _sql(f"""SELECT relation_type, CASE WHEN relation_type IN ({_q(config.RELATION_TYPES)}) IS NOT TRUE THEN 'relation' WHEN st IS NULL OR tt IS NULL THEN 'untyped' WHEN list_contains(w, lower(relation_type || '|' || st || '|' || tt)) THEN 'allowed' WHEN list_contains(w, lower(relation_type || '|' || tt || '|' || st)) THEN 'direction' ELSE 'ends' END AS verdict, count(*) AS claims
+      FROM (SELECT c.relation_type, nullif(trim(a.t), '') AS st, nullif(trim(b.t), '') AS tt FROM claims_v c LEFT JOIN (SELECT canonical, min(entity_type) AS t FROM canonical_terms GROUP BY 1) a ON a.canonical = c.source_name LEFT JOIN (SELECT canonical, min(entity_type) AS t FROM canonical_terms GROUP BY 1) b ON b.canonical = c.target_name), (SELECT [{_q("|".join(r).lower() for r in config.relation_ends())}] AS w) GROUP BY ALL"""),
+    "methods_relations": _sql(f"SELECT relation_type, section_type, count(*) AS evidence FROM evidence_v JOIN (SELECT claim_signature, relation_type FROM claims_v) USING (claim_signature) WHERE section_type IS DISTINCT FROM 'METHODS' OR relation_type IN ({_q(config.METHODS_RELATIONS)}) GROUP BY ALL"),
+    "ontology_join": _sql("SELECT m.mention_id, t.ontology FROM mentions_v m LEFT JOIN (SELECT canonical, entity_type, min(term_id) AS ontology FROM canonical_terms GROUP BY ALL) t ON t.canonical = m.canonical_name AND t.entity_type = m.entity_type"),
+    "entity_lists": _sql("SELECT paper_id, md5(string_agg('- ' || coalesce(canonical_name, '?') || ' (' || coalesce(entity_type, '?') || ')', chr(10) ORDER BY mention_id)) AS digest FROM mentions_v GROUP BY paper_id"),
+    "passages_topk": _sql(f"SELECT '[V' || k || ']' AS label, point_id, round(score, 6) AS score, md5({_passage}) AS digest FROM nearest_v"),
+    "chain_blocks": _sql("SELECT label, block FROM " + _chains),
+    "answer_prompt": _sql(f"""SELECT length(p)::INTEGER AS n_chars, md5(p) AS digest FROM (SELECT '## QUESTION' || chr(10) || '{_QUESTION}' || chr(10) || chr(10) || '## GRAPH EVIDENCE' || chr(10) || coalesce((SELECT string_agg(block, '' ORDER BY rank) FROM {_direct}), '') || coalesce((SELECT string_agg(block, '' ORDER BY rank) FROM {_chains}), '')
+      || chr(10) || '## PASSAGES' || chr(10) || coalesce((SELECT string_agg({_passage}, '' ORDER BY k) FROM nearest_v), '') || chr(10) || '## ANSWER' || chr(10) || 'Answer from the evidence above and cite it inline by its labels.' AS p)"""),
+    "judge_scores": _sql("""SELECT claim_id, m.metric AS metric, round(s, 6) AS score, s >= 0.7 AS success FROM (SELECT *, CASE WHEN m.b IS NOT NULL AND len(m.a) > 0 THEN len(list_intersect(m.a, m.b)) / len(m.a)::DOUBLE END AS s FROM (SELECT claim_id, unnest([
+      {'metric': 'AnswerRelevancyMetric', 'a': q, 'b': c}, {'metric': 'FaithfulnessMetric', 'a': c, 'b': c}, {'metric': 'ContextualPrecisionMetric', 'a': c, 'b': e}, {'metric': 'ContextualRecallMetric', 'a': e, 'b': c}, {'metric': 'ContextualRelevancyMetric', 'a': q, 'b': c}]) AS m FROM (
+      SELECT claim_id, """ + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN list_distinct(regexp_extract_all(lower({c}), '{_WORD}')) END AS {n}" for c, n in (("concat_ws(' ', source_name, target_name)", "q"), ("embedding_text", "c"), ("p.title", "e"))) + """ FROM claims_v c JOIN papers_v p ON p.paper_id = c.paper_ids[1])))"""),
+    "claim_backfill": _sql("SELECT claim_signature, 64 AS dimensions FROM (SELECT c.claim_signature, c.embedding_text, c.source_name || ' ' || c.relation_type || ' ' || c.target_name || coalesce('. ' || string_agg(e.evidence_text, '. ' ORDER BY e.nth), '') AS text FROM claims_v c LEFT JOIN (SELECT * FROM listed_v WHERE nth <= 2) e USING (claim_signature) GROUP BY c.claim_signature, c.embedding_text, c.source_name, c.relation_type, c.target_name) WHERE text IS DISTINCT FROM embedding_text AND text <> ''"),
+    "table_items": _sql("SELECT paper_id, i::INTEGER AS table_id, title AS caption, 1 AS groups FROM (SELECT *, unnest(range(1, n_tables + 1)) AS i FROM papers_v WHERE n_tables > 0)"),
     "eval_means": _sql("SELECT s.metric AS metric, round(avg(s.score), 6) AS mean, count(s.score) AS n FROM scores_v GROUP BY 1"),
     "ragas_row": _sql("SELECT id, round(CASE WHEN count(s.score) = 4 THEN sum(s.score) / 4 END, 6) AS overall FROM scores_v GROUP BY id"),
     "eval_join": _sql("SELECT c.claim_id, coalesce(p.title, '') AS expected_answer FROM claims_v c JOIN papers_v p ON p.paper_id = c.paper_ids[1] WHERE trim(c.embedding_text) <> ''"),

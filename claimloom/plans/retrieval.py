@@ -29,19 +29,22 @@ def match_entities(question_spans: DataFrame, entities: DataFrame, score: float
     """``canonical_name``, ``score``: the entities whose name or alias a span resembles, best first, ties by name.
 
     A span must have at least ``coverage`` of the name's tokens. Names under five letters are compared strictly, others by the composite ratio.
-    The spans of one question are few (at most a few hundred), so they are broadcast to the names and the registry is read once.
+    The spans of one question are few; where their count says so, they are broadcast to the names, and the registry is read once.
     """
     parallel = entities.sparkSession.sparkContext.defaultParallelism  # scores cost more than moving the names
     names = entities.repartition(parallel).select("canonical_name", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name <> ''")
     needed = F.ceil(F.size(tokens(F.col("name"))) * coverage)
     few = question_spans.select("span", F.size(F.split("span", " ")).alias("_size"))
-    pairs = names.withColumn("_needed", needed).join(F.broadcast(few), F.col("_size") >= F.col("_needed"))
+    few = F.broadcast(few) if few.limit(MOST_SPANS + 1).count() <= MOST_SPANS else few
+    pairs = names.withColumn("_needed", needed).join(few, F.col("_size") >= F.col("_needed"))
     a, b = F.lower("span"), F.lower("name")
     scored = pairs.withColumn("score", F.when(F.length("name") < 5, ratio_score(a, b)).otherwise(composite_score(a, b)))
     best = scored.groupBy("canonical_name").agg(F.max("score").alias("score")).where(F.col("score") >= score)
     return best.orderBy(F.desc("score"), "canonical_name").limit(top)
 
 
+#: Spans of a question that may be broadcast.
+MOST_SPANS = 10_000
 CARRIED = ["claim_signature", "source_name", "relation_type", "target_name", "certainty_max", "paper_count", "quality", "cosine"]
 
 
@@ -54,6 +57,13 @@ def scored_claims(claims: DataFrame, evidence: DataFrame, query: list[float]) ->
     return rows.withColumn("quality", quality).withColumn("cosine", F.when(F.size("embedding") == len(query), F.coalesce(F.nanvl(similar, F.lit(0.0)), F.lit(0.0))).otherwise(0.0))
 
 
+def question_claims(claims: DataFrame, evidence: DataFrame, names: list[str], query: list[float]) -> DataFrame:
+    """The scored claims that paths about some entities can hold, with what the paths carry of them."""
+    near = graph.touching(claims, names)
+    said = evidence.join(near.select("claim_signature"), "claim_signature", "left_semi")
+    return cut(scored_claims(near, said, query).select(*CARRIED, *(f"n_{p}" for p in config.EDGE_POLARITIES)))  # the question's, read three times by paths
+
+
 def candidate_paths(claims: DataFrame, names: list[str], generic: list[str] | None = None, hops: int = 2) -> DataFrame:
     """Direct paths and chains of matched entities: ``path_signature``, ``length``, ``entities``, ``relations``, ``quality`` (product), ``cosine`` (mean)."""
     spark = claims.sparkSession
@@ -61,17 +71,19 @@ def candidate_paths(claims: DataFrame, names: list[str], generic: list[str] | No
     if hops < 2 or len(names) < 2:
         return direct
     matched = literal_names(spark, names)
-    chains = graph.two_hop(claims, graph.anchor_pairs(matched, generic), CARRIED, generic)
+    chains = graph.two_hop(claims, graph.anchor_pairs(matched, generic), CARRIED, generic, known_pairs=len(names) ** 2)
     chains = chains.select("path_signature", F.lit(2).alias("length"), F.array("source_name", "bridge_name", "target_name").alias("entities"), F.array("c1_relation_type", "c2_relation_type").alias("relations"), (F.col("c1_quality") * F.col("c2_quality")).alias("quality"), ((F.col("c1_cosine") + F.col("c2_cosine")) / 2).alias("cosine"))
     return graph.merge_paths(direct, chains)
 
 
 def final_paths(claims: DataFrame, evidence: DataFrame, names: list[str], query: list[float], generic: list[str] | None = None) -> DataFrame:
-    """The ranked paths about matched entities: pre-filter by quality, re-rank by cosine, quotas."""
+    """The ranked paths about matched entities: pre-filter by quality, re-rank by cosine, quotas.
+
+    The names cut the claims before they meet evidence or vectors, so neither the graph nor its evidence is scored or written for a question.
+    """
     generic = config.GENERIC_ENTITIES if generic is None else generic
     specific = [n for n in names if n not in generic]
-    scored = cut(scored_claims(claims, evidence, query).select(*CARRIED, *(f"n_{p}" for p in config.EDGE_POLARITIES)))  # read three times below
-    paths = candidate_paths(scored, names, generic)
+    paths = cut(candidate_paths(question_claims(claims, evidence, names, query), names, generic))  # the question's, read several times below
     kept = ranking.pre_filter(paths, specific, names)
     hybrid = kept.withColumn("hybrid", F.col("cosine")).withColumn("both_ends", ranking.has_both_ends(F.col("entities"), names))
     return ranking.quotas(hybrid)

@@ -15,35 +15,44 @@ from claimloom.operators.registry import first_rows, paper_weights
 from claimloom.sources.tables import current_rows, table
 
 
-def papers(spark: SparkSession, d: str) -> DataFrame:
-    """Current papers, with a whole number as paper_id."""
-    rows = current_rows(table(spark, d, "papers"), "paper_id", "ingested_at")
+def _current(spark: SparkSession, d: str, name: str, key: str, time: str, columns: tuple[str, ...]) -> DataFrame:
+    """Current rows with the given columns (all without any), so that no other column is read."""
+    rows = table(spark, d, name)
+    return current_rows(rows.select(*dict.fromkeys((key, time, *columns))) if columns else rows, key, time)
+
+
+def papers(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Current papers, with a whole number as paper_id; with ``columns``, these only, beside it."""
+    rows = _current(spark, d, "papers", "paper_id", "ingested_at", columns)
     return rows.withColumn("paper_id", F.expr("try_cast(paper_id AS int)")).where("paper_id IS NOT NULL")
 
 
-def claims(spark: SparkSession, d: str) -> DataFrame:
-    """Current claims, one for each signature (the highest claim_id), polarity counts as columns n_*."""
-    columns = ["claim_id", "claim_signature", "source_name", "relation_type", "target_name", "polarity_counts", "certainty_max", "paper_ids", "paper_count", "embedding_text", "embedding", "embedded_at"]
-    rows = current_rows(table(spark, d, "claims").select(*columns), "claim_id", "embedded_at", F.col("embedding").isNull())
+CLAIM_COLUMNS = ("claim_id", "claim_signature", "source_name", "relation_type", "target_name", "polarity_counts", "certainty_max", "paper_ids", "paper_count")
+
+
+def claims(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Current claims, one for each signature (the highest claim_id), polarity counts as columns n_*. Of vectors and their texts only what is in ``more`` is carried."""
+    rows = table(spark, d, "claims").select(*CLAIM_COLUMNS, "embedded_at", F.col("embedding").isNull().alias("_bare"), *more)
+    rows = current_rows(rows, "claim_id", "embedded_at", F.col("_bare")).drop("_bare")
     rows = first_rows(rows.where("claim_signature IS NOT NULL"), "claim_signature", F.desc("claim_id"))
     return rows.select("*", *(F.coalesce(F.col("polarity_counts")[p], F.lit(0)).cast("long").alias(f"n_{p}") for p in config.POLARITIES)).drop("polarity_counts", "embedded_at")
 
 
-def mentions(spark: SparkSession, d: str) -> DataFrame:
+def mentions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Current entity mentions; ``seq`` is their order."""
-    return current_rows(table(spark, d, "entity_mentions"), "mention_id", "loaded_at").withColumn("seq", F.col("mention_id"))
+    return _current(spark, d, "entity_mentions", "mention_id", "loaded_at", columns).withColumn("seq", F.col("mention_id"))
 
 
 def evidence(spark: SparkSession, d: str, claim_rows: DataFrame | None = None) -> DataFrame:
     """``claim_signature``, ``evidence_id``, ``evidence_text``, ``paper_id``, ``section_type``."""
     of = (claims(spark, d) if claim_rows is None else claim_rows).select("claim_signature", F.lower("source_name").alias("_name"), F.explode(F.array_distinct("paper_ids")).alias("paper_id"))
-    said = mentions(spark, d).where(stripped(F.coalesce("evidence", F.lit(""))) != "").select(F.lower("canonical_name").alias("_name"), "paper_id", F.col("mention_id").alias("evidence_id"), stripped("evidence").alias("evidence_text"), "section_type")
+    said = mentions(spark, d, "canonical_name", "paper_id", "evidence", "section_type").where(stripped(F.coalesce("evidence", F.lit(""))) != "").select(F.lower("canonical_name").alias("_name"), "paper_id", F.col("mention_id").alias("evidence_id"), stripped("evidence").alias("evidence_text"), "section_type")
     return of.join(said, ["_name", "paper_id"]).drop("_name")
 
 
-def weighted_claims(spark: SparkSession, d: str) -> DataFrame:
+def weighted_claims(spark: SparkSession, d: str, claim_rows: DataFrame | None = None) -> DataFrame:
     """Claims with their study weight."""
-    return paper_weights(claims(spark, d), papers(spark, d))
+    return paper_weights(claims(spark, d) if claim_rows is None else claim_rows, papers(spark, d, "study_design"))
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -51,9 +60,9 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "canonical_terms").select(F.col("canonical").alias("canonical_name"), "entity_type", "aliases").dropDuplicates(["canonical_name"])
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Current chunks, without their time."""
-    return current_rows(table(spark, d, "vector_chunks"), "point_id", "loaded_at").drop("loaded_at")
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Current chunks, without their time; with ``columns``, these only, beside point_id."""
+    return _current(spark, d, "vector_chunks", "point_id", "loaded_at", columns).drop("loaded_at")
 
 
 def relation_mentions(spark: SparkSession, d: str) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom import config
+from claimloom import config, providers
 from claimloom.functions import text as T
 from claimloom.functions.vector import cosine
+from claimloom.lineage import cut
 from claimloom.operators import evaluation, graph, profile, ranking, registry, render, search, sections, upsert
 from claimloom.oracle import SQL  # noqa: F401
-from claimloom.plans import retrieval, views
+from claimloom.plans import answer, embedding, extraction, retrieval, views
 from claimloom.sources.tables import current_rows, table
 from claimloom.streaming import ingest
 
@@ -24,6 +25,8 @@ NAMES = ["Rirsemflav Neck Swelling", "Hurlohi Neck Swelling", "Skuvdaewis Signal
 GENERIC = ["Autoimmune Thyroiditis"]
 QUESTION = "How does Rirsemflav Neck Swelling relate to Hurlohi Neck Swelling and the Skuvdaewis Signalling Pathway in Autoimmune Thyroiditis?"
 FLAGSHIP = "hybrid_rank"
+#: What the entity registry reads of a mention.
+MENTION = ("canonical_name", "entity_type", "surface_form", "aliases", "key_properties", "paper_id", "section_type")
 
 
 def query(f: Query) -> Query:
@@ -42,12 +45,18 @@ def _query_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.weighted_claims(spark, d)
+    rows = views.weighted_claims(spark, d, views.claims(spark, d, "embedding"))
     return retrieval.scored_claims(rows, views.evidence(spark, d, rows), _query_vector(spark, d))
 
 
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The weighted claims that the question's entities touch, found once, and their evidence."""
+    rows = cut(views.weighted_claims(spark, d, graph.touching(views.claims(spark, d, "embedding"), NAMES)))
+    return rows, views.evidence(spark, d, rows)
+
+
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.candidate_paths(_scored(spark, d), NAMES, GENERIC)
+    return retrieval.candidate_paths(retrieval.question_claims(*_asked(spark, d), NAMES, _query_vector(spark, d)), NAMES, GENERIC)
 
 
 def _stem(c: str = "chunk_filename") -> Column:
@@ -75,7 +84,7 @@ def certainty_max(spark: SparkSession, d: str) -> DataFrame:
 @query
 def claim_first_type(spark: SparkSession, d: str) -> DataFrame:
     """A1e, A2b: the type that an entity has in its first mention."""
-    rows = views.mentions(spark, d).where(T.stripped(F.coalesce("canonical_name", F.lit(""))) != "")
+    rows = views.mentions(spark, d, "canonical_name", "entity_type").where(T.stripped(F.coalesce("canonical_name", F.lit(""))) != "")
     return rows.groupBy(F.lower(T.stripped("canonical_name")).alias("name")).agg(F.min_by(F.coalesce("entity_type", F.lit("")), "seq").alias("entity_type"), F.count("*").alias("mentions"))
 
 
@@ -89,14 +98,14 @@ def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def entity_merge(spark: SparkSession, d: str) -> DataFrame:
     """Entities of mentions."""
-    rows = registry.entity_registry(views.mentions(spark, d))
+    rows = registry.entity_registry(views.mentions(spark, d, *MENTION))
     return rows.select("canonical_name", "entity_type", F.size("aliases").alias("aliases"), "filled_properties", F.array_join("paper_ids", ",").alias("paper_ids"), F.array_join("section_types", ",").alias("section_types"), F.size("surface_forms").alias("surface_forms"), "mentions")
 
 
 @query
 def forms_collision(spark: SparkSession, d: str) -> DataFrame:
     """A3: the entity that each form stands for."""
-    return registry.forms_index(registry.entity_registry(views.mentions(spark, d)))
+    return registry.forms_index(registry.entity_registry(views.mentions(spark, d, *MENTION)))
 
 
 @query
@@ -137,6 +146,37 @@ def relation_whitelist(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("relation_type").isin(config.RELATION_TYPES).alias("known"), F.col("relation_type").isin(config.METHODS_RELATIONS).alias("in_methods")).agg(F.count("*").alias("claims"))
 
 
+@query
+def relation_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """F32: claims by whether the vocabulary allows their relation between the types of their ends, which the reference list gives."""
+    types = table(spark, d, "canonical_terms").groupBy(F.col("canonical").alias("_name")).agg(F.min("entity_type").alias("_type"))
+    end = lambda side: types.select(F.col("_name").alias(f"{side}_name"), F.col("_type").alias(f"{side}_type"))
+    rows = views.claims(spark, d).select("source_name", "relation_type", "target_name").join(end("source"), "source_name", "left").join(end("target"), "target_name", "left")
+    return registry.checked_relations(rows, registry.relation_ends(spark)).groupBy("relation_type", "verdict").agg(F.count("*").alias("claims"))
+
+
+@query
+def methods_relations(spark: SparkSession, d: str) -> DataFrame:
+    """evidence by relation and section, without what a methods section may not hold."""
+    rows = views.evidence(spark, d).join(views.claims(spark, d).select("claim_signature", "relation_type"), "claim_signature")
+    return registry.section_relations(rows).groupBy("relation_type", "section_type").agg(F.count("*").alias("evidence"))
+
+
+@query
+def ontology_join(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions with the entry of their name and type."""
+    rows = registry.enriched(views.mentions(spark, d, "canonical_name", "entity_type"), table(spark, d, "canonical_terms"))
+    return rows.select("mention_id", "ontology")
+
+
+@query
+def entity_lists(spark: SparkSession, d: str) -> DataFrame:
+    """the entities of every paper as a list, in the order of their mentions."""
+    rows = views.mentions(spark, d, "paper_id", "canonical_name", "entity_type")
+    items = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("mention_id", "canonical_name", "entity_type"))).alias("e"))
+    return items.select("paper_id", F.md5(render.entity_list(F.col("e"))).alias("digest"))
+
+
 # --- names
 
 
@@ -150,7 +190,7 @@ def token_sort_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     """The greedy merge of mention names, in order of their first mention."""
-    rows = views.mentions(spark, d).where(T.stripped(F.coalesce("canonical_name", F.lit(""))) != "").select(T.stripped("canonical_name").alias("name"), "seq")
+    rows = views.mentions(spark, d, "canonical_name").where(T.stripped(F.coalesce("canonical_name", F.lit(""))) != "").select(T.stripped("canonical_name").alias("name"), "seq")
     names = rows.groupBy(F.lower("name").alias("_key")).agg(F.min_by("name", "seq").alias("name"), F.min("seq").alias("seq")).drop("_key")
     return registry.greedy_leaders(names, registry.fuzzy_pairs(names))
 
@@ -165,7 +205,7 @@ def span_match(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ngram_spans(spark: SparkSession, d: str) -> DataFrame:
     """The distinct n-grams of every paper title, with how many titles hold them."""
-    rows = views.papers(spark, d).where("title IS NOT NULL").select("paper_id", F.explode(T.ngrams(F.col("title"))).alias("g"))
+    rows = views.papers(spark, d, "title").where("title IS NOT NULL").select("paper_id", F.explode(T.ngrams(F.col("title"))).alias("g"))
     return rows.groupBy(F.lower("g.span").alias("span")).agg(F.countDistinct("paper_id").alias("papers"), F.max("g.n").alias("n"))
 
 
@@ -195,7 +235,7 @@ def polarity_edges(spark: SparkSession, d: str) -> DataFrame:
 def evidence_edges(spark: SparkSession, d: str) -> DataFrame:
     """K7: evidence with its claim and paper."""
     rows = views.evidence(spark, d)
-    return rows.join(views.papers(spark, d).select("paper_id"), "paper_id", "left_semi").select("claim_signature", "evidence_id", "paper_id")
+    return rows.join(views.papers(spark, d, "paper_id"), "paper_id", "left_semi").select("claim_signature", "evidence_id", "paper_id")
 
 
 @query
@@ -213,7 +253,7 @@ def onehop_generic_specific(spark: SparkSession, d: str) -> DataFrame:
 @query
 def evidence_join(spark: SparkSession, d: str) -> DataFrame:
     """All claims with their evidence lists, the best two as text."""
-    lists = graph.evidence_lists(views.evidence(spark, d), views.papers(spark, d), config.EVIDENCE_PER_CLAIM)
+    lists = graph.evidence_lists(views.evidence(spark, d), views.papers(spark, d, "study_design", "published_year"), config.EVIDENCE_PER_CLAIM)
     rows = views.claims(spark, d).join(lists, "claim_signature", "left")
     return rows.select("claim_signature", F.coalesce(F.size("evidence_list"), F.lit(0)).alias("n"), F.coalesce(F.array_join(F.col("evidence_list.evidence_text"), " / "), F.lit("")).alias("texts"))
 
@@ -269,7 +309,7 @@ def path_quality(spark: SparkSession, d: str) -> DataFrame:
 @query
 def quality_prefilter(spark: SparkSession, d: str) -> DataFrame:
     """The candidates for re-ranking."""
-    rows = ranking.pre_filter(_paths(spark, d), [n for n in NAMES if n not in GENERIC], NAMES)
+    rows = ranking.pre_filter(cut(_paths(spark, d)), [n for n in NAMES if n not in GENERIC], NAMES)
     return rows.select("path_signature", rounded("quality").alias("quality"))
 
 
@@ -291,15 +331,14 @@ def quota_spill(spark: SparkSession, d: str) -> DataFrame:
 @query
 def evidence_topk(spark: SparkSession, d: str) -> DataFrame:
     """The two best evidences of every claim."""
-    lists = graph.evidence_lists(views.evidence(spark, d), views.papers(spark, d), config.EVIDENCE_PER_CLAIM)
+    lists = graph.evidence_lists(views.evidence(spark, d), views.papers(spark, d, "study_design", "published_year"), config.EVIDENCE_PER_CLAIM)
     return lists.select("claim_signature", F.inline("evidence_list")).select("claim_signature", F.col("_nth").alias("place"), "paper_id", "section_type", "evidence_text")
 
 
 @query
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: final paths of the question."""
-    rows = views.weighted_claims(spark, d)
-    final = retrieval.final_paths(rows, views.evidence(spark, d, rows), NAMES, _query_vector(spark, d), GENERIC)
+    final = retrieval.final_paths(*_asked(spark, d), NAMES, _query_vector(spark, d), GENERIC)
     return final.select("rank", "path_signature", "length", rounded("hybrid").alias("hybrid"), rounded("quality").alias("quality"))
 
 
@@ -329,13 +368,13 @@ def cosine_matrix_label(spark: SparkSession, d: str) -> DataFrame:
 @query
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
     """what of a paper is embedded."""
-    return views.papers(spark, d).select("paper_id", T.or_default(F.col("purpose_of_work"), F.coalesce("title", F.lit(""))).alias("embed_text"))
+    return views.papers(spark, d, "purpose_of_work", "title").select("paper_id", T.or_default(F.col("purpose_of_work"), F.coalesce("title", F.lit(""))).alias("embed_text"))
 
 
 @query
 def claim_texts(spark: SparkSession, d: str) -> DataFrame:
     """the text of every claim, with its two first evidences."""
-    lists = graph.evidence_lists(views.evidence(spark, d), views.papers(spark, d), 2)
+    lists = graph.evidence_lists(views.evidence(spark, d), views.papers(spark, d, "study_design", "published_year"), 2)
     rows = views.claims(spark, d).join(lists, "claim_signature", "left")
     head = F.concat_ws(" ", "source_name", "relation_type", "target_name")
     return rows.select("claim_signature", F.concat_ws(". ", head, F.array_join(F.col("evidence_list.evidence_text"), ". ")).alias("claim_text"))
@@ -360,21 +399,10 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "window_index", T.word_count(F.col("window")).alias("words"), F.md5("window").alias("digest"))
 
 
-@query
-def window_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Window counts and point ids of every first window, as its SQL has them. ``whole_window_ids`` has those of whole sections."""
-    rows = views.chunks(spark, d).where(F.col("window_index") == 0).select("paper_id", F.floor(F.col("point_id") % 1000000 / 1000).alias("chunk_idx"), "text")
-    return _window_ids(rows)
-
-
 @query
 def whole_window_ids(spark: SparkSession, d: str) -> DataFrame:
     """Window counts and point ids of every section, also of those that an earlier run cut."""
-    return _window_ids(sections.whole_sections(views.chunks(spark, d)))
-
-
-def _window_ids(rows: DataFrame) -> DataFrame:
-    rows = rows.select("paper_id", "chunk_idx", T.windows(F.col("text")).alias("w"))
+    rows = sections.whole_sections(views.chunks(spark, d, "paper_id", "text")).select("paper_id", "chunk_idx", T.windows(F.col("text")).alias("w"))
     each = rows.select("paper_id", "chunk_idx", F.size("w").alias("window_count"), F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("window_index"))
     return each.select((F.col("paper_id").cast("long") * 1000000 + F.col("chunk_idx") * 1000 + F.col("window_index")).alias("point_id"), "window_index", "window_count")
 
@@ -382,26 +410,26 @@ def _window_ids(rows: DataFrame) -> DataFrame:
 @query
 def section_type_registry(spark: SparkSession, d: str) -> DataFrame:
     """section types and names of chunk files."""
-    rows = views.chunks(spark, d).where("chunk_filename IS NOT NULL")
+    rows = views.chunks(spark, d, "chunk_filename").where("chunk_filename IS NOT NULL")
     return rows.select("point_id", T.registry_section(_stem()).alias("section"), T.section_display(_stem()).alias("display"))
 
 
 @query
 def section_type_rich(spark: SparkSession, d: str) -> DataFrame:
     """section types of headers, by the longer list."""
-    rows = views.chunks(spark, d).where("section_name IS NOT NULL")
+    rows = views.chunks(spark, d, "section_name").where("section_name IS NOT NULL")
     return rows.groupBy(T.rich_section(F.col("section_name")).alias("section"), T.registry_section(F.col("section_name")).alias("narrow")).agg(F.count("*").alias("n"))
 
 
 @query
 def skip_sections(spark: SparkSession, d: str) -> DataFrame:
     """Which chunk files are skipped, and their safe names."""
-    rows = views.chunks(spark, d).where("chunk_filename IS NOT NULL")
+    rows = views.chunks(spark, d, "chunk_filename", "section_name").where("chunk_filename IS NOT NULL")
     return rows.select("point_id", T.is_skipped_section(F.col("chunk_filename")).alias("skipped"), F.coalesce(T.is_content_section(F.col("section_name")), F.lit(True)).alias("content"), T.safe_filename(F.coalesce("section_name", F.lit(""))).alias("safe_name"))
 
 
 def _structure(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.chunks(spark, d).where("section_name IS NOT NULL")
+    rows = views.chunks(spark, d, "paper_id", "section_name", "section_type").where("section_name IS NOT NULL")
     name = F.regexp_replace(T.stripped("section_name"), r"[\s*]+", " ")
     mark = F.when(F.col("section_type") == "OTHER", "    * ").otherwise("* ")
     return rows.select("paper_id", F.col("point_id").alias("pos"), F.concat(mark, name).alias("line"))
@@ -417,14 +445,14 @@ def structure_parse(spark: SparkSession, d: str) -> DataFrame:
 @query
 def next_header(spark: SparkSession, d: str) -> DataFrame:
     """Where sections end."""
-    rows = views.chunks(spark, d).where("section_name IS NOT NULL").select("paper_id", F.col("point_id").alias("pos"), T.stripped("section_name").alias("header"))
+    rows = views.chunks(spark, d, "paper_id", "section_name").where("section_name IS NOT NULL").select("paper_id", F.col("point_id").alias("pos"), T.stripped("section_name").alias("header"))
     return sections.section_ends(rows)
 
 
 @query
 def batch_numbering(spark: SparkSession, d: str) -> DataFrame:
     """Papers in batches of ten."""
-    return sections.batches(views.papers(spark, d).select("paper_id"), "paper_id")
+    return sections.batches(views.papers(spark, d, "paper_id").select("paper_id"), "paper_id")
 
 
 @query
@@ -444,7 +472,7 @@ def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     """Chunk files in natural order of their names, within their paper."""
-    rows = views.chunks(spark, d).where("chunk_filename IS NOT NULL").select("paper_id", "point_id", "chunk_filename")
+    rows = views.chunks(spark, d, "paper_id", "chunk_filename").where("chunk_filename IS NOT NULL").select("paper_id", "point_id", "chunk_filename")
     window = Window.partitionBy("paper_id").orderBy(T.natural_key(F.col("chunk_filename")), "chunk_filename", "point_id")
     return rows.select("point_id", F.row_number().over(window).alias("place"))
 
@@ -455,11 +483,11 @@ def natural_order(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chunk_profile(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of every chunk."""
-    return profile.chunk_profile(views.chunks(spark, d))
+    return _profile(spark, d)
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.chunk_profile(views.chunks(spark, d))
+    return profile.chunk_profile(views.chunks(spark, d, "paper_id", "chunk_filename", "text"))
 
 
 @query
@@ -472,7 +500,7 @@ def describe_words(spark: SparkSession, d: str) -> DataFrame:
 @query
 def sections_per_paper(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of each paper, and whether it has one only."""
-    rows = profile.group_sizes(views.chunks(spark, d), "paper_id")
+    rows = profile.group_sizes(views.chunks(spark, d, "paper_id"), "paper_id")
     return rows.withColumn("single", F.col("n") == 1)
 
 
@@ -516,14 +544,14 @@ def stub_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def papers_per_year(spark: SparkSession, d: str) -> DataFrame:
     """Papers by year, with shares."""
-    rows = profile.value_counts(views.papers(spark, d), T.stripped("published_year"), "year", share=True)
+    rows = profile.value_counts(views.papers(spark, d, "published_year"), T.stripped("published_year"), "year", share=True)
     return rows.select("year", "n", rounded("share").alias("share"))
 
 
 @query
 def paper_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Ranges of pages, tables and figures."""
-    return profile.range_of(views.papers(spark, d), "pages", "n_tables", "n_figures")
+    return profile.range_of(views.papers(spark, d, "pages", "n_tables", "n_figures"), "pages", "n_tables", "n_figures")
 
 
 @query
@@ -531,7 +559,7 @@ def keyword_categories(spark: SparkSession, d: str) -> DataFrame:
     """papers by number of tables, in four categories."""
     c = F.col("n_tables")
     kind = F.when(c.isNull() | (c == 0), "none").when(c == 1, "one").when(c == 2, "two").otherwise("more")
-    return profile.value_counts(views.papers(spark, d), kind, "category")
+    return profile.value_counts(views.papers(spark, d, "n_tables"), kind, "category")
 
 
 @query
@@ -543,27 +571,27 @@ def null_profile(spark: SparkSession, d: str) -> DataFrame:
 @query
 def doi_coverage(spark: SparkSession, d: str) -> DataFrame:
     """A21."""
-    rows = profile.coverage(views.papers(spark, d), "doi")
+    rows = profile.coverage(views.papers(spark, d, "doi"), "doi")
     return rows.select("filled", "rows", rounded("share").alias("share"))
 
 
 @query
 def explode_counts(spark: SparkSession, d: str) -> DataFrame:
     """Papers by country."""
-    return profile.exploded_counts(views.papers(spark, d), "countries", "country").select("country", "n", rounded("share").alias("share"))
+    return profile.exploded_counts(views.papers(spark, d, "countries"), "countries", "country").select("country", "n", rounded("share").alias("share"))
 
 
 @query
 def list_size_dist(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of countries."""
-    return profile.size_distribution(views.papers(spark, d), "countries")
+    return profile.size_distribution(views.papers(spark, d, "countries"), "countries")
 
 
 @query
 def design_weights(spark: SparkSession, d: str) -> DataFrame:
     """Papers by design, with its weight."""
     design = T.or_default(F.col("study_design"), "other")
-    return views.papers(spark, d).groupBy(design.alias("design")).agg(F.count("*").alias("n"), F.max(T.weight(design, config.DESIGN_WEIGHTS, config.UNKNOWN_DESIGN)).alias("weight"))
+    return views.papers(spark, d, "study_design").groupBy(design.alias("design")).agg(F.count("*").alias("n"), F.max(T.weight(design, config.DESIGN_WEIGHTS, config.UNKNOWN_DESIGN)).alias("weight"))
 
 
 # --- stored tables, evaluation, rendering
@@ -578,12 +606,6 @@ def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return upsert.upsert(stored, rows.where(~even | F.col("pages").isNull()), "paper_id", "ingested_at").select("paper_id", "pages")
 
 
-@query
-def skip_existing_anti(spark: SparkSession, d: str) -> DataFrame:
-    """The windows of first windows that are not stored yet, as its SQL has them."""
-    return upsert.new_rows(window_ids(spark, d), table(spark, d, "vector_chunks"), "point_id")
-
-
 @query
 def whole_skip_existing(spark: SparkSession, d: str) -> DataFrame:
     """The windows of whole sections that are not stored yet."""
@@ -610,11 +632,39 @@ def ragas_row(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.wide_scores(_scores(spark, d)).select("id", rounded("overall").alias("overall"))
 
 
+@query
+def judge_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Claims as answers, scored against their first paper's title by the words they share, without retrieval context."""
+    rows = views.claims(spark, d, "embedding_text")
+    truth = views.papers(spark, d, "title").select(F.col("paper_id").alias("id"), F.col("title").alias("expected"))
+    cases = rows.select("claim_id", F.element_at("paper_ids", 1).alias("id"), F.concat_ws(" ", "source_name", "target_name").alias("question"), F.col("embedding_text").alias("answer"), F.col("embedding_text").alias("context")).join(truth, "id")
+    scored = providers.judged_scores(cases, "claim_id", providers.SharedWords(), [*config.JUDGE_METRICS, "ContextualRelevancyMetric"])
+    return scored.select("claim_id", "metric", rounded("score").alias("score"), "success")
+
+
+@query
+def claim_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """The claims whose text is not the stored one, embedded again; here by hashed words, so only the length of the vector is compared."""
+    rows = views.claims(spark, d, "embedding_text")
+    texts = embedding.claim_texts(rows, views.evidence(spark, d), views.papers(spark, d, "study_design", "published_year"))
+    todo = upsert.changed_texts(texts, rows.select("claim_signature", F.col("embedding_text").alias("text")), "claim_signature", "text")
+    return embedding.with_vectors(todo, "claim_signature", providers.HashedWords()).select("claim_signature", F.size("embedding").alias("dimensions"))
+
+
+@query
+def table_items(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of papers, parsed from responses; here a response lists as many as n_tables says, under the paper's title."""
+    rows = views.papers(spark, d, "n_tables", "title")
+    listed = F.transform(F.sequence(F.lit(1), F.col("n_tables")), lambda i: F.struct(i.alias("table_id"), F.col("title").alias("caption"), F.array(F.col("title")).alias("groups")))
+    text = F.concat(F.lit("```json\n"), F.to_json(F.when(F.col("n_tables") > 0, listed).otherwise(F.array().cast("array<struct<table_id:int,caption:string,groups:array<string>>>"))), F.lit("\n```"))
+    return extraction.items(rows.select("paper_id", text.alias("response")), "tables").select("paper_id", "table_id", "caption", F.size("groups").alias("groups"))
+
+
 @query
 def eval_join(spark: SparkSession, d: str) -> DataFrame:
     """Claims as candidates, papers as their truth."""
-    candidates = views.claims(spark, d).select(F.element_at("paper_ids", 1).alias("id"), F.col("embedding_text").alias("answer"), "claim_id")
-    truth = views.papers(spark, d).select(F.col("paper_id").alias("id"), F.coalesce("title", F.lit("")).alias("answer"))
+    candidates = views.claims(spark, d, "embedding_text").select(F.element_at("paper_ids", 1).alias("id"), F.col("embedding_text").alias("answer"), "claim_id")
+    truth = views.papers(spark, d, "title").select(F.col("paper_id").alias("id"), F.coalesce("title", F.lit("")).alias("answer"))
     return evaluation.judged(candidates, truth).select("claim_id", "expected_answer")
 
 
@@ -634,10 +684,9 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _final_direct(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.weighted_claims(spark, d)
-    said = views.evidence(spark, d, rows)
+    rows, said = _asked(spark, d)
     ranked = retrieval.final_paths(rows, said, NAMES, _query_vector(spark, d), GENERIC).where("length = 1").select(F.col("path_signature").alias("claim_signature"), "rank")
-    lists = graph.evidence_lists(said, views.papers(spark, d), config.EVIDENCE_PER_CLAIM)
+    lists = graph.evidence_lists(said, views.papers(spark, d, "study_design", "published_year"), config.EVIDENCE_PER_CLAIM)
     return ranked.join(rows, "claim_signature").join(lists, "claim_signature", "left")
 
 
@@ -650,10 +699,44 @@ def prompt_graph_block(spark: SparkSession, d: str) -> DataFrame:
 @query
 def prompt_vector_block(spark: SparkSession, d: str) -> DataFrame:
     """The longest eight chunks as passages."""
-    rows = views.chunks(spark, d).withColumn("n", F.length("text")).orderBy(F.desc("n"), "point_id").limit(8).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "point_id")))
+    rows = views.chunks(spark, d, "paper_id", "section_type", "section_name", "text").withColumn("n", F.length("text")).orderBy(F.desc("n"), "point_id").limit(8).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "point_id")))
     return render.passage_blocks(rows).select("label", F.md5("block").alias("digest"))
 
 
+def _vectored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with a stand-in vector: the embedding whose vec_id is the point_id modulo the number of embeddings."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    rows = views.chunks(spark, d, "paper_id", "section_type", "section_name", "text").join(F.broadcast(vectors.agg(F.count("*").alias("_n"))))
+    return rows.withColumn("vec_id", F.col("point_id") % F.col("_n")).join(vectors, "vec_id").drop("_n", "vec_id")
+
+
+def _final(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The question's final paths (at most eight, written once), and what their blocks are made of."""
+    rows, said = _asked(spark, d)
+    final = cut(retrieval.final_paths(rows, said, NAMES, _query_vector(spark, d), GENERIC).select("path_signature", "length", "rank"))
+    return final, rows, said, views.papers(spark, d, "study_design", "published_year")
+
+
+@query
+def passages_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The eight chunks nearest to the question as passages; chunks have stand-in vectors."""
+    rows = answer.passages(_vectored_chunks(spark, d), _query_vector(spark, d))
+    return render.passage_blocks(rows).select("label", "point_id", rounded("score").alias("score"), F.md5("block").alias("digest"))
+
+
+@query
+def chain_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The chains of the answer as text, numbered after the direct claims."""
+    return answer.blocks(*_final(spark, d))[1].select("label", "block")
+
+
+@query
+def answer_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """The whole prompt of the question: direct claims, chains, passages."""
+    found = answer.passages(_vectored_chunks(spark, d), _query_vector(spark, d))
+    return answer.answer_prompt(QUESTION, *_final(spark, d), found).select(F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
+
+
 @query
 def chain_strings(spark: SparkSession, d: str) -> DataFrame:
     """Every path as a line."""
@@ -663,7 +746,7 @@ def chain_strings(spark: SparkSession, d: str) -> DataFrame:
 @query
 def context_lines(spark: SparkSession, d: str) -> DataFrame:
     """The evidence of every claim as judge context, counted and digested."""
-    said = graph.ranked_evidence(views.evidence(spark, d), views.papers(spark, d))
+    said = graph.ranked_evidence(views.evidence(spark, d), views.papers(spark, d, "study_design", "published_year"))
     rows = said.join(views.claims(spark, d).select("claim_signature", "source_name", "relation_type", "target_name"), "claim_signature")
     line = render.context_line(*(F.col(c) for c in ("source_name", "relation_type", "target_name", "paper_id", "paper_year", "section_type", "evidence_text")))
     return rows.select(F.col("claim_signature").alias("path_signature"), (F.col("_nth") - 1).alias("evidence_no"), F.md5(line).alias("digest"))
