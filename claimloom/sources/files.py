@@ -43,7 +43,7 @@ def chunk_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _json_texts(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(directory).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(directory, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return raw.select(F.regexp_extract("path", r"/(\d+)/[^/]+$", 1).cast("int").alias("paper_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "value")
 
 
@@ -77,7 +77,7 @@ def bad_files(spark: SparkSession, directory: str, pattern: str, field: str, kin
 
 def metadata_files(spark: SparkSession, directory: str, pattern: str = "*.json") -> DataFrame:
     """One row for each paper of files {"papers": [..]}; a paper in several files comes from the last by name."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(directory).select("value", F.col("_metadata.file_name").alias("_file"))
+    raw = spark.read.option("pathGlobFilter", pattern).text(directory, wholetext=True).select("value", F.col("_metadata.file_name").alias("_file"))
     rows = raw.select("_file", F.posexplode(F.from_json("value", f"struct<papers:array<{PAPER}>>")["papers"]).alias("_at", "p")).select("_file", "_at", "p.*")
     from claimloom.operators.registry import first_rows
 

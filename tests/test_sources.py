@@ -25,7 +25,7 @@ def test_json_files(spark, tmp_path):
     (tmp_path / "3").mkdir()
     one = {"entities": [{"entity_type": "Gene", "canonical_name": "TG", "aliases": ["a"], "key_properties": {"k": "v", "n": None}}]}
     (tmp_path / "3/1-abstract_entities.json").write_text(json.dumps(one))
-    (tmp_path / "3/2-results_entities.json").write_text(json.dumps([one]))
+    (tmp_path / "3/2-results_entities.json").write_text(json.dumps([one], indent=2))
     (tmp_path / "3/4-x_entities.json").write_text("{broken")
     rel = {"relations": [{"relation_type": "r", "source_entity": {"canonical_name": "A"}, "target_entity": {"canonical_name": "B"}, "claim_polarity": "negative"}, {"relation_type": "r", "source_entity": "A", "target_entity": {"canonical_name": "B"}}]}
     (tmp_path / "3/1-abstract_relations.json").write_text(json.dumps(rel))
@@ -35,7 +35,7 @@ def test_json_files(spark, tmp_path):
     assert [(r["source_name"], r["polarity"]) for r in files.relation_files(spark, str(tmp_path)).orderBy("seq").collect()] == [("A", "negative"), (None, None)]
     (tmp_path / "meta").mkdir()
     (tmp_path / "meta/a.json").write_text(json.dumps({"papers": [{"paper_id": "1", "title": "old", "keyword-page": 2}, {"paper_id": "2"}]}))
-    (tmp_path / "meta/b.json").write_text(json.dumps({"papers": [{"paper_id": "1", "title": "new"}]}))
+    (tmp_path / "meta/b.json").write_text(json.dumps({"papers": [{"paper_id": "1", "title": "new"}]}, indent=2))
     assert {r["paper_id"]: r["title"] for r in files.metadata_files(spark, str(tmp_path / "meta")).collect()} == {"1": "new", "2": None}
     (tmp_path / "q.json").write_text(json.dumps([{"question": "?", "options": {"A": "x"}, "answer": "x", "answer_idx": "A"}]))
     q = files.question_file(spark, str(tmp_path / "q.json")).first()
