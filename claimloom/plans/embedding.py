@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import or_default
+from claimloom.lineage import cut
 from claimloom.operators import graph
 from claimloom.operators.upsert import changed_texts, new_rows
 from claimloom.providers import Embedder, embedded
@@ -43,8 +44,10 @@ def backfill(rows: DataFrame, key: str, path: str, embedder: Embedder, again: bo
         version = (kept.agg(F.max("version")).first()[0] or 0) + 1
         stored = current_vectors(kept, key)
         todo = changed_texts(rows, stored.select(key, "text"), key, "text") if again else new_rows(rows, stored, key)
-    write_vectors(with_vectors(todo, key, embedder), path, key, version)
-    written = spark.read.parquet(path).where(F.col("version") == version).count()
+    fresh = cut(with_vectors(todo, key, embedder))
+    written = fresh.count()
+    if written:
+        write_vectors(fresh, path, version)
     return {"seen": rows.count(), "embedded": written}
 
 

@@ -71,7 +71,7 @@ def write_evaluation(scored: DataFrame, path: str) -> None:
     scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("system").json(path)
 
 
-def write_vectors(fresh: DataFrame, path: str, key: str, version: int) -> None:
+def write_vectors(fresh: DataFrame, path: str, version: int) -> None:
     """Vectors written back beside the table they belong to: a version of its own for each run, never inside a query. ``current_vectors`` reads the latest of each key.
 
     A version that is written again, as after a failure, replaces itself.
