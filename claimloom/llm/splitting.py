@@ -136,13 +136,19 @@ def split_chunks(chunks: DataFrame, most: int = MOST_WORDS, overlap: int = OVERL
     of points and pieces, window_count is their number, whatever the input said. section_name is the plain name, from the file name if
     missing, else null. Null texts keep one row with null text and no words. Extra columns are left out.
     """
-    rows = current_rows(chunks.select("point_id", "paper_id", "section_name", "section_type", "chunk_filename", "text", "loaded_at"), "point_id", "loaded_at")
-    pieces = planned(rows, most, overlap).select("*", F.posexplode_outer("plan").alias("piece", "_p"))
+    columns = ["point_id", "paper_id", "section_name", "section_type", "chunk_filename", "text"]
+    same = ["point_id", "_a", "_b"]
+    rows = chunks.where("point_id IS NOT NULL").select(*columns, "loaded_at", F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit(1), *columns).alias("_b"))
+    # Texts are planned where they lie. Current rows and the numbers of pieces come from plans alone, so texts are shuffled once.
+    figures = current_rows(planned(rows, most, overlap).select(*same, "loaded_at", "plan"), "point_id", "loaded_at")
+    count = F.greatest(F.size("plan"), F.lit(1))
+    by_section = Window.partitionBy(F.floor(F.col("point_id") / 1000))
+    numbered = figures.select(*same, "loaded_at", "plan", (F.sum(count).over(by_section.orderBy("point_id")) - count).alias("_before"), F.sum(count).over(by_section).cast("int").alias("window_count"))
+    texts = rows.withColumnRenamed("loaded_at", "_at").join(numbered, same).where(F.col("_at").eqNullSafe(F.col("loaded_at")))
+    once = texts.withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))).where("_copy = 1")  # exact copies
+    pieces = once.select("*", F.posexplode_outer("plan").alias("piece", "_p")).withColumn("piece", F.coalesce("piece", F.lit(0)))
     text = F.substring(F.col("text"), F.col("_p.start") + 1, F.col("_p.length"))
-    section = F.floor(F.col("point_id") / 1000)
-    by_section = Window.partitionBy("_section")
-    return pieces.withColumn("_section", section).select(
-        "point_id", "paper_id", F.coalesce("piece", F.lit(0)).alias("piece"), _section(F.col("section_name"), F.col("chunk_filename")).alias("section_name"), "section_type",
-        (F.row_number().over(by_section.orderBy("point_id", "piece")) - 1).alias("window_index"), F.count("*").over(by_section).cast("int").alias("window_count"),
+    return pieces.select(
+        "point_id", "paper_id", "piece", _section(F.col("section_name"), F.col("chunk_filename")).alias("section_name"), "section_type", (F.col("_before") + F.col("piece")).cast("int").alias("window_index"), "window_count",
         F.coalesce("_p.first_word", F.lit(0)).alias("first_word"), F.coalesce("_p.words", F.lit(0)).alias("words"), text.alias("text"),
     )
