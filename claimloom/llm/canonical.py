@@ -82,6 +82,12 @@ def map_to_terms(records: DataFrame, terms: DataFrame, index: DataFrame | None =
     return records.select(key).join(spoken, key, "left").join(chosen, key, "left").select(key, "term_id", "matched_form", "jaccard", status.alias("status"))
 
 
+def unmatched_names(records: DataFrame, mapped: DataFrame, key: str = "record_id") -> DataFrame:
+    """The report of what has no entry: ``canonical_name`` as it is written (null where a record has none), ``status`` (why), ``records``, ``first_record``."""
+    left = mapped.where("status <> 'matched'").select(key, "status").join(records.where(F.col(key).isNotNull()).select(key, "canonical_name"), key)
+    return left.groupBy("canonical_name", "status").agg(F.count("*").alias("records"), F.min(key).alias("first_record"))
+
+
 def current_registry(registry: DataFrame) -> DataFrame:
     """The current rows of an entity registry."""
     return current_rows(registry, "record_id", "updated_at")

@@ -28,8 +28,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    """The report of records without an entry, by reason."""
-    return p1_terms(spark, d).where("status <> 'matched'").groupBy("status").agg(F.count("*").alias("records"), F.min("record_id").alias("first_record"))
+    """The names without an entry, why, and how many records have them."""
+    return canonical.unmatched_names(_registry(spark, d), p1_terms(spark, d))
 
 
 def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
