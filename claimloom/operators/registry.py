@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -132,27 +133,37 @@ def forms_index(registry: DataFrame) -> DataFrame:
 
 
 def fuzzy_pairs(names: DataFrame, score: float = config.MERGE_SCORE, protected: list[str] | None = None) -> DataFrame:
-    """``early``, ``late``, ``score``: pairs of distinct names (columns name, seq) whose word-order-free ratio reaches ``score``, earlier one first.
+    """``early``, ``late``, ``score``: pairs of distinct names (columns name, seq) whose word-order-free ratio reaches ``score`` (at least 85), earlier one first.
 
-    Candidates share a rare bigram: a ratio r leaves at most (1 - r/100) x summed length edits, so two names share at least
-    one of their (edits + 1) rarest bigrams with the other; lengths and the edit distance are checked in the JVM before the score. Protected names pair with none.
+    Candidates share a rare q-gram: a ratio r leaves at most (1 - r/100) x summed length insertions and deletions, which spoil a bounded number of a name's q-grams, so
+    two names meet among one more of the rarest of either. Short names meet at 2-grams, longer ones at 3-grams, those between at both.
+    Lengths, presence of bigrams and the edit distance are checked in the JVM before the score. Protected names pair with none.
     """
+    if not 85 <= score <= 100:
+        raise ValueError("score must be 85 to 100")
     shield = [p.lower() for p in (config.PROTECTED_NAMES if protected is None else protected)]
     rows = names.where(~F.lower("name").isin(shield)).select("name", "seq", sorted_words(F.col("name")).alias("_w"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_w") - 1, F.lit(1))), lambda i: F.substring(F.col("_w"), i, 2)))
-    rows = rows.withColumn("_g", grams)
-    exploded = rows.select("name", F.explode("_g").alias("_t"))
-    counts = exploded.groupBy("_t").agg(F.count("*").alias("_n"))
-    # Of two strings, the longer is at most score/(200-score) times the shorter; each edit spoils two bigrams.
-    longest = F.length("_w") * (200 / score)
-    edits = F.floor(longest * (100 - score) / 100)
-    ordered = exploded.join(counts, "_t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_o"))
+    grams = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_w") - q + 1, F.lit(1))), lambda i: F.substring(F.col("_w"), i, q)))
     # Presence of bigrams in 128 bits: an insertion or deletion changes at most three bigrams, hence three bits.
     place = lambda g: F.pmod(F.xxhash64(g), F.lit(128))
     bits = lambda low: F.aggregate("_g", F.lit(0).cast("long"), lambda b, g: F.when((place(g) < 64) == F.lit(low), b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(g), F.lit(64)).cast("int")))).otherwise(b))
     kept = ["name", "seq", "_w", "_b", "_c"]
-    prefix = rows.withColumn("_b", bits(True)).withColumn("_c", bits(False)).join(ordered, "name").withColumn("_p", F.explode(F.slice(F.col("_o._t"), 1, (2 * edits + 1).cast("int")))).select(*kept, "_p")
-    a, b = (prefix.select(*(F.col(c).alias(f"{side}_{c}") for c in kept), "_p") for side in "ab")
+    rows = cut(rows.withColumn("_g", grams(2)).withColumn("_b", bits(True)).withColumn("_c", bits(False)).drop("_g"))
+    # Of a name of n letters, d deletions and e insertions with d + e <= part * (2n - d + e) spoil at most q * d + (q - 1) * e q-grams.
+    part = (100 - score) / 100
+    spoilt = lambda q: 2 * part * max(q / (1 + part), (q - 1) / (1 - part))
+    long = math.ceil(3 / (1 - spoilt(3)))  # from here on a 3-gram of a partner's survives
+    short = math.ceil(long * (1 + part) / (1 - part))  # no partner of a name below ``long`` is longer
+
+    def prefix(some: DataFrame, q: int) -> DataFrame:
+        each = some.select("name", F.explode(grams(q)).alias("_t"))
+        counts = each.groupBy("_t").agg(F.count("*").alias("_n"))
+        ordered = each.join(counts, "_t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_o"))
+        first = F.floor(F.length("_w") * spoilt(q) + 1e-9).cast("int") + 1
+        return some.join(ordered, "name").select(*kept, F.explode(F.slice(F.col("_o._t"), 1, first)).alias("_p"))
+
+    met = prefix(rows.where(F.length("_w") <= short), 2).unionByName(prefix(rows.where(F.length("_w") >= long), 3))
+    a, b = (met.select(*(F.col(c).alias(f"{side}_{c}") for c in kept), "_p") for side in "ab")
     changed = F.bit_count(F.col("a__b").bitwiseXOR(F.col("b__b"))) + F.bit_count(F.col("a__c").bitwiseXOR(F.col("b__c")))
     alike = changed <= 3 * F.floor((F.length("a__w") + F.length("b__w")) * (100 - score) / 100 + 1e-9)
     pairs = a.join(b, "_p").where("a_seq < b_seq").where(alike).where(may_reach(F.col("a__w"), F.col("b__w"), score)).select("a_name", "b_name").distinct()

@@ -70,6 +70,27 @@ def test_leaders_are_those_of_the_sequential_merge(rows, seed):
     assert {r["name"]: r["leader"] for r in registry.greedy_leaders(df, pairs).collect()} == greedy(names, 88)
 
 
+@pytest.mark.parametrize("score", [85, 88, 95])
+def test_resembling_names_of_all_lengths_are_found(rows, score):
+    random.seed(score)
+    names = {"a", "ab", "abc", "abca", "aaaaaaaaaa", "aaaaaaaaa"}
+    for n in range(3, 34):
+        for _ in range(3):
+            base = "".join(random.choices("abcd ", k=n)).strip() or "x"
+            for _ in range(3):
+                w = list(base)
+                for _ in range(random.randrange(1, 2 + n // 6)):
+                    i = random.randrange(len(w) + 1)
+                    w[i : i + random.randrange(2)] = random.choice(["", "a", "d", ""])
+                names |= {base, "".join(w).strip() or "y"}
+    names = sorted(names)
+    df = rows("name string, seq long", *((n, i) for i, n in enumerate(names)))
+    brute = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if sorted_ratio(a, b) >= score}
+    assert {(r["early"], r["late"]) for r in registry.fuzzy_pairs(df, score).collect()} == brute
+    with pytest.raises(ValueError):
+        registry.fuzzy_pairs(df, 80)
+
+
 def test_protected_names_pair_with_none(rows):
     df = rows("name string, seq long", ("Hypothyroidism", 1), ("Hyperthyroidism", 2), ("hyperthyroidisms", 3))
     assert registry.fuzzy_pairs(df).count() == 0

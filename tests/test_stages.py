@@ -194,3 +194,35 @@ def test_a_parsed_null_overwrites_and_a_missing_field_does_not(rows):
     defaults = rows("k int, a string, b string", (1, "x", "y"), (2, "x", "y"), (3, "x", "y"))
     parsed = rows("k int, a string, b string, fields array<string>", (1, None, None, ["a"]), (2, "z", None, ["a", "b"]))
     assert {r["k"]: (r["a"], r["b"]) for r in upsert.overlay(defaults, parsed, "k").collect()} == {1: (None, "y"), 2: ("z", None), 3: ("x", "y")}
+
+
+def test_answers_of_systems_and_names_of_model_files(spark, rows, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from claimloom.functions import text as T
+    from claimloom.operators import render
+    from claimloom.sources import files
+
+    claim = {"source_name": "a", "relation_type": "r", "target_name": "b", "evidence_list": [{"evidence_text": "said", "paper_id": 3, "paper_year": "2020", "section_type": "RESULTS"}]}
+    item = {"id": "q1", "question": "?", "answer": "x", "latency_seconds": 1.5, "context": {"vector_chunks": [{"paper_id": "3", "section_name": "s", "text": "t"}], "graph_paths": [{"claims": [claim, claim]}]}}
+    (tmp_path / "c.json").write_text(json.dumps([item, {"id": "q2"}], indent=1))
+    got = files.candidate_answers(spark, str(tmp_path / "c.json"))
+    assert sorted((r["id"], r["answer"]) for r in got.collect()) == [("q1", "x"), ("q2", None)]
+    paths = got.select(F.col("id").alias("path_signature"), F.explode("context.graph_paths").alias("p")).select("path_signature", "p.claims")
+    assert [r["line"] for r in render.context_lines(paths).collect()] == ["(a) -[r]-> (b)\nEvidence (Paper 3, 2020, RESULTS): said"] * 2
+    assert rows("m string", ("org/model:7b",)).select(T.model_file(F.col("m"))).first()[0] == "org_model_7b.json"
+
+
+def test_a_prompt_has_its_claims_chains_and_passages(rows):
+    claims = rows("claim_signature string, source_name string, relation_type string, target_name string, certainty_max string, paper_count int", ("a|r|b", "a", "r", "b", "high", 2), ("b|s|c", "b", "s", "c", None, None))
+    evidence = rows("claim_signature string, evidence_id int, evidence_text string, paper_id int, section_type string", ("a|r|b", 1, "said", 7, "RESULTS"), ("b|s|c", 2, "told", 8, None))
+    papers = rows("paper_id int, study_design string, published_year string", (7, "rct", "2020"))
+    final = rows("path_signature string, length int, rank int", ("a|r|b", 1, 2), ("a|r|b>>b|s|c", 2, 1))
+    found = rows("rank int, paper_id int, section_type string, section_name string, text string", (1, 7, "RESULTS", "Results", " words "))
+    text = answer.answer_prompt("why?", final, claims, evidence, papers, found, {"A": "yes", "B": "no"}).first()[0]
+    assert text.startswith("## QUESTION\nwhy?\n\n## OPTIONS\nA: yes\nB: no\n\n## GRAPH EVIDENCE\n[G1] a -> r -> b\n     Certainty: high | Papers: 2\n     - [P7, rct, 2020] [RESULTS] said\n\n[G2] CHAIN: a -> r -> b -> s -> c\n     Bridge: b\n     [G2.1] a -> r -> b\n")
+    assert "     [G2.2] b -> s -> c\n          Certainty: ? | Papers: ?\n\n" in text and "[V1] Paper P7 | RESULTS | Results\n     Cite as: [V1 (P7)]\n     words\n" in text and "told" not in text
+    nothing = answer.answer_prompt("why?", final.limit(0), claims, evidence, papers, found.limit(0)).first()[0]
+    assert nothing == "## QUESTION\nwhy?\n\n## GRAPH EVIDENCE\n\n## PASSAGES\n\n## ANSWER\nAnswer from the evidence above and cite it inline by its labels."
