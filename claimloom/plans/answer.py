@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom import config
+from claimloom.lineage import cut
 from claimloom.operators import graph, render, search
-from claimloom.providers import Provider, completed
+from claimloom.plans import retrieval
+from claimloom.providers import Embedder, Provider, completed
 
 CLAIM = ("source_name", "relation_type", "target_name", "certainty_max", "paper_count")
 
@@ -41,6 +43,14 @@ def answer_prompt(question: str, final: DataFrame, claims: DataFrame, evidence:
     return render.prompt(question, both, text(render.joined_blocks(render.passage_blocks(found)), "text"), options)
 
 
+def ask(question: str, entities: DataFrame, claims: DataFrame, evidence: DataFrame, papers: DataFrame, chunks: DataFrame, embedder: Embedder, provider: Provider | None = None, options: dict[str, str] | None = None, generic: list[str] | None = None) -> DataFrame:
+    """From a question to its prompt, and with a ``provider`` to its answer: one row. ``claims`` and ``chunks`` hold vectors of the embedder; the final paths, at most eight, are written once."""
+    query = list(embedder.embed([question], "query")[0])
+    final = cut(retrieval.ask(question, entities, claims, evidence, query, generic).select("path_signature", "length", "rank"))
+    prompts = answer_prompt(question, final, claims, evidence, papers, passages(chunks, query), options)
+    return answered(prompts, provider) if provider else prompts
+
+
 def answered(prompts: DataFrame, provider: Provider) -> DataFrame:
     """``prompts`` with ``response``, and ``answer``: what stands inside <answer> tags, or all of the response without them."""
     rows = prompts.withColumn("response", completed("prompt", provider))

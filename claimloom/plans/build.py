@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from claimloom import config
 from claimloom.functions import text as T
 from claimloom.operators import graph, registry
+from claimloom.plans import embedding
+from claimloom.providers import Embedder
 from claimloom.sources.sinks import _exists
 
 
@@ -67,10 +69,10 @@ def stages(entity_mentions: DataFrame, relation_mentions: DataFrame, papers: Dat
     ]
 
 
-def run(spark: SparkSession, plan: list[Stage], target: str, again: bool = False) -> list[dict]:
+def run(spark: SparkSession, plan: list[Stage], target: str, again: bool = False, embedder: Embedder | None = None) -> list[dict]:
     """Write every stage's table under ``target`` and give the run log: stage, status (built, skipped), seconds, rows.
 
-    A broken key stops the build after the table is written, and names the stage.
+    With an ``embedder`` the vector collections follow, of which only what is new or changed is embedded; their rows are those embedded. A broken key stops the build after the table is written, and names the stage.
     """
     log = []
     at = lambda name: f"{target}/{name}.parquet"
@@ -85,4 +87,13 @@ def run(spark: SparkSession, plan: list[Stage], target: str, again: bool = False
         if stage.key and not graph.duplicate_keys(rows, *stage.key).isEmpty():
             raise ValueError(f"{stage.name}: {stage.key} is not unique")
         log.append({"stage": stage.name, "status": "built", "seconds": time.time() - began, "rows": rows.count()})
+    began = time.time()
+    for name, counts in (embedding.collections(read, embedder, target) if embedder else {}).items():
+        log.append({"stage": f"{name}_vectors", "status": "built" if counts["embedded"] else "skipped", "seconds": time.time() - began, "rows": counts["embedded"]})
+        began = time.time()
     return log
+
+
+def log_rows(spark: SparkSession, log: list[dict]) -> DataFrame:
+    """A run log as run metrics for ``evaluation.run_summary``: stage, total_time_s, ram_mb (null: not measured), success."""
+    return spark.createDataFrame([(r["stage"], float(r["seconds"]), None, r["status"] in ("built", "skipped")) for r in log], "stage string, total_time_s double, ram_mb long, success boolean")

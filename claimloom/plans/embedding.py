@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,8 @@ def backfill(rows: DataFrame, key: str, path: str, embedder: Embedder, again: bo
     return {"seen": rows.count(), "embedded": written}
 
 
-def collections(table, embedder: Embedder, path: str) -> dict[str, dict[str, int]]:  # noqa: ANN001
-    """The four vector collections of a build: chunks, papers, evidence and claims. ``table`` gives the build's tables by name (points, papers, evidence, claims).
+def collections(table: Callable[[str], DataFrame], embedder: Embedder, path: str) -> dict[str, dict[str, int]]:
+    """The four vector collections of a build, ``<name>_vectors.parquet`` under ``path``: chunks, papers, evidence and claims. ``table`` gives the build's tables by name (points, papers, evidence, claims).
 
     Chunks, papers and evidence are embedded once; claims again when their text changes.
     """

@@ -28,3 +28,22 @@ def test_sections_without_content_give_the_full_text(rows):
     cut = sections.full_text_fallback(docs, headers)
     got = {(r["paper_id"], r["header"]): r["body"].strip() for r in sections.section_bodies(docs, cut).collect()}
     assert got == {(1, "Intro"): "abc", (1, "Results"): "def", (2, "Full Text"): "only text"}
+
+
+def test_a_build_with_vectors_answers_a_question(spark, rows, tmp_path):
+    from claimloom.operators import evaluation
+    from claimloom.plans import answer
+    from claimloom.providers import HashedWords
+
+    mentions, relations, _, chunks = inputs(rows)
+    papers = rows("paper_id int, study_design string, published_year string, title string, purpose_of_work string", (1, "rct", "2020", "Goitre", "To see"), (2, None, None, "Other", ""))
+    plan, one = build.stages(mentions, relations, papers, chunks), HashedWords(16)
+    log = build.run(spark, plan, str(tmp_path), embedder=one)
+    assert {r["stage"]: r["rows"] for r in log if "vectors" in r["stage"]} == {"chunks_vectors": 2, "papers_vectors": 2, "evidence_vectors": 2, "claims_vectors": 2}
+    assert {r["status"] for r in build.run(spark, plan, str(tmp_path), embedder=one)} == {"skipped"}
+    assert evaluation.run_summary(build.log_rows(spark, log)).first()["failed"] == 0
+    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}.parquet")
+    claims = read("claims").join(read("claims_vectors").drop("text", "version"), "claim_signature")
+    points = read("points").join(read("chunks_vectors").drop("text", "version"), "point_id")
+    text = answer.ask("How is Nodular Goitre treated?", read("entities"), claims, read("evidence"), read("papers"), points, one).first()["prompt"]
+    assert "[G1] Nodular Goitre -> r -> Xalase" in text and "[V1] Paper P1 | RESULTS | Results" in text and "[P1, rct, 2020] [RESULTS] said" in text
