@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,14 +73,39 @@ def partial_words_ratio(a: str, b: str) -> float:
     return max(partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), partial_ratio(*_word_sets(a, b)[1:]))
 
 
-def composite_ratio(a: str, b: str) -> float:
-    """The weighted composite score: the best of ratio and 0.95 x the word-order-free ratios; from a length ratio of 1.5 on partial ratios stand in for the latter, x 0.9, or x 0.6 beyond a length ratio of 8."""
+@lru_cache(maxsize=1 << 16)
+def _letters(text: str) -> Counter:
+    return Counter(text)
+
+
+def shared_letters(a: str, b: str) -> int:
+    """How many letters two strings share, with repeats: no less than their longest common subsequence, in whatever order their words are."""
+    if len(a) > len(b):
+        a, b = b, a
+    other = _letters(b)
+    return sum(min(n, other[c]) for c, n in _letters(a).items())
+
+
+def composite_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The weighted composite score: the best of ratio and 0.95 x the word-order-free ratios; from a length ratio of 1.5 on partial ratios stand in for the latter, x 0.9, or x 0.6 beyond a length ratio of 8.
+
+    A score below ``least`` may be given as 0, which is found out early: strings that share and repeat no word score no more than their shared letters allow.
+    """
     if not a or not b:
         return 0.0
-    lengths = max(len(a), len(b)) / min(len(a), len(b))
+    short, long = sorted((len(a), len(b)))
+    lengths = long / short
+    scale = 1.0 if lengths < 1.5 else 0.9 if lengths <= 8 else 0.6
+    if least:
+        if 100 * scale < least:
+            return 0.0
+        x, y = a.split(), b.split()
+        if not set(x) & set(y) and len(set(x)) == len(x) and len(set(y)) == len(y):
+            common = shared_letters(a, b)
+            if scale * 200 * common < least * (short + (common if scale < 1 else long)):
+                return 0.0
     if lengths < 1.5:
         return max(ratio(a, b), 0.95 * sorted_ratio(a, b), 0.95 * set_ratio(a, b))
-    scale = 0.9 if lengths <= 8 else 0.6
     return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_words_ratio(a, b))
 
 
@@ -94,6 +121,11 @@ def _scored(score):  # noqa: ANN001, ANN202
 ratio_score, sorted_score, composite_score = _scored(ratio), _scored(sorted_ratio), _scored(composite_ratio)
 
 
+def composite_score_from(least: float):  # noqa: ANN201
+    """``composite_score`` that may give 0 below ``least``."""
+    return _scored(lambda a, b: composite_ratio(a, b, least))
+
+
 def sorted_words(text: Column) -> Column:
     """The words of a text in alphabetical order."""
     return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), " ")

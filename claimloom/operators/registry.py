@@ -73,19 +73,20 @@ def claim_registry(mentions: DataFrame) -> DataFrame:
         stripped("source_name").alias("source_name"), stripped("relation_type").alias("relation_type"), stripped("target_name").alias("target_name"), "source_type", "target_type",
         F.coalesce("polarity", F.lit("positive")).alias("polarity"), F.coalesce("certainty", F.lit("moderate")).alias("certainty"), "paper_id", spoken.cast("long").alias("_spoken"), "seq",
     )
-    # Strings as aggregates would need a sort of all mentions; as keys of counts and least positions they are hashed. The mentions are gone
-    # through once: kinds and papers both come from what is written here.
+    # Strings as aggregates would need a sort of all mentions; as keys of counts and least positions they are hashed, and few kinds are left of them. Papers are
+    # as many as mentions, so they know their signature by two hashes and move without its words.
     key, kind = ["source_name", "relation_type", "target_name"], ["source_type", "target_type", "polarity", "certainty"]
-    cells = cut(rows.groupBy(*key, *kind, "paper_id").agg(F.count("*").alias("_n"), F.sum("_spoken").alias("_spoken"), F.min("seq").alias("seq")))
-    kinds = cells.groupBy(*key, *kind).agg(F.sum("_n").alias("_n"), F.sum("_spoken").alias("_spoken"), F.min("seq").alias("seq"))
-    papers = cells.where("paper_id IS NOT NULL").select(*key, "paper_id").distinct().groupBy(*key).agg(F.count("*").alias("paper_count"))
+    same = [F.xxhash64(*key).alias("_a"), F.xxhash64(F.lit(1), *key).alias("_b")]
+    kinds = rows.groupBy(*key, *kind).agg(F.count("*").alias("_n"), F.sum("_spoken").alias("_spoken"), F.min("seq").alias("seq"))
+    papers = rows.where("paper_id IS NOT NULL").select(*same, "paper_id").distinct().groupBy("_a", "_b").agg(F.count("*").alias("paper_count"))
     rank = weight(F.col("certainty"), config.CERTAINTY_RANKS, -1)
     counts = [F.sum(F.when(F.col("polarity") == p, F.col("_n")).otherwise(0)).alias(f"n_{p}") for p in config.POLARITIES]
     claims = kinds.groupBy(*key).agg(
         *counts, F.max_by("certainty", F.struct(rank, -F.col("seq"))).alias("certainty_max"), F.sum("_n").alias("mentions"), F.sum("_spoken").alias("evidence_count"),
         F.min_by("source_type", "seq").alias("source_type"), F.min_by("target_type", "seq").alias("target_type"),
-    )
-    return claims.join(papers, key, "left").withColumn("paper_count", F.coalesce("paper_count", F.lit(0).cast("long"))).withColumn("claim_signature", F.concat_ws("|", *key))
+    ).select("*", *same)
+    counted = claims.join(papers, ["_a", "_b"], "left").drop("_a", "_b")
+    return counted.withColumn("paper_count", F.coalesce("paper_count", F.lit(0).cast("long"))).withColumn("claim_signature", F.concat_ws("|", *key))
 
 
 def evidence_rows(mentions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom import config
-from claimloom.functions.similarity import composite_score, ratio_score
+from claimloom.functions.similarity import composite_score_from, ratio_score
 from claimloom.functions.text import ngrams, tokens
 from claimloom.functions.vector import cosine, literal
 from claimloom.lineage import cut
@@ -38,7 +38,7 @@ def match_entities(question_spans: DataFrame, entities: DataFrame, score: float
     few = F.broadcast(few) if few.limit(MOST_SPANS + 1).count() <= MOST_SPANS else few
     pairs = names.withColumn("_needed", needed).join(few, F.col("_size") >= F.col("_needed"))
     a, b = F.lower("span"), F.lower("name")
-    scored = pairs.withColumn("score", F.when(F.length("name") < 5, ratio_score(a, b)).otherwise(composite_score(a, b)))
+    scored = pairs.withColumn("score", F.when(F.length("name") < 5, ratio_score(a, b)).otherwise(composite_score_from(score)(a, b)))
     best = scored.groupBy("canonical_name").agg(F.max("score").alias("score")).where(F.col("score") >= score)
     return best.orderBy(F.desc("score"), "canonical_name").limit(top)
 

@@ -226,3 +226,15 @@ def test_a_prompt_has_its_claims_chains_and_passages(rows):
     assert "     [G2.2] b -> s -> c\n          Certainty: ? | Papers: ?\n\n" in text and "[V1] Paper P7 | RESULTS | Results\n     Cite as: [V1 (P7)]\n     words\n" in text and "told" not in text
     nothing = answer.answer_prompt("why?", final.limit(0), claims, evidence, papers, found.limit(0)).first()[0]
     assert nothing == "## QUESTION\nwhy?\n\n## GRAPH EVIDENCE\n\n## PASSAGES\n\n## ANSWER\nAnswer from the evidence above and cite it inline by its labels."
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scores_from_a_least_one_on_are_those_of_all(seed):
+    import random
+
+    random.seed(seed)
+    word = lambda: "".join(random.choices("abcde", k=random.randrange(1, 7)))
+    for _ in range(4000):
+        a, b = (" ".join(word() for _ in range(random.randrange(1, 5))) for _ in "ab")
+        whole, some = similarity.composite_ratio(a, b), similarity.composite_ratio(a, b, 70)
+        assert some == whole or (some == 0 and whole < 70)
