@@ -296,10 +296,10 @@ def residue(texts: DataFrame, key: str = "doc_id", host: str = "source", text: s
             yield pd.Series([residue_kind(t, () if x is None else set(x), () if y is None else set(y)) for t, x, y in zip(bodies, own, over)], dtype=object)
 
     # A text's lines depend on the text alone, so a text is known by its host and two hashes.
-    place = {"_host": host_key(host), "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)}
+    place = {"_residue_host": host_key(host), "_residue_a": F.xxhash64(text), "_residue_b": F.xxhash64(F.lit(1), text)}
     held = texts.select(*(c.alias(n) for n, c in place.items()), F.explode(own_lines(F.col(text))).alias("_line")).distinct()
-    mine = held.join(lines.select(F.col("host").alias("_host"), F.col("line").alias("_line"), F.lit(True).alias("_own")), ["_host", "_line"], "left")
+    mine = held.join(lines.select(F.col("host").alias("_residue_host"), F.col("line").alias("_line"), F.lit(True).alias("_own")), ["_residue_host", "_line"], "left")
     mine = mine.join(lines.where("host IS NULL").select(F.col("line").alias("_line"), F.lit(True).alias("_over")), "_line", "left").where("_own OR _over")
-    gathered = mine.groupBy(*place).agg(F.collect_list(F.when(F.col("_own"), F.col("_line"))).alias("_mine"), F.collect_list(F.when(F.col("_over"), F.col("_line"))).alias("_shared"))
+    gathered = mine.groupBy(*place).agg(F.collect_list(F.when(F.col("_own"), F.col("_line"))).alias("_residue_mine"), F.collect_list(F.when(F.col("_over"), F.col("_line"))).alias("_residue_shared"))
     joined = texts.withColumns(place).join(gathered, list(place), "left")
-    return joined.withColumn("residue", search_joined(F.col(text), F.col("_mine"), F.col("_shared"))).drop(*place, "_mine", "_shared")
+    return joined.withColumn("residue", search_joined(F.col(text), F.col("_residue_mine"), F.col("_residue_shared"))).drop(*place, "_residue_mine", "_residue_shared")

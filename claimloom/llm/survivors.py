@@ -103,11 +103,12 @@ def entity_keys(records: DataFrame, terms: DataFrame, index: DataFrame | None =
 
 
 def rated(records: DataFrame, keys: DataFrame) -> DataFrame:
-    """Records with an entity, with ``_filled`` (filled properties), ``completeness``, ``recency`` and ``trust``.
+    """Records with an entity (their other columns, whatever their names, left out), with ``_filled`` (filled properties), ``completeness``, ``recency`` and ``trust``.
 
     trust is 0 to 3: one point each for a name that denotes something, a form spelt as the entity's own, and a given type.
     """
-    full = records.join(keys, "record_id").withColumn("_filled", filled_properties(F.col("key_properties"))).withColumn("_name_key", match_keys("canonical_name"))
+    own = dict.fromkeys(["record_id", "build_id", "canonical_name", "entity_type", "key_properties", "paper_ids", "updated_at"])
+    full = records.select(*own).join(keys.select("record_id", "entity_key", "exact"), "record_id").withColumn("_filled", filled_properties(F.col("key_properties"))).withColumn("_name_key", match_keys("canonical_name"))
     named = (F.coalesce("_name_key", F.lit("")) != "") & ~is_generic(F.coalesce("_name_key", F.lit("")))
     trust = named.cast("int") + F.col("exact").cast("int") + (F.trim(F.coalesce("entity_type", F.lit(""))) != "").cast("int")
     return full.withColumn("completeness", F.size("_filled")).withColumn("recency", F.col("updated_at")).withColumn("trust", trust).withColumn("_named", named)

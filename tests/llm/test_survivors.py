@@ -106,6 +106,16 @@ def test_best_records_are_those_of_peeling(rows, monkeypatch, most):
         assert r["key_properties"] == {k: next(x[2][k] for x in order if k in x[2]) for k in "abcde" if any(k in x[2] for x in mine)}
 
 
+def test_columns_of_clashing_names_do_not_matter(rows, registry):
+    terms = rows(TERM, (1, "D", "Nodular Goitre", ["NG"]))
+    clash = registry
+    for c in ("entity_key", "exact", "layer", "completeness", "recency", "trust", "_filled", "_0", "survivor_id", "term_id", "form_key", "_named"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    plain = lambda df: sorted(map(str, df.collect()))
+    keys = S.entity_keys(clash, terms)
+    assert plain(S.best_records(clash, keys)) == plain(S.best_records(registry, S.entity_keys(registry, terms)))
+
+
 def test_empty(rows, registry):
     keys = S.entity_keys(registry.limit(0), rows(TERM, (1, "D", "Nodular Goitre", None)))
     assert S.best_records(registry.limit(0), keys).count() == 0
