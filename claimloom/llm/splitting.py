@@ -138,13 +138,14 @@ def split_chunks(chunks: DataFrame, most: int = MOST_WORDS, overlap: int = OVERL
     """
     columns = ["point_id", "paper_id", "section_name", "section_type", "chunk_filename", "text"]
     same = ["point_id", "_a", "_b"]
-    rows = chunks.where("point_id IS NOT NULL").select(*columns, "loaded_at", F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit(1), *columns).alias("_b"))
+    rows = chunks.where("point_id IS NOT NULL").select(*columns, "loaded_at", F.xxhash64(*columns, "loaded_at").alias("_a"), F.xxhash64(F.lit(1), *columns, "loaded_at").alias("_b"))
     # Texts are planned where they lie. Current rows and the numbers of pieces come from plans alone, so texts are shuffled once.
     figures = current_rows(planned(rows, most, overlap).select(*same, "loaded_at", "plan"), "point_id", "loaded_at")
     count = F.greatest(F.size("plan"), F.lit(1))
     by_section = Window.partitionBy(F.floor(F.col("point_id") / 1000))
-    numbered = figures.select(*same, "loaded_at", "plan", (F.sum(count).over(by_section.orderBy("point_id")) - count).alias("_before"), F.sum(count).over(by_section).cast("int").alias("window_count"))
-    texts = rows.withColumnRenamed("loaded_at", "_at").join(numbered, same).where(F.col("_at").eqNullSafe(F.col("loaded_at")))
+    numbered = figures.select(*same, "plan", (F.sum(count).over(by_section.orderBy("point_id")) - count).alias("_before"), F.sum(count).over(by_section).cast("int").alias("window_count"))
+    # A merge join keeps the texts where the copies are told apart; a broadcast join, found late, would shuffle them again.
+    texts = rows.drop("loaded_at").join(numbered.hint("merge"), same)
     once = texts.withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))).where("_copy = 1")  # exact copies
     pieces = once.select("*", F.posexplode_outer("plan").alias("piece", "_p")).withColumn("piece", F.coalesce("piece", F.lit(0)))
     text = F.substring(F.col("text"), F.col("_p.start") + 1, F.col("_p.length"))
