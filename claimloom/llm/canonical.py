@@ -10,7 +10,7 @@ from claimloom.llm.names import gram_set, is_generic, match_keys, same_but_for_t
 from claimloom.llm.setjoin import jaccard_join
 from claimloom.sources.tables import current_rows
 
-#: Least Jaccard similarity of the 3-gram sets of a name and a reference form. Two letters that changed places leave 0.4 of a name of nine letters, and more of longer ones.
+#: Least Jaccard similarity of the 3-gram sets of a name and a reference form. Two letters that changed places leave it in names of ten letters or more, two replaced apart in names of fourteen or more, four cut off in names of nine or more.
 SIMILARITY = "0.4"
 
 
