@@ -14,7 +14,7 @@ def checkpoint_dir(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
     now = context.getCheckpointDir()
     if now is None:
-        named = context.getConf().get("spark.checkpoint.dir")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not named:
             if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

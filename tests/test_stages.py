@@ -159,12 +159,13 @@ def test_leaders_of_a_long_chain(spark, rows):
 
 
 def test_a_cluster_needs_a_checkpoint_folder(monkeypatch):
-    def session(master, named):
+    def session(master, named, of_session=None):
         where = []
         context = types.SimpleNamespace(master=master, getCheckpointDir=lambda: where[0] if where else None, setCheckpointDir=where.append, getConf=lambda: types.SimpleNamespace(get=lambda _: named))
-        return types.SimpleNamespace(sparkSession=types.SimpleNamespace(sparkContext=context))
+        return types.SimpleNamespace(sparkSession=types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda _, __: of_session)))
 
     assert lineage.checkpoint_dir(session("spark://x:7077", "/shared")) == "/shared"
+    assert lineage.checkpoint_dir(session("spark://x:7077", None, "/session")) == "/session"
     assert "claimloom-" in lineage.checkpoint_dir(session("local[4]", None))
     for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
