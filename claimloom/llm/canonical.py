@@ -48,11 +48,12 @@ def closest_terms(keys: DataFrame, forms: DataFrame, similarity: str = SIMILARIT
     """For each distinct ``form_key`` of ``keys`` the entries behind its closest reference forms: ``form_key``, ``term_id``, ``term_type``, ``jaccard``, ``edits``.
 
     A set-similarity join by rare prefixes finds all forms of at least ``similarity``; of these, forms count that differ from the key by typing only.
+    Two edits change at most six 3-grams of either, a cut end leaves all but the last of the shorter one.
     The highest similarity wins, then the least number of edits; entries that share the best form, or tie, all stay.
     """
     forms = cut(forms)
     sets = lambda df: df.select("form_key").distinct().withColumn("_grams", gram_set(F.col("form_key")))
-    good = jaccard_join(sets(keys), sets(forms), "form_key", "_grams", similarity, also=same_but_for_typing).withColumn("edits", F.levenshtein("left_key", "right_key"))
+    good = jaccard_join(sets(keys), sets(forms), "form_key", "_grams", similarity, also=same_but_for_typing, lost=(6, 1)).withColumn("edits", F.levenshtein("left_key", "right_key"))
     rank = F.rank().over(Window.partitionBy("left_key").orderBy(F.desc("jaccard"), "edits"))
     best = good.withColumn("_rank", rank).where("_rank = 1").select(F.col("left_key").alias("form_key"), F.col("right_key").alias("_form"), "jaccard", "edits")
     return best.join(forms.withColumnRenamed("form_key", "_form"), "_form").groupBy("form_key", "term_id").agg(F.first("term_type").alias("term_type"), F.max("jaccard").alias("jaccard"), F.min("edits").alias("edits"))

@@ -1,4 +1,4 @@
-"""Exact join of keys that differ by typing only, by segments and beginnings."""
+"""Exact join of keys that differ by typing only, by rare 3-grams and beginnings."""
 
 from __future__ import annotations
 
@@ -6,41 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.lineage import cut
-from claimloom.llm.names import grams, same_but_for_typing
-
-
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of the ``i``-th of ``edits`` + 1 segments of a key of ``length`` characters."""
-    at = lambda j: F.floor(length * j / (edits + 1)).cast("int")
-    return at(i), at(i + 1) - at(i)
+from claimloom.llm.names import few_letters_differ, gram_set, grams, letters, same_but_for_typing
+from claimloom.llm.setjoin import ordered
 
 
 def _hash(kind: str, *parts: Column) -> Column:
     return F.xxhash64(F.lit(kind), *parts)
 
 
-def _asked(key: Column, edits: int, least: int) -> Column:
-    """The tokens a key looks for: itself, and where a near key of each length would hold each segment unchanged."""
-    n, tokens = F.length(key), []
-    for longer in range(-edits, edits + 1):  # the other key's length less this one's
-        for i in range(edits + 1):
-            start, size = _segment(n + longer, i, edits)
-            rest = edits - i  # a segment that moved by more than i has a whole segment after it, by more than rest seen from the end one before it
-            for move in range(max(-i, -longer - rest), min(i, -longer + rest) + 1):
-                inside = (n >= least) & (n + longer >= least) & (start + move >= 0) & (start + move + size <= n)
-                tokens.append(F.when(inside, _hash("segment", n + longer, F.lit(i), F.substring(key, start + move + 1, size))))
-    return F.concat(F.filter(F.array(*tokens), lambda t: t.isNotNull()), F.array(_hash("whole", key)))
-
-
-def _offered(key: Column, edits: int, least: int) -> Column:
-    """The tokens a key is found by."""
-    n, tokens = F.length(key), []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        tokens.append(F.when(n >= least, _hash("segment", n, F.lit(i), F.substring(key, start + 1, size))))
-    return F.concat(F.filter(F.array(*tokens), lambda t: t.isNotNull()), F.array(_hash("whole", key)))
-
-
 def _cut_ends(whole: DataFrame, key: str, short: DataFrame, other: str, least: int) -> DataFrame:
     """``key``, ``other``: the keys of ``short`` that may be beginnings, of ``least`` characters or more, of a longer key of ``whole``. Beginnings carry a hash, not the key."""
     ends = F.when(F.length(key) > least, F.sequence(F.lit(least), F.length(key) - 1)).otherwise(F.array().cast("array<int>"))
@@ -51,16 +24,21 @@ def _cut_ends(whole: DataFrame, key: str, short: DataFrame, other: str, least: i
 def typing_join(left: DataFrame, right: DataFrame | None, key: str, threshold: str | float, edits: int = 2, least: int = 8) -> DataFrame:
     """All pairs that ``same_but_for_typing`` accepts and whose n-gram sets have a Jaccard similarity of at least ``threshold``: ``left_key``, ``right_key``, ``jaccard``.
 
-    Of ``edits`` + 1 segments of a key, ``edits`` edits leave one whole and near its place; a cut key is a beginning of the other. Keys meet at
-    these tokens, whose number is fixed by their length, so no pair depends on how frequent its words are.
+    An edit changes three 3-grams of either key at most, so of its 3 ``edits`` + 1 rarest one is common; a cut key is a beginning of the other. Words of a
+    fixed vocabulary are among the rarest of short keys only, so keys that share no more than these hardly meet; which pairs are found does not depend on it.
     Keys must be unique; null keys and keys without words have no partner. ``right=None`` joins ``left`` with itself, each pair once, left_key < right_key.
     """
     own = right is None
     some = lambda df, name: df.select(F.col(key).alias(name)).where(F.trim(name) != "")
     a, b = some(left, "left_key"), some(left if own else right, "right_key")
-    asked = a.select("left_key", F.explode(F.array_distinct(_asked(F.col("left_key"), edits, least))).alias("_token"))
-    offered = b.select("right_key", F.explode(F.array_distinct(_offered(F.col("right_key"), edits, least))).alias("_token"))
-    met = asked.join(offered, "_token").select("left_key", "right_key")
+    sets = lambda df, name: df.select(name, gram_set(F.col(name)).alias("_grams"))
+    every = sets(a, "left_key") if own else sets(a, "left_key").unionByName(sets(b.withColumnRenamed("right_key", "left_key"), "left_key"))
+    frequency = cut(every.select(F.explode("_grams").alias("_token")).groupBy("_token").agg(F.count("*").alias("_n")))
+    rarest = lambda df, name: ordered(sets(df, name), name, "_grams", frequency).select(name, letters(F.col(name)).alias(f"{name}_letters"), F.explode(F.slice("_set", 1, 3 * edits + 1)).alias("_token"))
+    asked = cut(rarest(a, "left_key"))
+    offered = asked.select(F.col("left_key").alias("right_key"), F.col("left_key_letters").alias("right_key_letters"), "_token") if own else rarest(b, "right_key")
+    near = few_letters_differ(F.col("left_key_letters"), F.col("right_key_letters"), edits)
+    met = asked.join(offered, "_token").where(near).select("left_key", "right_key")
     ends = _cut_ends(b, "right_key", a, "left_key", least)
     if own:
         met = met.where("left_key < right_key")  # a beginning is less than its key

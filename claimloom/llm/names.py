@@ -95,6 +95,20 @@ def same_variant(a: Column, b: Column) -> Column:
     return both(r"(?<![^ ])[0-9]+(?![^ ])", F.lit(0)) & both(r"\big[adegm]\b", F.lit(0)) & (code(a) == code(b)) & ((head(a) == head(b)) | (head(a) == "") | (head(b) == ""))
 
 
+def letters(key: Column) -> Column:
+    """How often each letter from a to z occurs in a key, as two bits each of a number (a Gray code of the count modulo 4, so one more of a letter changes one bit). Null gives null."""
+    bits = F.lit(0).cast("bigint")
+    for i in range(26):
+        n = F.pmod(F.length(key) - F.length(F.replace(key, F.lit(chr(97 + i)), F.lit(""))), F.lit(4))
+        bits = bits.bitwiseOR(F.when(n == 1, 1 << 2 * i).when(n == 2, 3 << 2 * i).when(n == 3, 2 << 2 * i).otherwise(0).cast("bigint"))
+    return F.when(key.isNotNull(), bits)
+
+
+def few_letters_differ(a: Column, b: Column, edits: int) -> Column:
+    """Whether ``letters`` of two keys leave it open that ``edits`` edits lead from one to the other: an edit changes two bits at most."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * edits
+
+
 def same_but_for_typing(a: Column, b: Column, edits: int = 2, least: int = 8) -> Column:
     """Whether two keys differ by at most ``edits`` edits or a cut-off end. Keys under ``least`` characters must be equal."""
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))

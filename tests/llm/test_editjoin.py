@@ -44,3 +44,28 @@ def test_the_typing_join_loses_no_pair(rows, seed):
     want = flat(brute(half, df).select("k", "m", "j"))
     assert len(want) > len(keys) and flat(typing_join(half, df, "k", "0.2")) == want
     assert flat(typing_join(df, None, "k", "0.2")) == flat(brute(df, df).where("k < m").select("k", "m", "j"))
+
+
+def test_names_that_share_their_words_only_are_not_compared(rows, monkeypatch):
+    from claimloom.llm import editjoin
+
+    random.seed(3)
+    keys = sorted({f"{''.join(random.choices('abcdefghiklmnoprstuvwx', k=9))} deficiency syndrome" for _ in range(150)})
+    monkeypatch.setattr(editjoin, "same_but_for_typing", lambda *_: F.lit(True))
+    compared = editjoin.typing_join(rows("k string", *((k,) for k in keys), (f"{keys[0]}x",)), None, "k", "0.0").count()
+    assert 1 <= compared < len(keys)  # of more than 11 000 pairs that share two segments
+
+
+def test_shorter_prefixes_lose_no_pair_that_differs_by_typing(rows):
+    from claimloom.llm import setjoin
+    from claimloom.llm.names import gram_set, same_but_for_typing
+
+    random.seed(4)
+    bases = ["".join(random.choices("abcd", k=random.randrange(6, 24))) for _ in range(40)]
+    keys = sorted({typo(b, random.randrange(4)) for b in bases for _ in range(8)} | {b[: random.randrange(4, len(b) + 1)] for b in bases for _ in range(3)} | set(bases))
+    df = rows("k string", *((k,) for k in keys)).withColumn("t", gram_set(F.col("k")))
+    half = df.where(F.col("k").isin(keys[::2]))
+    flat = lambda **lost: sorted((x, y) for x, y, _ in setjoin.jaccard_join(half, df, "k", "t", "0.4", also=same_but_for_typing, **lost).collect())
+    want = flat()
+    assert len(want) > len(keys) and flat(lost=(6, 1)) == want
+    assert len(flat(lost=(0, 0))) < len(want)
