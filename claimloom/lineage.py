@@ -29,3 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there."""
     checkpoint_dir(df)
     return df.checkpoint(eager=True)
+
+
+def released(df: DataFrame) -> DataFrame:
+    """``df`` as a plan of its own, to be run once: its shuffle files go as soon as it has run, not when the driver happens to collect garbage (since Spark 4.1; earlier ones ignore the setting)."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return df.select("*")  # a plan takes the setting when it is made
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.lineage import cut
+from claimloom.lineage import cut, released
+from claimloom.llm.shelf import Kept, Shelf
 
 #: Vectors per part, most vectors that one router is learned from, aimed-at recall of routing, most index rows and queries of a task.
 PART_ROWS, FIT_ROWS, RECALL, BLOCK_ROWS, QUERY_ROWS = 2_048, 20_000, 0.96, 32_768, 131_072
@@ -32,8 +33,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _top(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and single-precision products of the k best rows for each query, in blocks, unordered.
+def _top(queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and single-precision products of the k best rows for each query, in blocks, unordered; -inf where fewer reach ``least``, if that is given.
 
     The k-th best of every fourth product is a floor that the k-th best of all cannot lie under; only the products above it are compared further.
     """
@@ -44,13 +45,17 @@ def _top(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.
     step, stride = max(1, 2_000_000 // max(1, n)), 4 if n >= 32 * k else 1
     for i in range(0, len(queries), step) if k else ():
         products = queries[i : i + step].astype(np.float32) @ flat
-        some = np.ascontiguousarray(products[:, ::stride])
-        floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k]
+        if least is not None and np.isfinite(least[i : i + step]).all():
+            floor = least[i : i + step]
+        else:
+            some = np.ascontiguousarray(products[:, ::stride])
+            floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k]
         flat_at = np.flatnonzero((products >= floor[:, None]).ravel())
         at = flat_at // n
         counts = np.bincount(at, minlength=len(products))
         slot = np.arange(len(at)) - (counts.cumsum() - counts)[at]
-        kept, column = np.full((len(products), counts.max()), -np.inf, dtype=np.float32), np.zeros((len(products), counts.max()), dtype=np.int64)
+        most = max(k, counts.max())
+        kept, column = np.full((len(products), most), -np.inf, dtype=np.float32), np.zeros((len(products), most), dtype=np.int64)
         kept[at, slot], column[at, slot] = products.ravel()[flat_at], flat_at - at * n
         best = np.argpartition(kept, kept.shape[1] - k, axis=1)[:, kept.shape[1] - k :]
         where[i : i + step], value[i : i + step] = np.take_along_axis(column, best, axis=1), np.take_along_axis(kept, best, axis=1)
@@ -205,18 +210,20 @@ def _tree(leaves: int, fan: int) -> tuple[int, int]:
 def nearest(vectors: DataFrame, key: str, vector: str, dimensions: int, k: int = 10, part_rows: int = PART_ROWS, fit_rows: int = FIT_ROWS, recall: float = RECALL, fan: int = FAN, siblings: int = SIBLINGS) -> DataFrame:
     """``key``, ``neighbour``, ``cosine``, ``rank`` (1..k): the k most similar others of every usable vector.
 
-    ``key`` must be unique. Unusable vectors (null, wrong length, null, infinite or not-a-number entries, all zero) neither ask nor answer. Ties go to the lower key.
+    ``key`` must be a unique integer. Unusable vectors (null, wrong length, null, infinite or not-a-number entries, all zero) neither ask nor answer. Ties go to the lower key.
     There is one part for ``part_rows`` vectors, however many there are: a router tells up to ``fan`` parts apart, and beyond that each part has a router of its own, and so on.
-    A router is learned from at most ``fit_rows`` vectors of its part, chosen by a hash of the key; every vector is indexed in its most
-    probable part and asks its most probable parts, as many as the aimed-at ``recall`` needs; candidates are reranked in double precision. ``siblings``
-    neighbouring parts are searched by one task, to which a vector is sent once.
+    A router is learned from at most ``fit_rows`` vectors of its part; every vector is indexed in its most
+    probable part and asks its most probable parts, as many as the aimed-at ``recall`` needs; candidates are reranked in double precision.
+    A vector is written once, with its part, to files in the checkpoint folder, ``siblings`` neighbouring parts to a file. The vectors of a piece of a file ask together, in one task,
+    which reads the parts that they probe from the files; so no vector is copied for its probes, and the files are gone when this returns.
     Vectors that are exactly equal are searched once, by their least key, and the results given to all. Parts that
-    outgrow a task are searched in blocks, so nothing is capped. With few vectors all lie in one part and the search is exact.
+    outgrow a task are read in blocks, so nothing is capped. With few vectors all lie in one part and the search is exact.
     """
-    rows = cut(vectors.where(F.col(key).isNotNull() & usable(vector, dimensions)).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v")))
-    same = cut(_identical(rows, "id", "v"))
+    rows = cut(released(vectors.where(F.col(key).isNotNull() & usable(vector, dimensions)).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))))
+    same = cut(released(_identical(rows, "id", "v")))
+    few = _hinted(same.count())
     copies = same.where("id <> rep")
-    single = rows.join(copies.select("id"), "id", "left_anti")
+    single = rows.join(few(copies.select("id")), "id", "left_anti")
     count = rows.count() - copies.count()
     depth, parts = _tree(max(1, -(-count // part_rows)), fan)
     sample = np.empty((0, dimensions))
@@ -224,8 +231,21 @@ def nearest(vectors: DataFrame, key: str, vector: str, dimensions: int, k: int =
         chosen = single.where(_sampled(min(1.0, 1.1 * fit_rows / count), 3)).orderBy("id").limit(fit_rows)
         sample = _unit(_matrix(chosen.select("v").toArrow()["v"], dimensions))
     router = learn_router(sample, parts, k, recall ** (1 / depth))
-    found = _searched(_sent(single, router, count, dimensions, k, depth, parts, fit_rows, recall ** (1 / depth), siblings), dimensions, k)
-    return _spread(found, same, k, key)
+    shelf = Shelf.beside(rows)
+    try:
+        index = _Index(shelf, dimensions, depth, parts, [pa.table({"node": pa.array([0], pa.int64()), "file": [shelf.put(pickle.dumps(vars(router)))]})])
+        segments = _shelved(single, index, router, count, siblings if depth == 1 else 1)
+        for _ in range(2, depth + 1):
+            segments = _divided(rows.sparkSession, index, segments, k, fit_rows, recall ** (1 / depth))
+        found = cut(_searched(rows.sparkSession, index, segments, k, max(1, min(QUERY_ROWS, siblings * part_rows)), rows.schema["id"].dataType.simpleString()))
+    finally:
+        shelf.remove()
+    return _spread(found, same, k, key, few)
+
+
+def _hinted(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """A hint to broadcast what comes of so many rows of keys, if that is little; other joins are left to adaptive execution, which shuffles both sides before it knows."""
+    return F.broadcast if rows <= BLOCK_ROWS else lambda df: df
 
 
 def _sampled(share: float, salt: int) -> Column:
@@ -233,154 +253,227 @@ def _sampled(share: float, salt: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def _routed(batch: pa.RecordBatch, router: Router, node: np.ndarray, own: np.ndarray, parts: int, dim: int) -> pa.RecordBatch:
-    """Vectors sent on from their node to its most probable parts; one that lies in the node (``own``) lies in the first."""
-    ranked = router.ranked(_unit(_matrix(batch.column("v"), dim)), min(router.probes, router.parts))
-    width = ranked.shape[1]
-    sent = batch.select(["id", "v"]).take(pa.array(np.repeat(np.arange(batch.num_rows), width)))
-    first = (np.tile(np.arange(width) == 0, batch.num_rows)) & np.repeat(own, width)
-    return pa.RecordBatch.from_arrays([sent.column("id"), sent.column("v"), pa.array((node[:, None] * parts + ranked).ravel()), pa.array(first)], names=["id", "v", "node", "own"])
+#: A run of vectors of one node in a file of ``rows`` vectors.
+SEGMENT = "node bigint, file string, rows bigint, start bigint, held bigint"
 
 
-def _grouped(batch: pa.RecordBatch, router: Router, node: np.ndarray, own: np.ndarray, held: np.ndarray, parts: int, siblings: int, dim: int) -> pa.RecordBatch:
-    """Vectors sent to the cells of neighbouring parts that they probe, once a cell: ``parts`` probed there, ``mine`` the part they lie in (-1: elsewhere), blocks of index and queries of the cell.
+@dataclass
+class _Index:
+    """The shelf of the vectors, and the files of the routers of each level by node."""
 
-    ``held`` is the number of vectors in the node as far as it is known.
-    """
-    ranked = router.ranked(_unit(_matrix(batch.column("v"), dim)), min(router.probes, router.parts))
-    home = np.where(own, node * parts + ranked[:, 0], -1)
-    child = np.sort(ranked, axis=1)
-    cell = child // siblings
-    begins = np.ones(cell.shape, dtype=bool)
-    begins[:, 1:] = cell[:, 1:] != cell[:, :-1]
-    at = np.flatnonzero(begins)
-    row, local = at // cell.shape[1], cell.ravel()[at]
-    per_node = -(-parts // siblings)
-    starts = np.arange(0, router.parts, siblings)
-    index, queries = np.add.reduceat(router.load, starts), np.maximum.reduceat(router.asked, starts)
-    blocks = lambda share, most: np.maximum(1, np.ceil(share[local] * held[row] / most)).astype(np.int32)
-    offsets = np.append(at, child.size).astype(np.int32)
-    there = (node[row] * parts + local * siblings <= home[row]) & (home[row] < node[row] * parts + np.minimum((local + 1) * siblings, parts))
-    return pa.RecordBatch.from_arrays(
-        [batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(node[row] * per_node + local), pa.ListArray.from_arrays(pa.array(offsets), pa.array((node[:, None] * parts + child).ravel())),
-         pa.array(np.where(there, home[row], -1)), pa.array(blocks(index, BLOCK_ROWS)), pa.array(blocks(queries, QUERY_ROWS))],
-        names=["id", "v", "cell", "parts", "mine", "ibs", "qbs"],
-    )
+    shelf: Shelf
+    dim: int
+    depth: int
+    parts: int
+    routers: list[pa.Table]
 
+    def reader(self) -> Callable[[int, int], Router]:
+        """The router of a level and node, for one task. A node without vectors of its own has a single part."""
+        kept, single = Kept(self.shelf), learn_router(np.empty((0, self.dim)), 1)
+        names = [dict(zip(t.column("node").to_pylist(), t.column("file").to_pylist())) for t in self.routers]
+        return lambda level, node: Router(**kept[names[level][node]]) if node in names[level] else single
 
-def _sent(single: DataFrame, router: Router, count: int, dim: int, k: int, depth: int, parts: int, fit_rows: int, recall: float, siblings: int) -> DataFrame:
-    """Every vector with the cells that it is sent to (see ``_grouped``), by one router or a tree of them."""
-    kind = single.schema["id"].dataType.simpleString()
-    last = f"id {kind}, v array<float>, cell bigint, parts array<bigint>, mine bigint, ibs int, qbs int"
+    def kept(self) -> _Index:
+        """The same with its lists of routers on the shelf, to be sent to tasks."""
+        return _Sent(self.shelf, self.dim, self.depth, self.parts, [self.shelf.put_table(t) for t in self.routers])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if n := batch.num_rows:
-                node, own = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-                yield _grouped(batch, router, node, own, np.full(n, count), parts, siblings, dim) if depth == 1 else _routed(batch, router, node, own, parts, dim)
 
-    rows = single.mapInArrow(first, last if depth == 1 else f"id {kind}, v array<float>, node bigint, own boolean")
-    for level in range(2, depth + 1):
-        rows = _sent_on(cut(rows), kind, count / parts ** (level - 1), level == depth, dim, k, parts, fit_rows, recall, siblings, last)
-    return rows
+class _Sent(_Index):
+    """An index whose lists of routers are files."""
 
+    def reader(self) -> Callable[[int, int], Router]:
+        return _Index(self.shelf, self.dim, self.depth, self.parts, [self.shelf.table(t) for t in self.routers]).reader()
 
-def _sent_on(rows: DataFrame, kind: str, expected: float, final: bool, dim: int, k: int, parts: int, fit_rows: int, recall: float, siblings: int, last: str) -> DataFrame:
-    """The next level of the tree: a router for each node, learned where the node's sample is, is put before the node's vectors, which stream past it.
 
-    A node's vectors may be spread over several tasks, each of which gets the router. A node without sampled vectors has a single part.
-    """
-    share = min(1.0, 1.1 * fit_rows / max(1.0, expected))
-
-    def learnt(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy(zero_copy_only=False), kind="stable")
-        x = _unit(_matrix(table.column("v"), dim))[order][np.random.default_rng(7).permutation(len(order))[:fit_rows]]
-        router = learn_router(x, parts, k, recall)
-        return pa.table({"node": pa.array([key[0].as_py()]), "router": pa.array([pickle.dumps(vars(router))]), "held": pa.array([len(order) / share])})
-
-    routers = cut(rows.where("own").where(_sampled(share, 4)).select("node", "id", "v").groupBy("node").applyInArrow(learnt, "node bigint, router binary, held double"))
-    spread = max(1, int(np.ceil(expected * 4 / QUERY_ROWS)))
-    models = routers.select("node", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"), "router", "held", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("array<float>").alias("v"), F.lit(False).alias("own"))
-    asked = rows.select("node", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("router"), F.lit(None).cast("double").alias("held"), "id", "v", "own")
-    ordered = models.unionByName(asked).repartition("node", "salt").sortWithinPartitions("node", "salt", F.col("router").isNull())
-
-    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_part = learn_router(np.empty((0, dim)), 1)
-        router, of, held = single_part, None, 0.0
+def _runs(node: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Node, first and last row but one of each run of equal nodes."""
+    edges = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.empty(0, dtype=np.int64)
+    return zip(node[edges].tolist(), edges.tolist(), np.append(edges[1:], len(node)).tolist())
+
+
+def _filed(shelf: Shelf, ids: np.ndarray, x: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Vectors in the order of their nodes put in a file; its segments."""
+    name, runs = shelf.put_vectors(ids, x), list(_runs(node))
+    n = len(runs)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in runs], pa.int64()), pa.array([name] * n), pa.array([len(ids)] * n, pa.int64()), pa.array([a for _, a, _ in runs], pa.int64()), pa.array([b - a for _, a, b in runs], pa.int64())],
+        names=["node", "file", "rows", "start", "held"],
+    )
+
+
+def _shelved(single: DataFrame, index: _Index, router: Router, count: int, siblings: int) -> pa.Table:
+    """Every vector written to the shelf, in files of ``siblings`` neighbouring nodes of the first router; the segments. Files of many vectors are split by a hash of the key."""
+    shelf, dim = index.shelf, index.dim
+    salts = np.maximum(1, np.ceil(np.add.reduceat(router.load, np.arange(0, router.parts, siblings)) * count / BLOCK_ROWS)).astype(np.uint64)
+    most = BLOCK_ROWS
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("id").cast(pa.int64())
+                node = router.ranked(_unit(_matrix(batch.column("v"), dim)), 1)[:, 0].astype(np.int64)
+                cell = node // siblings
+                salt = (ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % salts[cell]
+                yield pa.RecordBatch.from_arrays([ids, batch.column("v"), pa.array(node), pa.array(cell << 32 | salt.astype(np.int64))], names=["id", "v", "node", "cell"])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held, of = [], 0, -1
+        file = lambda: _filed(shelf, *(np.concatenate(c) for c in zip(*waiting)))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, salt, model = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "salt", "router"))
-            new = np.array([m is not None for m in model])
-            edges = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (salt[1:] != salt[:-1]) | new[1:] | new[:-1]))
-            for a, b in zip(edges, np.append(edges[1:], batch.num_rows)):
-                if new[a]:
-                    router, of, held = Router(**pickle.loads(model[a])), node[a], batch.column("held")[int(a)].as_py()
-                    continue
-                if node[a] != of:
-                    router, of, held = single_part, node[a], 0.0
-                part = batch.slice(a, b - a).select(["id", "v", "own"])
-                own = part.column("own").to_numpy(zero_copy_only=False)
-                yield _grouped(part, router, node[a:b], own, np.full(b - a, held), parts, siblings, dim) if final else _routed(part, router, node[a:b], own, parts, dim)
-
-    return ordered.mapInArrow(on, last if final else f"id {kind}, v array<float>, node bigint, own boolean")
-
-
-def _searched(sent: DataFrame, dim: int, k: int) -> DataFrame:
-    """``id``, ``near``: array of (negative cosine, id) of at most k others, best first. Where a cell has several blocks, each block of queries meets each block of the index."""
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    meets = lambda i, q, asks, tells: F.struct(i.alias("ib"), q.alias("qb"), F.lit(asks).alias("asks"), F.lit(tells).alias("tells"))
-    one = (F.col("ibs") == 1) & (F.col("qbs") == 1)
-    asked = F.transform(every("ibs"), lambda i: meets(i, block("qbs", 1), True, False))
-    told = F.when(F.col("mine") >= 0, F.transform(every("qbs"), lambda q: meets(block("ibs", 2), q, False, True))).otherwise(F.array().cast("array<struct<ib:int,qb:int,asks:boolean,tells:boolean>>"))
-    sent = sent.withColumn("_b", F.explode(F.when(one, F.array(meets(F.lit(0), F.lit(0), True, True))).otherwise(F.concat(asked, told)))).select("id", "v", "cell", "parts", "mine", "_b.*")
-
-    def searched(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, x = table.column("id").combine_chunks(), _unit(_matrix(table.column("v"), dim))
-        numbers, mine = ids.to_numpy(zero_copy_only=False), table.column("mine").to_numpy(zero_copy_only=False)
-        tells, asks = table.column("tells").to_numpy(zero_copy_only=False) & (mine >= 0), np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
-        lists = table.column("parts").combine_chunks()
-        probed, asker = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        width = k + 9
-        at, value = np.zeros((len(numbers), width), dtype=np.int64), np.full((len(numbers), width), -np.inf, dtype=np.float32)
-        is_asking = np.zeros(len(numbers), dtype=bool)
-        is_asking[asks] = True
-        for part in np.unique(mine[tells]):
-            index = np.flatnonzero(tells & (mine == part))
-            rows = asker[(probed == part) & is_asking[asker]]
-            where, near = _top(x[rows], x[index], width)
-            both, gain = np.hstack([at[rows], index[where]]), np.hstack([value[rows], near])
-            best = np.argpartition(-gain, width - 1, axis=1)[:, :width]
-            at[rows], value[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(gain, best, axis=1)
-        where, real = at[asks], np.isfinite(value[asks])
-        near, exact = numbers[where], np.empty(where.shape)
-        for i in range(0, len(asks), 20_000):
-            exact[i : i + 20_000] = np.einsum("qd,qkd->qk", x[asks[i : i + 20_000]], x[where[i : i + 20_000]])
-        exact = np.where(real & (near != numbers[asks][:, None]), np.round(exact, 12), -np.inf)  # so that what ties on paper ties here
-        order = np.lexsort((near, -exact), axis=1)[:, :k]
-        near, exact = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
-        real = np.isfinite(exact)
-        offsets = pa.array(np.concatenate([[0], real.sum(axis=1).cumsum()]).astype(np.int32))
-        pairs = pa.StructArray.from_arrays([pa.array(-exact[real]), pa.array(near[real])], names=["d", "id"])
-        return pa.table({"id": ids.take(pa.array(asks)), "near": pa.ListArray.from_arrays(offsets, pairs)})
-
-    kind = sent.schema["id"].dataType.simpleString()
-    partial = sent.groupBy("cell", "ib", "qb").applyInArrow(searched, f"id {kind}, near array<struct<d:double,id:{kind}>>")
-    return partial.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-
-
-def _spread(found: DataFrame, same: DataFrame, k: int, key: str) -> DataFrame:
+            ids, node, x = batch.column("id").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("v"), dim)
+            for cell, a, b in _runs(batch.column("cell").to_numpy()):
+                for i in range(a, b, most):
+                    j = min(b, i + most)
+                    if waiting and (cell != of or held + j - i > most):
+                        yield file()
+                        waiting, held = [], 0
+                    waiting.append((ids[i:j], x[i:j], node[i:j]))
+                    held, of = held + j - i, cell
+        if waiting:
+            yield file()
+
+    ordered = single.mapInArrow(routed, "id bigint, v array<float>, node bigint, cell bigint").repartition("cell").sortWithinPartitions("cell", "node", "id")
+    return released(ordered.mapInArrow(written, SEGMENT)).toArrow().sort_by([("node", "ascending"), ("file", "ascending"), ("start", "ascending")])
+
+
+def _units(spark: SparkSession, count: int) -> DataFrame:
+    """The numbers of ``count`` pieces of work, each in a task of its own."""
+    return spark.range(0, count, 1, max(1, count))
+
+
+def _of(segments: pa.Table) -> dict[str, np.ndarray]:
+    return {c: segments.column(c).to_numpy(zero_copy_only=False) for c in segments.column_names}
+
+
+def _divided(spark: SparkSession, index: _Index, segments: pa.Table, k: int, fit_rows: int, recall: float) -> pa.Table:
+    """The next level of the tree: a router learned for each node, and the vectors of each file put in the order of the parts that it leads to; the new segments."""
+    shelf, dim, parts, level = index.shelf, index.dim, index.parts, len(index.routers)
+    listed = shelf.put_table(segments)
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = _of(shelf.table(listed))
+        nodes = np.unique(s["node"])
+        for node in (nodes[i] for batch in batches for i in batch.column(0).to_pylist()):
+            own = [(s["file"][i], int(s["rows"][i]), int(s["start"][i]), int(s["held"][i])) for i in np.flatnonzero(s["node"] == node)]
+            ids = np.concatenate([shelf.vectors(*o, dim)[0] for o in own])
+            chosen = np.zeros(len(ids), dtype=bool)
+            chosen[np.argsort(ids)[np.random.default_rng(7).permutation(len(ids))[:fit_rows]]] = True
+            first = np.cumsum([0, *(o[3] for o in own)])
+            x = np.concatenate([shelf.vectors(*o, dim)[1][chosen[a : a + o[3]]] for o, a in zip(own, first)])[np.argsort(ids[chosen])]
+            router = learn_router(_unit(x), parts, k, recall)
+            yield pa.RecordBatch.from_arrays([pa.array([int(node)], pa.int64()), pa.array([shelf.put(pickle.dumps(vars(router)))])], names=["node", "file"])
+
+    index.routers.append(_units(spark, len(np.unique(segments.column("node").to_numpy()))).mapInArrow(learnt, "node bigint, file string").toArrow())
+    sent, files = index.kept(), sorted(set(segments.column("file").to_pylist()))
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, router = _of(shelf.table(listed)), sent.reader()
+        names = np.unique(s["file"].astype(str))
+        for name in (names[i] for batch in batches for i in batch.column(0).to_pylist()):
+            at = [i for i in np.flatnonzero(s["file"] == name)]
+            ids, x = shelf.vectors(str(name), int(s["rows"][at[0]]), 0, int(s["rows"][at[0]]), dim)
+            node = np.empty(len(ids), dtype=np.int64)
+            for i in at:
+                a, b, of = int(s["start"][i]), int(s["start"][i] + s["held"][i]), int(s["node"][i])
+                node[a:b] = of * parts + router(level, of).ranked(_unit(x[a:b]), 1)[:, 0]
+            order = np.lexsort((ids, node))
+            yield _filed(shelf, ids[order], x[order], node[order])
+
+    out = _units(spark, len(files)).mapInArrow(moved, SEGMENT).toArrow().sort_by([("node", "ascending"), ("file", "ascending"), ("start", "ascending")])
+    shelf.drop(files)
+    return out
+
+
+def _probed(x: np.ndarray, router: Callable[[int, int], Router], depth: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vector probes which part, ordered by part: on each level a vector goes on to the most probable parts of every node that it has come to."""
+    asker, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+    for level in range(depth):
+        asked, reached = [], []
+        for of, a, b in _runs(node):
+            here = router(level, of)
+            ranked = here.ranked(x[asker[a:b]], min(here.probes, here.parts))
+            asked.append(np.repeat(asker[a:b], ranked.shape[1]))
+            reached.append((of * parts + ranked).ravel())
+        asker, node = np.concatenate(asked), np.concatenate(reached)
+        order = np.argsort(node, kind="stable")
+        asker, node = asker[order], node[order]
+    return asker, node
+
+
+def _searched(spark: SparkSession, index: _Index, segments: pa.Table, k: int, unit: int, kind: str) -> DataFrame:
+    """``id``, ``near``, ``d``: at most k others, best first, and their negative cosines. A task takes ``unit`` neighbouring vectors and reads the parts that they probe one after another."""
+    dim, most, sent = index.dim, BLOCK_ROWS, index.kept()
+    s = _of(segments)
+    sizes = dict(zip(s["file"].tolist(), s["rows"].tolist()))
+    pieces = [(f, n, a, min(unit, n - a)) for f, n in sorted(sizes.items()) for a in range(0, n, unit)]
+    listed = index.shelf.put_table(segments)
+    wanted = index.shelf.put_table(pa.table({"file": pa.array([p[0] for p in pieces], pa.string()), **{c: pa.array([p[i] for p in pieces], pa.int64()) for i, c in enumerate(("rows", "start", "held"), 1)}}))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, w, router = _of(sent.shelf.table(listed)), _of(sent.shelf.table(wanted)), sent.reader()
+        for i in (i for batch in batches for i in batch.column(0).to_pylist()):
+            piece = (str(w["file"][i]), int(w["rows"][i]), int(w["start"][i]), int(w["held"][i]))
+            home = s["node"][(s["file"] == piece[0]) & (s["start"] < piece[2] + piece[3]) & (s["start"] + s["held"] > piece[2])]
+            yield _answered(sent, piece, s, home, router, k, most)
+
+    return _units(spark, len(pieces)).mapInArrow(searched, "id bigint, near array<bigint>, d array<double>").withColumn("id", F.col("id").cast(kind)).withColumn("near", F.col("near").cast(f"array<{kind}>"))
+
+
+def _answered(index: _Index, piece: tuple[str, int, int, int], segments: dict[str, np.ndarray], home: np.ndarray, router: Callable[[int, int], Router], k: int, most: int) -> pa.RecordBatch:
+    """The neighbours of the vectors of a piece of a file. Their own parts come first, so that what they hold keeps most rows of the others from being compared further."""
+    shelf, dim, width = index.shelf, index.dim, k + 9
+    ids, x = shelf.vectors(*piece, dim)
+    x = _unit(x)
+    flat = x.astype(np.float32)
+    asker, part = _probed(flat, router, index.depth, index.parts)
+    at, value = np.zeros((len(ids), width), dtype=np.int64), np.full((len(ids), width), -np.inf, dtype=np.float32)
+    blocks, seen = [], 0
+    for of, a, b in sorted(_runs(part), key=lambda run: run[0] not in home):
+        first, last = np.searchsorted(segments["node"], [of, of + 1])
+        for j in range(first, last):
+            start, end = int(segments["start"][j]), int(segments["start"][j] + segments["held"][j])
+            for begin in range(start, end, most):
+                block = (str(segments["file"][j]), int(segments["rows"][j]), begin, min(most, end - begin))
+                rows = asker[a:b]
+                where, near = _top(flat[rows], _unit(shelf.vectors(*block, dim)[1]), width, value[rows].min(axis=1))
+                some = np.isfinite(near).any(axis=1)
+                rows = rows[some]
+                both, gain = np.hstack([at[rows], seen + where[some]]), np.hstack([value[rows], near[some]])
+                best = np.argpartition(-gain, width - 1, axis=1)[:, :width]
+                at[rows], value[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(gain, best, axis=1)
+                blocks.append((seen, block))
+                seen += block[3]
+    real = np.isfinite(value)
+    near, exact = np.zeros(at.shape, dtype=np.int64), np.full(at.shape, -np.inf)
+    asks, slot = np.nonzero(real)
+    places = at[asks, slot]
+    order = np.argsort(places, kind="stable")
+    asks, slot, places = asks[order], slot[order], places[order]
+    for begin, block in blocks:
+        lo, hi = np.searchsorted(places, [begin, begin + block[3]])
+        if lo < hi:
+            keys, y = shelf.vectors(*block, dim)
+            y, own = _unit(y), places[lo:hi] - begin
+            near[asks[lo:hi], slot[lo:hi]] = keys[own]
+            exact[asks[lo:hi], slot[lo:hi]] = np.einsum("nd,nd->n", x[asks[lo:hi]], y[own])
+    exact = np.where(real & (near != ids[:, None]), np.round(exact, 12), -np.inf)  # so that what ties on paper ties here
+    order = np.lexsort((near, -exact), axis=1)[:, :k]
+    near, exact = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
+    real = np.isfinite(exact)
+    offsets = pa.array(np.concatenate([[0], real.sum(axis=1).cumsum()]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(near[real])), pa.ListArray.from_arrays(offsets, pa.array(-exact[real]))], names=["id", "near", "d"])
+
+
+def _spread(found: DataFrame, same: DataFrame, k: int, key: str, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The results of representatives given to all equal vectors, who are also each other's neighbours."""
     first = same.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("_n") <= k + 1)
     members = cut(first.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("members")))
-    plain = found.select("id", F.explode("near").alias("_p")).select("id", F.col("_p.d").alias("d"), F.col("_p.id").alias("to"))
-    grown = plain.join(members.withColumnRenamed("rep", "to"), "to", "left").select("id", "d", F.explode(F.coalesce("members", F.array("to"))).alias("to"))
+    plain = found.select("id", F.explode(F.arrays_zip("d", "near")).alias("_p")).select("id", F.col("_p.d").alias("d"), F.col("_p.near").alias("to"))
+    grown = plain.join(few(members.withColumnRenamed("rep", "to")), "to", "left").select("id", "d", F.explode(F.coalesce("members", F.array("to"))).alias("to"))
     own = members.select(F.col("rep").alias("id"), F.lit(-1.0).alias("d"), F.explode("members").alias("to"))
     best = grown.unionByName(own).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("d", "to"))).where(F.col("_n") <= k + 1)
-    lone = best.join(members.select(F.col("rep").alias("id")), "id", "left_anti").select(F.col("id").alias("_for"), "d", "to")
-    many = best.join(same.select(F.col("id").alias("_for"), F.col("rep").alias("id")), "id").select("_for", "d", "to")
+    lone = best.join(few(members.select(F.col("rep").alias("id"))), "id", "left_anti").select(F.col("id").alias("_for"), "d", "to")
+    many = best.join(few(same.select(F.col("id").alias("_for"), F.col("rep").alias("id"))), "id").select("_for", "d", "to")
     rank = F.row_number().over(Window.partitionBy("_for").orderBy("d", "to"))
     out = lone.unionByName(many).where("_for <> to").withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(F.col("_for").alias(key), F.col("to").alias("neighbour"), (-F.col("d")).alias("cosine"), "rank")

@@ -115,3 +115,23 @@ def test_the_graph_of_a_sample(k):
     np.fill_diagonal(s, -2)
     graph = N.neighbour_graph(x, k)
     assert all(set(graph[i]) == set(np.argsort(-s[i])[:k]) for i in range(50))
+
+
+def test_vectors_are_not_copied_to_disk_for_their_probes(spark):
+    from pathlib import Path
+
+    dim, n = 64, 3000
+    x = np.random.default_rng(11).normal(size=(n, dim)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").cache()
+    df.count()
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def used():
+        files = blocks.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size())) + sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    before = used()
+    graph = N.nearest(df, "id", "v", dim, 10, part_rows=100, fit_rows=1500, recall=0.97, fan=6, siblings=2)
+    assert used() - before < 4 * x.nbytes
+    assert not list(folder.glob("vectors-*")) and graph.count() == 10 * n
