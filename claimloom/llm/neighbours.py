@@ -133,6 +133,12 @@ class Router:
         best = np.argpartition(-scores, min(most, self.parts) - 1, axis=1)[:, :most]
         return np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, axis=1), axis=1, kind="stable"), axis=1)
 
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        """Logarithms of the parts' probabilities for each row."""
+        scores = np.maximum(x.astype(np.float32) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        scores -= scores.max(axis=1, keepdims=True)
+        return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+
 
 def learn_router(x: np.ndarray, parts: int, k: int = 10, recall: float = RECALL, hidden: int = 128, epochs: int = 30, seed: int = 5) -> Router:
     """Partition the neighbour graph of a sample, learn to route to its parts, and choose the probes on held-out queries.
@@ -207,7 +213,7 @@ def _tree(leaves: int, fan: int) -> tuple[int, int]:
     return depth, max(1, int(np.ceil(leaves ** (1 / depth) - 1e-9)))
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, dimensions: int, k: int = 10, part_rows: int = PART_ROWS, fit_rows: int = FIT_ROWS, recall: float = RECALL, fan: int = FAN, siblings: int = SIBLINGS) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, dimensions: int, k: int = 10, part_rows: int = PART_ROWS, fit_rows: int = FIT_ROWS, recall: float = RECALL, fan: int = FAN, siblings: int = SIBLINGS, *, least: float | None = None) -> DataFrame:
     """``key``, ``neighbour``, ``cosine``, ``rank`` (1..k): the k most similar others of every usable vector.
 
     ``key`` must be a unique integer. Unusable vectors (null, wrong length, null, infinite or not-a-number entries, all zero) neither ask nor answer. Ties go to the lower key.
@@ -218,6 +224,9 @@ def nearest(vectors: DataFrame, key: str, vector: str, dimensions: int, k: int =
     which reads the parts that they probe from the files; so no vector is copied for its probes, and the files are gone when this returns.
     Vectors that are exactly equal are searched once, by their least key, and the results given to all. Parts that
     outgrow a task are read in blocks, so nothing is capped. With few vectors all lie in one part and the search is exact.
+
+    With ``least``, all others with a cosine of at least that, however many, in place of the k most similar. A vector then asks the most probable parts of the whole tree, as many as ``_enough`` says;
+    a pair may be found from one side only (see ``similar_pairs``).
     """
     rows = cut(released(vectors.where(F.col(key).isNotNull() & usable(vector, dimensions)).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))))
     same = cut(released(_identical(rows, "id", "v")))
@@ -237,10 +246,11 @@ def nearest(vectors: DataFrame, key: str, vector: str, dimensions: int, k: int =
         segments = _shelved(single, index, router, count, siblings if depth == 1 else 1)
         for _ in range(2, depth + 1):
             segments = _divided(rows.sparkSession, index, segments, k, fit_rows, recall ** (1 / depth))
-        found = cut(_searched(rows.sparkSession, index, segments, k, max(1, min(QUERY_ROWS, siblings * part_rows)), rows.schema["id"].dataType.simpleString()))
+        most = None if least is None else _enough(sample, index.reader(), depth, parts, least)
+        found = cut(_searched(rows.sparkSession, index, segments, k, max(1, min(QUERY_ROWS, siblings * part_rows)), rows.schema["id"].dataType.simpleString(), least, most))
     finally:
         shelf.remove()
-    return _spread(found, same, k, key, few)
+    return _spread(found, same, k if least is None else None, key, few)
 
 
 def _hinted(rows: int) -> Callable[[DataFrame], DataFrame]:
@@ -400,8 +410,63 @@ def _probed(x: np.ndarray, router: Callable[[int, int], Router], depth: int, par
     return asker, node
 
 
-def _searched(spark: SparkSession, index: _Index, segments: pa.Table, k: int, unit: int, kind: str) -> DataFrame:
-    """``id``, ``near``, ``d``: at most k others, best first, and their negative cosines. A task takes ``unit`` neighbouring vectors and reads the parts that they probe one after another."""
+def _likely(x: np.ndarray, router: Callable[[int, int], Router], depth: int, parts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vector probes which part, ordered by part: the ``most`` parts of the whole tree that are the most probable, as many nodes being followed on each level."""
+    askers, nodes = [], []
+    for begin in range(0, len(x), 2048):
+        asker, node = np.arange(begin, min(begin + 2048, len(x))), np.zeros(min(2048, len(x) - begin), dtype=np.int64)
+        score = np.zeros(len(asker), dtype=np.float32)
+        for level in range(depth):
+            asked, reached, scored = [], [], []
+            for of, a, b in _runs(node):
+                logs = router(level, of).logs(x[asker[a:b]])
+                best = np.argpartition(-logs, min(most, logs.shape[1]) - 1, axis=1)[:, :most]
+                asked.append(np.repeat(asker[a:b], best.shape[1]))
+                reached.append((of * parts + best).ravel())
+                scored.append((score[a:b, None] + np.take_along_axis(logs, best, axis=1)).ravel())
+            asker, node, score = np.concatenate(asked), np.concatenate(reached), np.concatenate(scored)
+            order = np.lexsort((-score, asker))
+            counts = np.bincount(asker - begin)
+            order = order[np.arange(len(order)) - np.repeat(counts.cumsum() - counts, counts) < most]
+            order = order[np.argsort(node[order], kind="stable")]
+            asker, node, score = asker[order], node[order], score[order]
+        askers.append(asker)
+        nodes.append(node)
+    asker, node = np.concatenate(askers), np.concatenate(nodes)
+    order = np.argsort(node, kind="stable")
+    return asker[order], node[order]
+
+
+def _enough(sample: np.ndarray, router: Callable[[int, int], Router], depth: int, parts: int, least: float, missed: float = 2e-4, seed: int = 5) -> int:
+    """How many parts a vector must ask for pairs of cosine ``least``: of pairs drawn so, a sampled vector and one in a random direction from it, all but a share of ``missed`` are found from either side.
+
+    These are the hardest pairs, as closer ones lie in one part more often.
+    """
+    if parts == 1 or not len(sample):
+        return 1
+    random = np.random.default_rng(seed)
+    x = sample[random.permutation(len(sample))[:5_000]]
+    away = random.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = least * x + np.sqrt(1 - least * least) * away / np.sqrt((away * away).sum(axis=1, keepdims=True))
+    homes = []
+    for z in (x, y):
+        asker, node = _likely(z, router, depth, parts, 1)
+        homes.append(node[np.argsort(asker)])
+    most = 1
+    while most < parts**depth:
+        met = np.zeros(len(x), dtype=bool)
+        for z, home in ((x, homes[1]), (y, homes[0])):
+            asker, node = _likely(z, router, depth, parts, most)
+            met[asker[node == home[asker]]] = True
+        if met.mean() >= 1 - missed:
+            break
+        most = int(np.ceil(most * 1.3))
+    return most
+
+
+def _searched(spark: SparkSession, index: _Index, segments: pa.Table, k: int, unit: int, kind: str, least: float | None, probes: int | None) -> DataFrame:
+    """``id``, ``near``, ``d``: at most k others, best first, or all with a cosine of ``least``, and their negative cosines. A task takes ``unit`` neighbouring vectors and reads the parts that they probe one after another."""
     dim, most, sent = index.dim, BLOCK_ROWS, index.kept()
     s = _of(segments)
     sizes = dict(zip(s["file"].tolist(), s["rows"].tolist()))
@@ -414,11 +479,44 @@ def _searched(spark: SparkSession, index: _Index, segments: pa.Table, k: int, un
         for i in (i for batch in batches for i in batch.column(0).to_pylist()):
             piece = (str(w["file"][i]), int(w["rows"][i]), int(w["start"][i]), int(w["held"][i]))
             home = s["node"][(s["file"] == piece[0]) & (s["start"] < piece[2] + piece[3]) & (s["start"] + s["held"] > piece[2])]
-            yield _answered(sent, piece, s, home, router, k, most)
+            yield _answered(sent, piece, s, home, router, k, most) if least is None else _alike(sent, piece, s, router, least, probes, most)
 
     return _units(spark, len(pieces)).mapInArrow(searched, "id bigint, near array<bigint>, d array<double>").withColumn("id", F.col("id").cast(kind)).withColumn("near", F.col("near").cast(f"array<{kind}>"))
 
 
+def _blocks(segments: dict[str, np.ndarray], of: int, most: int) -> Iterator[tuple[str, int, int, int]]:
+    """The pieces of files that hold a part, of at most ``most`` vectors."""
+    for j in range(*np.searchsorted(segments["node"], [of, of + 1])):
+        start, end = int(segments["start"][j]), int(segments["start"][j] + segments["held"][j])
+        for begin in range(start, end, most):
+            yield str(segments["file"][j]), int(segments["rows"][j]), begin, min(most, end - begin)
+
+
+def _alike(index: _Index, piece: tuple[str, int, int, int], segments: dict[str, np.ndarray], router: Callable[[int, int], Router], least: float, probes: int, most: int) -> pa.RecordBatch:
+    """The others with a cosine of at least ``least`` in the parts that the vectors of a piece of a file probe."""
+    ids, x = index.shelf.vectors(*piece, index.dim)
+    x = _unit(x)
+    flat = x.astype(np.float32)
+    asker, part = _likely(flat, router, index.depth, index.parts, probes)
+    found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+    for of, a, b in _runs(part):
+        rows = asker[a:b]
+        for block in _blocks(segments, of, most):
+            keys, y = index.shelf.vectors(*block, index.dim)
+            y = _unit(y)
+            turned, step = np.ascontiguousarray(y.T, dtype=np.float32), max(1, 2_000_000 // len(y))
+            for i in range(0, len(rows), step):
+                at = np.flatnonzero((flat[rows[i : i + step]] @ turned).ravel() >= least - 1e-5)
+                own, other = rows[i + at // len(y)], at % len(y)
+                exact = np.round(np.einsum("nd,nd->n", x[own], y[other]), 12)
+                good = (exact >= least) & (keys[other] != ids[own])
+                found.append((own[good], keys[other][good], -exact[good]))
+    own, near, d = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((near, d, own))
+    offsets = pa.array(np.append(0, np.bincount(own, minlength=len(ids)).cumsum()).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(near[order])), pa.ListArray.from_arrays(offsets, pa.array(d[order]))], names=["id", "near", "d"])
+
+
 def _answered(index: _Index, piece: tuple[str, int, int, int], segments: dict[str, np.ndarray], home: np.ndarray, router: Callable[[int, int], Router], k: int, most: int) -> pa.RecordBatch:
     """The neighbours of the vectors of a piece of a file. Their own parts come first, so that what they hold keeps most rows of the others from being compared further."""
     shelf, dim, width = index.shelf, index.dim, k + 9
@@ -429,20 +527,16 @@ def _answered(index: _Index, piece: tuple[str, int, int, int], segments: dict[st
     at, value = np.zeros((len(ids), width), dtype=np.int64), np.full((len(ids), width), -np.inf, dtype=np.float32)
     blocks, seen = [], 0
     for of, a, b in sorted(_runs(part), key=lambda run: run[0] not in home):
-        first, last = np.searchsorted(segments["node"], [of, of + 1])
-        for j in range(first, last):
-            start, end = int(segments["start"][j]), int(segments["start"][j] + segments["held"][j])
-            for begin in range(start, end, most):
-                block = (str(segments["file"][j]), int(segments["rows"][j]), begin, min(most, end - begin))
-                rows = asker[a:b]
-                where, near = _top(flat[rows], _unit(shelf.vectors(*block, dim)[1]), width, value[rows].min(axis=1))
-                some = np.isfinite(near).any(axis=1)
-                rows = rows[some]
-                both, gain = np.hstack([at[rows], seen + where[some]]), np.hstack([value[rows], near[some]])
-                best = np.argpartition(-gain, width - 1, axis=1)[:, :width]
-                at[rows], value[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(gain, best, axis=1)
-                blocks.append((seen, block))
-                seen += block[3]
+        for block in _blocks(segments, of, most):
+            rows = asker[a:b]
+            where, near = _top(flat[rows], _unit(shelf.vectors(*block, dim)[1]), width, value[rows].min(axis=1))
+            some = np.isfinite(near).any(axis=1)
+            rows = rows[some]
+            both, gain = np.hstack([at[rows], seen + where[some]]), np.hstack([value[rows], near[some]])
+            best = np.argpartition(-gain, width - 1, axis=1)[:, :width]
+            at[rows], value[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(gain, best, axis=1)
+            blocks.append((seen, block))
+            seen += block[3]
     real = np.isfinite(value)
     near, exact = np.zeros(at.shape, dtype=np.int64), np.full(at.shape, -np.inf)
     asks, slot = np.nonzero(real)
@@ -464,18 +558,20 @@ def _answered(index: _Index, piece: tuple[str, int, int, int], segments: dict[st
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(near[real])), pa.ListArray.from_arrays(offsets, pa.array(-exact[real]))], names=["id", "near", "d"])
 
 
-def _spread(found: DataFrame, same: DataFrame, k: int, key: str, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The results of representatives given to all equal vectors, who are also each other's neighbours."""
-    first = same.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("_n") <= k + 1)
+def _spread(found: DataFrame, same: DataFrame, k: int | None, key: str, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results of representatives given to all equal vectors, who are also each other's neighbours; the first k, or all if that is null."""
+    firsts = lambda df, by, *order: df if k is None else df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= k + 1)
+    first = firsts(same, "rep", "id")
     members = cut(first.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("members")))
     plain = found.select("id", F.explode(F.arrays_zip("d", "near")).alias("_p")).select("id", F.col("_p.d").alias("d"), F.col("_p.near").alias("to"))
     grown = plain.join(few(members.withColumnRenamed("rep", "to")), "to", "left").select("id", "d", F.explode(F.coalesce("members", F.array("to"))).alias("to"))
     own = members.select(F.col("rep").alias("id"), F.lit(-1.0).alias("d"), F.explode("members").alias("to"))
-    best = grown.unionByName(own).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("d", "to"))).where(F.col("_n") <= k + 1)
+    best = firsts(grown.unionByName(own), "id", "d", "to")
     lone = best.join(few(members.select(F.col("rep").alias("id"))), "id", "left_anti").select(F.col("id").alias("_for"), "d", "to")
     many = best.join(few(same.select(F.col("id").alias("_for"), F.col("rep").alias("id"))), "id").select("_for", "d", "to")
     rank = F.row_number().over(Window.partitionBy("_for").orderBy("d", "to"))
-    out = lone.unionByName(many).where("_for <> to").withColumn("rank", rank).where(F.col("rank") <= k)
+    out = lone.unionByName(many).where("_for <> to").withColumn("rank", rank)
+    out = out if k is None else out.where(F.col("rank") <= k)
     return out.select(F.col("_for").alias(key), F.col("to").alias("neighbour"), (-F.col("d")).alias("cosine"), "rank")
 
 

@@ -70,14 +70,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(table(spark, d, "vector_chunks"))
 
 
-def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+def _neighbours(spark: SparkSession, d: str, least: float | None = None) -> DataFrame:
     claims = table(spark, d, "claims").select("claim_id", "embedding", "embedded_at").where(neighbours.usable("embedding", DIMENSIONS))
-    return neighbours.nearest(current_rows(claims, "claim_id", "embedded_at"), "claim_id", "embedding", DIMENSIONS, NEIGHBOURS)
+    return neighbours.nearest(current_rows(claims, "claim_id", "embedded_at"), "claim_id", "embedding", DIMENSIONS, NEIGHBOURS, least=least)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of claims with a cosine of at least 0.9."""
-    return neighbours.similar_pairs(_neighbours(spark, d), "claim_id", SIMILAR)
+    return neighbours.similar_pairs(_neighbours(spark, d, SIMILAR), "claim_id", SIMILAR)
 
 
 def p5_knn(spark: SparkSession, d: str) -> DataFrame:

@@ -135,3 +135,16 @@ def test_vectors_are_not_copied_to_disk_for_their_probes(spark):
     graph = N.nearest(df, "id", "v", dim, 10, part_rows=100, fit_rows=1500, recall=0.97, fan=6, siblings=2)
     assert used() - before < 4 * x.nbytes
     assert not list(folder.glob("vectors-*")) and graph.count() == 10 * n
+
+
+@pytest.mark.parametrize(("part_rows", "depth"), [(4000, 1), (100, 2)])
+def test_all_similar_pairs_are_found_however_many_a_vector_has(rows, part_rows, depth):
+    random = np.random.default_rng(12)
+    x = random.normal(size=(1500, DIM))
+    x = np.vstack([x, x[:300] + 0.05 * random.normal(size=(300, DIM)), x[0] + 0.01 * random.normal(size=(20, DIM)), np.repeat(x[1:2], 20, axis=0)]).astype("float32")
+    unit = N._unit(x)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(np.round(unit @ unit.T, 12) >= 0.98, 1)))}
+    graph = N.nearest(table(rows, [(i, v.tolist()) for i, v in enumerate(x)]), "id", "v", DIM, 10, part_rows=part_rows, fit_rows=1500, fan=6, siblings=2, least=0.98)
+    got = {tuple(r) for r in N.similar_pairs(graph, "id", 0.98).collect()}
+    assert N._tree(-(-len(x) // part_rows), 6)[0] == depth and got <= want
+    assert got == want if part_rows == 4000 else len(got) >= 0.999 * len(want)
